@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,6 +18,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SENT:
         return
     package = Path(__file__).parent
+    # for workers beside the driver, which streaming state operators start
+    paths = [str(package.parent), sc.environment.get("PYTHONPATH", "")]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in paths if x)
     archive = Path(tempfile.mkdtemp(prefix="leaselake-")) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):

@@ -1 +1 @@
-
+"""Structured Streaming: lifecycle processors, jobs and sinks."""
