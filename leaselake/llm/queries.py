@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaselake.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, packing, simhash, toxicity, warc
+import corpus_pipeline
+from leaselake.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, packing, simhash, suffix_dedup, toxicity, warc
 from leaselake.llm.staging import new_path
 
 
@@ -57,6 +58,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(said.unionByName(extra)))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -67,5 +76,7 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
+    "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op5_warc": warc.SQL, "op9_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op5_warc": warc.SQL, "op9_chat_format": chat_format.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
