@@ -32,7 +32,7 @@ def money(value: Column) -> Column:
 
 def members(comma_list: Column) -> Column:
     """A comma-separated list as an array, blanks around names dropped."""
-    return F.transform(F.split(comma_list, ","), F.trim)
+    return F.transform(F.split(comma_list, ","), lambda x: F.trim(x))
 
 
 def blank_nulls(df: DataFrame, *columns: str) -> DataFrame:

@@ -65,5 +65,5 @@ def row_image(changes: DataFrame) -> DataFrame:
 
 def pruned(rows: DataFrame, columns: str = "sink_columns") -> DataFrame:
     """``row`` cut down to the keys that the configuration lists."""
-    wanted = F.transform(F.split(F.col(columns), ","), F.trim)
+    wanted = F.transform(F.split(F.col(columns), ","), lambda x: F.trim(x))
     return rows.withColumn("row", F.map_filter("row", lambda k, _: F.array_contains(wanted, k)))

@@ -205,7 +205,9 @@ def _keyed(changes: DataFrame, key: Column) -> DataFrame:
 
 
 def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
-    keyed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark = keyed.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.streams.active  # noqa: B018  a batch needs the state store's coordinator too
     mode = "ProcessingTime" if machine.ttl_ms else "None"
     return keyed.groupBy("key").transformWithState(machine, OUT, "Append", mode)
 

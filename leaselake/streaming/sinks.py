@@ -67,7 +67,8 @@ def upsert_days(changes: DataFrame, path: str, keys: list[str], day: str = "cur_
     beside = f"{path}.{uuid.uuid4().hex}"
     merged.write.parquet(beside)
     fresh = spark.read.schema(changes.schema).parquet(beside)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    # a day's rows in few files; a day that is too large for one task is split
+    fresh.hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     fs, at = _fs(spark, beside)
     fs.delete(at, True)
 
