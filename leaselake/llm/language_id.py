@@ -245,7 +245,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
 
 
 def identify_languages(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``rejected`` from the text alone."""
+    """Adds ``lang_pred``, ``score`` and ``rejected`` from the text alone; columns
+    that already have these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -254,7 +255,10 @@ def identify_languages(docs: DataFrame, models: LanguageModels, text: str = "tex
             found = [predict(sent.value, t) for t in batch]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_p", predicted(F.col(text).cast("string"))).select(*docs.columns, "_p.lang_pred", "_p.score", "_p.rejected")
+    new = ("lang_pred", "score", "rejected")
+    kept = [c for c in docs.columns if c not in new]
+    both = docs.select(F.struct(*kept).alias("row"), predicted(F.col(text).cast("string")).alias("found"))
+    return both.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col("found")[c].alias(c) for c in new])
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **params) -> DataFrame:

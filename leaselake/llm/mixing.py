@@ -128,7 +128,8 @@ def expand_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Dat
     the largest number of copies any of them has. Null ids are matched too."""
     copies = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
     joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return joined.select(F.explode(F.array_repeat(row, copies["_copies"].cast("int"))).alias("row")).select("row.*")
 
 
 SQL = r"""

@@ -267,4 +267,4 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", **params) ->
     nothing names them). All columns are kept."""
     groups = simhash_components(docs, id_col, **params)
     later = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(later, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(later, docs[id_col] == later["_gone"], "left_anti")

@@ -2,35 +2,16 @@
 
 ``stage`` cuts lineage the durable way: a Parquet table under
 ``spark.checkpoint.dir``, so a lost executor costs a re-read and not a
-recomputation. A local default is used only where the cluster names no folder.
+recomputation.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from leaselake.scratch import file_system, new_path
 
-_LOCAL_DEFAULT: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only if none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _LOCAL_DEFAULT:
-        _LOCAL_DEFAULT.append(tempfile.mkdtemp(prefix="leaselake-shared-"))
-    return "file://" + _LOCAL_DEFAULT[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    fs, hadoop_path = _fs(spark, path)
-    fs.deleteOnExit(hadoop_path)
-    return path
+__all__ = ["drop_staged", "new_path", "stage"]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -47,11 +28,5 @@ def drop_staged(df: DataFrame | None) -> None:
     """Delete a table written by ``stage`` once nothing reads it any more."""
     path = getattr(df, "_staged_path", None)
     if path:
-        fs, hadoop_path = _fs(df.sparkSession, path)
+        fs, hadoop_path = file_system(df.sparkSession, path)
         fs.delete(hadoop_path, True)
-
-
-def _fs(spark: SparkSession, path: str):
-    sc = spark.sparkContext
-    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop_path
