@@ -31,30 +31,30 @@ from leaselake.llm.staging import stage
 FOUND = "class long, other long, links long"
 
 
-def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Iterative quantisation of unit vectors: (mean, projection to ``bits``).
+def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 5) -> np.ndarray:
+    """Iterative quantisation of unit vectors: projection to ``bits`` numbers.
 
     Principal directions first, then alternate between signs and the orthogonal
-    rotation that brings the projections closest to them.
+    rotation that brings the projections closest to them. Nothing is centred: the
+    planes go through the origin, so that bits differ with the angle, as cosines
+    do, also where all vectors lie close together.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-    centred = sample - mean
-    values, vectors = np.linalg.eigh(centred.T @ centred + 1e-12 * np.eye(dim))
+    values, vectors = np.linalg.eigh(sample.T @ sample + 1e-12 * np.eye(dim))
     main = vectors[:, np.argsort(-values)[: min(bits, dim)]]
-    v = centred @ main
+    v = sample @ main
     rotation = np.linalg.qr(rng.normal(size=(main.shape[1], main.shape[1])))[0]
     for _ in range(rounds if len(sample) else 0):
         signs = np.where(v @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(signs.T @ v)
         rotation = (left @ right).T
-    return mean, main @ rotation
+    return main @ rotation
 
 
-def encode(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def encode(unit: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Codes of unit vectors as unsigned 64-bit numbers, bit 0 first."""
-    on = (unit - mean) @ projection >= 0
+    on = unit @ projection >= 0
     return (on.astype(np.uint64) << np.arange(on.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
@@ -140,15 +140,14 @@ def embedding_links(
     """
     given = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
     good = given.where(_valid(F.col("_v")))
-    keys = [F.xxhash64("_v").alias("_k1"), F.xxhash64(F.lit(seed), "_v").alias("_k2")]
     classes = stage(
-        good.select("_id", "_v", *keys)
-        .groupBy("_k1", "_k2")
-        .agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("_v").alias("_v"))
-        .withColumn("class", F.col("_k1")),
+        good.select("_id", "_v", F.xxhash64("_v").alias("class"))
+        .groupBy("class")
+        .agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("_v").alias("_v")),
         "embedding-classes",
     )
-    dims = [r["d"] for r in classes.select(F.size("_v").alias("d")).distinct().limit(1000).collect()]
+    # a table has one length, or a few
+    dims = [r["d"] for r in classes.select(F.size("_v").alias("d")).distinct().collect()]
     found = None
     for dim in sorted(dims):
         part = _links_of_length(classes.where(F.size("_v") == dim), dim, threshold, bits, sample_rows, block, seed)
@@ -182,18 +181,18 @@ def _links_of_length(classes: DataFrame, dim: int, threshold: float, bits: int,
     spark = classes.sparkSession
     n = classes.count()
     # bounded: at most sample_rows vectors, by hash
-    sample = classes.orderBy("_k2").limit(sample_rows).select("_v").toPandas()["_v"]
+    sample = classes.orderBy(F.xxhash64("class")).limit(sample_rows).select("_v").toPandas()["_v"]
     x = np.array(sample.tolist(), np.float64).reshape(-1, dim)
     unit = _unit(x)
-    mean, projection = learn_rotation(unit, bits, seed=seed)
+    projection = learn_rotation(unit, bits, seed=seed)
     width = projection.shape[1]
     masks = table_masks(n, width, threshold)
-    sent = spark.sparkContext.broadcast((mean, projection))
+    sent = spark.sparkContext.broadcast(projection)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array(batch.column(2).flatten(), np.float64).reshape(-1, dim)
-            code = encode(_unit(v), *sent.value)
+            code = encode(_unit(v), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64))], names=["class", "size", "_v", "code"])
 
     rows = classes.select("class", "size", "_v").mapInArrow(coded, "class long, size long, _v array<double>, code long")

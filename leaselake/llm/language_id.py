@@ -232,7 +232,7 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, bounds:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bounds: TrainingBounds | None = None, order: int = 4) -> LanguageModels:
     """Fit on four fifths of the sample, calibrate on the rest."""
     rows = training_sample(docs, id_col, text, lang, bounds or TrainingBounds())
-    rows = rows[[has_letter(t) for t in rows["text"]]]
+    rows = rows[np.array([has_letter(t) for t in rows["text"]], bool)]
     check = np.array([zlib.crc32(f"c{x}".encode()) % 5 == 0 for x in rows["_id"]], bool)
     texts: dict[str, list[str]] = {}
     for lang_, text_ in rows.loc[~check, ["lang", "text"]].itertuples(index=False):
