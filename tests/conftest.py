@@ -13,8 +13,6 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from leaselake.shipping import ship  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -34,9 +32,3 @@ def spark(tmp_path_factory):
     ship(session)
     yield session
     session.stop()
-
-
-def rows_of(df, *columns):
-    """Rows as sorted tuples, nulls first, for comparison whatever the order."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple((x is not None, str(x)) for x in r))
