@@ -10,8 +10,8 @@ in at most four bits agree on at least two whole blocks, so each of the 15 ways
 to fix two blocks gives a table in which every link meets in some bucket (a trie
 below one fixed prefix of permuted bits). Inside a bucket the trie is joined with
 itself: node pairs go down together, differing bits add up, and a pair is pruned
-once the budget is exceeded. A bucket over ``bucket_limit`` is not capped: its
-remaining bits are cut into blocks again, which splits it exactly.
+once the budget is exceeded. A bucket over ``bucket_limit`` is not capped: it is
+dealt out as pairs of parts, and every pair of its members meets in one of them.
 """
 
 from __future__ import annotations
@@ -68,21 +68,11 @@ def simhash_fingerprints(docs: DataFrame, text: str = "text", k: int = 4, seed:
     return docs.withColumn(to, hashed(F.col(text).cast("string")))
 
 
-def _blocks(free: list[int], parts: int) -> list[int]:
-    """Masks of ``parts`` nearly equal blocks of the given bit numbers."""
-    cut = np.array_split(np.array(free), min(parts, len(free)))
-    return [sum(1 << int(b) for b in c) for c in cut]
-
-
-def _refined(mask: int, budget: int) -> list[int]:
-    """Masks that fix two more blocks of what ``mask`` leaves free: by the
+def table_masks(budget: int) -> list[int]:
+    """Masks that fix two of ``budget + 2`` blocks of the 64 bits: by the
     pigeonhole principle every pair within the budget agrees on one of them."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    blocks = _blocks(free, budget + 2)
-    keep = len(blocks) - budget
-    if keep <= 0:
-        return [mask]
-    return [mask | sum(c) for c in combinations(blocks, keep)]
+    blocks = [sum(1 << int(b) for b in c) for c in np.array_split(np.arange(64), budget + 2)]
+    return [sum(c) for c in combinations(blocks, 2)]
 
 
 def _signed(x: int) -> int:
@@ -93,33 +83,21 @@ def trie_links(fps: DataFrame, budget: int = 4, bucket_limit: int = 4096) -> Dat
     """Distinct ``fps(fp)`` to links ``(u, v)`` that connect exactly what pairs
     within ``budget`` differing bits connect (a spanning forest per bucket, so
     that a dense group of n gives n - 1 links a bucket and not n²)."""
-    masks = _refined(0, budget)
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in table_masks(budget)])).alias("mask"))
     rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    found = None
-    while True:
-        hot = rows.groupBy("mask", "key").count().where(F.col("count") > bucket_limit).select("mask", "key")
-        hot = stage(hot, "simhash-hot")
-        if hot.isEmpty():
-            links = _join_buckets(rows, budget)
-            return links if found is None else found.unionByName(links)
-        links = _join_buckets(rows.join(hot, ["mask", "key"], "left_anti"), budget)
-        found = links if found is None else found.unionByName(links)
-        finer = {m: _refined(m, budget) for m in masks}
-        if all(v == [m] for m, v in finer.items()):
-            last = _join_buckets(rows.join(hot, ["mask", "key"], "left_semi"), budget)
-            return found.unionByName(last)
-        nested = F.create_map(*[x for m, v in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in v]))])
-        rows = (
-            rows.join(hot, ["mask", "key"], "left_semi")
-            .select("fp", F.explode(nested[F.col("mask")]).alias("mask"))
-            .withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-            .distinct()
-        )
-        masks = sorted({s for v in finer.values() for s in v})
-
-
-def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
+    large = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit)
+    large = stage(large, "simhash-large")
+    if large.isEmpty():
+        dealt = rows.withColumns({"p": F.lit(0), "q": F.lit(0)})
+    else:
+        parts = F.ceil(F.coalesce("n", F.lit(1)) / bucket_limit).cast("int")
+        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
+        dealt = rows.join(large, ["mask", "key"], "left").select("fp", "mask", "key", F.explode(pairs).alias("at")).select("fp", "mask", "key", "at.p", "at.q")
+    return dealt.repartition("mask", "key", "p", "q").sortWithinPartitions("mask", "p", "q", "key").mapInPandas(_bucket_links(budget), "u long, v long")
+
+
+def _bucket_links(budget: int):
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry: pd.DataFrame | None = None
         for batch in batches:
@@ -127,8 +105,7 @@ def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
                 batch = pd.concat([carry, batch], ignore_index=True)
             if not len(batch):
                 continue
-            m, k = batch["mask"].to_numpy(), batch["key"].to_numpy()
-            same = (m == m[-1]) & (k == k[-1])
+            same = (batch[["mask", "p", "q", "key"]].to_numpy() == batch[["mask", "p", "q", "key"]].iloc[-1].to_numpy()).all(axis=1)
             cut = len(batch) - int(same.sum())
             carry = batch.iloc[cut:]
             if cut:
@@ -136,16 +113,13 @@ def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
         if carry is not None and len(carry):
             yield _links_of(carry, budget)
 
-    ordered = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return ordered.mapInPandas(joined, "u long, v long")
+    return joined
 
 
 def _links_of(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
     us, vs = [], []
-    masks, fps = rows["mask"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
-    for mask in np.unique(masks):
-        mine = fps[masks == mask]
-        u, v = forest(mine, int(mask) & ALL_BITS, budget)
+    for (mask, _, _), mine in rows.groupby(["mask", "p", "q"], sort=False):
+        u, v = forest(mine["fp"].to_numpy().view(np.uint64), int(mask) & ALL_BITS, budget)
         us.append(u)
         vs.append(v)
     u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
