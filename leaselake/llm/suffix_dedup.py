@@ -133,6 +133,8 @@ def covered_runs(anchor, body, doc, start, end):
     """Split runs, of documents numbered in their order, into
     (kept, covered): indexes of the earliest of equal runs, and of the others."""
     order = np.lexsort((start, doc, body, anchor))
+    if not len(order):
+        return order, order
     same = np.r_[False, (anchor[order][1:] == anchor[order][:-1]) & (body[order][1:] == body[order][:-1])]
     lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     moved = (doc[order] != doc[lead]) | (start[order] != start[lead])
@@ -143,6 +145,8 @@ def covered_windows(pieces: list[bytes] | np.ndarray, sizes: np.ndarray, doc: np
     """Starts (doc, start) of the windows of the pieces whose longest previous
     factor is at least ``length``: equal in suffix order to the window before."""
     content = np.frombuffer(b"".join(pieces), np.uint8) if isinstance(pieces, list) else pieces
+    if not len(sizes):
+        return doc, start
     first = np.r_[0, np.cumsum(sizes)[:-1]]
     many = sizes - length + 1
     piece = np.repeat(np.arange(len(sizes)), many)
