@@ -28,6 +28,8 @@ UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 CHARS_AT_ONCE = 1 << 18
+#: Parts of a language that are ranked apart.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -214,15 +216,15 @@ def predict(models: LanguageModels, text: str | None) -> tuple[str, float, bool]
 
 def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, bounds: TrainingBounds) -> pd.DataFrame:
     """At most ``rows_per_language`` rows a language outside the held-out part, by
-    hash of id; the languages are thinned by hash before any are ranked, so that a
-    frequent one is not sorted whole."""
+    hash of id. Rows are ranked within parts of a language first, so that no task
+    sorts a frequent one whole."""
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(
         F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("lang"), id_col).alias("_h")
     )
-    size = named.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.lit(2.0 * bounds.rows_per_language + 50) / F.col("_n")
-    thin = named.join(size, F.col("lang") == F.col("_lang")).where(F.pmod("_h", F.lit(1 << 30)) <= share * F.lit(float(1 << 30)))
-    ranked = thin.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))).where(F.col("_r") <= bounds.rows_per_language)
+    ranked = named.withColumn("_part", F.pmod(F.col("_h"), F.lit(PARTS)))
+    for keys in (["lang", "_part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "_id"))
+        ranked = ranked.withColumn("_r", place).where(F.col("_r") <= bounds.rows_per_language).drop("_r")
     chosen = F.broadcast(ranked.select("_id").distinct())  # rows_per_language rows a language
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     short = texts.where((F.length("text") <= bounds.chars_per_row) & F.col("lang").isNotNull())
