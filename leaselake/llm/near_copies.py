@@ -1,0 +1,218 @@
+"""Near copies of documents by the Jaccard similarity of their word shingles.
+
+Two documents are linked if the sets of their ``k``-word shingles have a Jaccard
+similarity of at least ``threshold``. All such pairs are found, not a sample:
+with the shingles of each set in one common order, two similar sets share a
+shingle among the first ``n - ceil(threshold * n) + 1`` of each (prefix filter),
+and where they first meet, enough must be left behind it on both sides (position
+filter). Pairs that pass are compared by their whole sets.
+
+Distribution. The order puts shingles that are frequent in a sample of documents
+last; any order gives the same result, this one keeps the groups that share a
+shingle small. Equal sets are one class from the start. Candidates come in two
+rounds: each member of a group with its neighbour and with the smallest member,
+then only pairs that the first round left in different components, so that a
+dense group of n near copies costs about n comparisons and not n². A large group
+is dealt out as pairs of parts. Texts are kept packed, and are picked by broadcast
+row numbers in slices of bounded size, so that whole texts are not shuffled.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from leaselake.llm.components import connected_components
+from leaselake.llm.staging import drop_staged, stage
+
+#: Keeps rounding on the side of one comparison more.
+SLACK = 1e-6
+#: Keys that one broadcast holds.
+KEYS_AT_ONCE = 1_000_000
+
+
+def shingle_set(text: str | None, k: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, ascending; none for null or
+    wordless text. A text of fewer than ``k`` words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1][: max(1, len(words) - k + 1)].tolist()
+    ends = (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
+    spans = [joined[a:b] for a, b in zip(starts, ends, strict=True)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spans, repeat(seed)), np.uint64, len(spans)).view(np.int64))
+
+
+def prefix_length(n: int, threshold: float) -> int:
+    return n - int(np.ceil(threshold * n - SLACK)) + 1 if n else 0
+
+
+def _frequent(docs: DataFrame, k: int, seed: int, sample_rows: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met more than twice in a bounded sample, and how often. They only
+    set the order of shingles, which changes the cost and not the result."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, k, seed) for x in batch.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    sample = docs.select("_text").sample(min(1.0, sample_rows / max(1, docs.count())), seed=seed)
+    counts = sample.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(most).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def _prefixes(docs: DataFrame, k: int, seed: int, threshold: float, sample_rows: int) -> DataFrame:
+    """``docs(_id, _text)`` to ``_id``, ``packed`` (the text), ``class`` (hash of
+    the set), ``size`` and the first shingles of the set in the common order."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, seed, sample_rows))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = sent.value
+        for batch in batches:
+            packed, classes, sizes, firsts = [], [], [], [np.zeros(0, np.int64)]
+            for text in batch.column(1).to_pylist():
+                own = shingle_set(text, k, seed)
+                packed.append(zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1))
+                classes.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
+                sizes.append(len(own))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    own = own[np.argsort(np.where(often[at] == own, counts[at], 0), kind="stable")]
+                firsts.append(own[: prefix_length(len(own), threshold)])
+            ends = np.cumsum([len(x) for x in firsts]).astype(np.int32)
+            columns = [
+                batch.column(0),
+                pa.array(packed, pa.binary()),
+                pa.array(np.array(classes, np.uint64).view(np.int64)),
+                pa.array(np.array(sizes, np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "packed", "class", "size", "prefix"])
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.mapInArrow(made, f"_id {kind}, packed binary, class long, size int, prefix array<long>")
+
+
+def prefix_rows(docs: DataFrame, k: int, seed: int, threshold: float, sample_rows: int) -> DataFrame:
+    """``_prefixes`` with a row number, written."""
+    return stage(_prefixes(docs, k, seed, threshold, sample_rows).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+
+
+def _may_match(a: str, b: str, threshold: float):
+    """Whether ``a``, the smaller set, and ``b`` can be similar if this shingle is
+    the first in the common order that they share."""
+    sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    left = F.least(sa - F.col(f"{a}.pos"), sb - F.col(f"{b}.pos"))
+    return (sa >= threshold * sb - SLACK) & (left >= threshold / (1 + threshold) * (sa + sb) - SLACK)
+
+
+def _slices(keys: DataFrame, key: str) -> list[DataFrame]:
+    """Written ``keys`` as tables that are small enough to broadcast."""
+    n = -(-keys.count() // KEYS_AT_ONCE) or 1
+    return [F.broadcast(keys.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, k: int, seed: int, threshold: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose whole sets are similar."""
+
+    def unpacked(x: pa.Scalar) -> np.ndarray:
+        return shingle_set(zlib.decompress(x.as_py()).decode("utf-8", "surrogatepass"), k, seed)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = unpacked(a), unpacked(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both / (len(x) + len(y) - both) >= threshold)
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "near-wanted")
+    # one row of each wanted class
+    at = stage(rows.select("class", "row").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")).select("row"), "near-at")
+    texts = [rows.select("row", "class", "packed").join(x, "row", "left_semi") for x in _slices(at, "row")]
+    known = stage(reduce(DataFrame.unionByName, texts).select("class", "packed"), "near-texts")
+    with_u = pairs.join(known.select(F.col("class").alias("u"), F.col("packed").alias("_u")), "u")
+    with_v = with_u.join(known.select(F.col("class").alias("v"), F.col("packed").alias("_v")), "v")
+    found = stage(with_v.select("u", "v", "_u", "_v").mapInArrow(compared, "u long, v long"), "near-links")
+    for written in (known, wanted, at):
+        drop_staged(written)
+    return found
+
+
+def similar_classes(rows: DataFrame, k: int, seed: int, threshold: float, part: int = 512) -> DataFrame:
+    """``prefix_rows`` to links ``(u, v)`` that connect exactly what all
+    pairs of similar sets connect."""
+    firsts = rows.select("class", "size", F.posexplode("prefix").alias("pos", "h"))
+    group = Window.partitionBy("h")
+    met = firsts.withColumns({"low": F.min("class").over(group), "high": F.max("class").over(group)})
+    met = stage(met.where("low <> high").select("h", "class", "size", "pos").distinct(), "near-met")
+
+    me = F.struct("size", "pos", "class").alias("b")
+    by_size = group.orderBy("size", "class")
+    first = F.first(F.struct("size", "pos", "class")).over(by_size)
+    before = F.lag(F.struct("size", "pos", "class")).over(by_size)
+    few = met.select(me, F.array_distinct(F.array(first, before)).alias("as")).select("b", F.explode("as").alias("a"))
+    few = few.where(F.col("a").isNotNull() & (F.col("a.class") != F.col("b.class")) & _may_match("a", "b", threshold))
+    ends = (F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v"))
+    tried = stage(few.select(*ends).distinct(), "near-pairs")
+    links = _similar(tried, rows, k, seed, threshold)
+
+    roots = connected_components(links)
+    named = met.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    apart = named.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "n": F.count(F.lit(1)).over(group)})
+    parts = F.ceil(F.col("n") / part).cast("int")
+    own = F.pmod(F.xxhash64("class"), parts).cast("int")
+    deal = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
+    dealt = apart.where("low <> high").select("h", "class", "size", "pos", "root", F.explode(deal).alias("at"))
+    dealt = stage(dealt.select("h", "at.p", "at.q", "class", "size", "pos", "root"), "near-apart")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q"))
+    smaller = F.struct("a.size", "a.class") < F.struct("b.size", "b.class")
+    rest = a.join(b, same & smaller & (F.col("a.root") != F.col("b.root")) & _may_match("a", "b", threshold))
+    rest = stage(rest.select(*ends).distinct().join(tried, ["u", "v"], "left_anti"), "near-pairs")
+    return links.unionByName(_similar(rest, rows, k, seed, threshold))
+
+
+def near_copy_components(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, seed: int = 42, sample_rows: int = 10_000
+) -> DataFrame:
+    """One row per document: ``id_col`` and ``component_id``, the smallest id
+    reachable through links of at least ``threshold`` similarity.
+
+    Null and wordless texts have an empty set; they are copies of one another and
+    link with nothing else. A row with a null id keeps its row; it takes the
+    smallest id of its component, or null if there is none. Repeated rows stay
+    repeated; an empty table gives an empty result.
+    """
+    given = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = prefix_rows(given, k, seed, threshold, sample_rows)
+    classes = rows.groupBy("class").agg(F.min("_id").alias("least"))
+    roots = connected_components(similar_classes(rows, k, seed, threshold))
+    rooted = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("class", "component_id")
+    return rows.select("_id", "class").join(named, "class").select(F.col("_id").alias(id_col), "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+    """``docs`` without the later members of each group of near copies: rows whose
+    id is their component's smallest stay, and rows with a null id. All columns
+    are kept."""
+    groups = near_copy_components(docs, id_col, **params)
+    later = stage(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-later")
+    for gone in _slices(later, "_gone"):
+        docs = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs

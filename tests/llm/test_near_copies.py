@@ -1,0 +1,81 @@
+"""Near copies against a plain comparison of all pairs of shingle sets."""
+
+from __future__ import annotations
+
+from llm_words import sentence
+from shared_rows import SF, rows_of
+
+import corpus_pipeline
+from leaselake.llm.near_copies import keep_one_per_component, near_copy_components, prefix_rows, similar_classes
+
+SCHEMA = "doc_id long, text string"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(texts, threshold=0.8):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= threshold * len(x | y):
+                a, b = label[i], label[j]
+                label = [min(a, b) if c in (a, b) else c for c in label]
+    return label
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def corpus(rng):
+    passage = sentence(rng, 40)
+    texts = [None, "", "  ", "one two", "One  two", "a b c d e", "a b c d e f"]
+    for _ in range(30):
+        base = sentence(rng, rng.choice((8, 60, 200, 400)))
+        texts += [base] + [edited(rng, base, rng.randrange(10)) for _ in range(4)]
+    texts += [f"{sentence(rng, rng.choice((3, 8, 60)))} {passage}" for _ in range(40)]
+    dense = sentence(rng, 150)
+    texts += [edited(rng, dense, 2) for _ in range(60)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_all_pairs(spark, rng):
+    texts = corpus(rng)
+    wanted = plain_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert len({*wanted}) < len(texts) - 80
+    assert rows_of(near_copy_components(df), "doc_id", "component_id") == rows_of(spark.createDataFrame(list(enumerate(wanted)), "doc_id long, c long"))
+
+
+def test_large_groups_are_dealt_out(spark, rng):
+    texts = corpus(rng)
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    rows = prefix_rows(df, 5, 42, 0.8, 10)
+    at = {r["class"]: r["_id"] for r in rows.collect()}
+    label = plain_components(texts)
+    for part in (2, 512):
+        links = [(at[r["u"]], at[r["v"]]) for r in similar_classes(rows, 5, 42, 0.8, part).collect()]
+        assert links and all(label[u] == label[v] for u, v in links)
+        assert len(links) < 12 * len(texts)
+
+
+def test_stage_drops_near_copies(spark, rng, monkeypatch):
+    monkeypatch.setattr("leaselake.llm.near_copies.KEYS_AT_ONCE", 50)
+    texts = corpus(rng)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert [r[0] for r in rows_of(kept, "doc_id")] == sorted({*plain_components(texts)}, key=str)
+
+
+def test_null_ids_and_empty(spark):
+    df = spark.createDataFrame([(None, "a b"), (2, "a b"), (1, "a b"), (None, None)], SCHEMA)
+    assert rows_of(keep_one_per_component(df)) == [(None, None), (None, "a b"), (1, "a b")]
+    assert keep_one_per_component(df.limit(0)).count() == 0
