@@ -1,10 +1,10 @@
-"""The registered ``opN_`` queries: thin wrappers that apply one operator each."""
+"""The registered ``opN_`` queries: thin wrappers that apply one operator each.
+The entry point registers ``corpus_pipeline.run`` beside them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from leaselake.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, packing, simhash, suffix_dedup, toxicity, warc
 from leaselake.llm.staging import new_path
 
@@ -62,10 +62,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -77,6 +73,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op5_warc": warc.SQL, "op9_chat_format": chat_format.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
