@@ -4,7 +4,8 @@ Each round joins every node to the smallest node of its neighbourhood, first
 towards larger neighbours and then towards smaller ones, until the link table is
 a set of stars. The rounds are logarithmic in the length of the longest chain;
 each one is written to the shared folder, so lineage stays short and lost
-executors cost one re-read.
+executors cost one re-read. Keys that very many rows share (the centre of a large
+star, the root of a giant component) are joined by a broadcast of those few keys.
 """
 
 from __future__ import annotations
@@ -14,6 +15,27 @@ from pyspark.sql import functions as F
 
 from leaselake.llm.staging import drop_staged, stage
 
+#: Rows of one key that a single task may join.
+ROWS_PER_KEY = 1000
+#: Most keys that ``join_spread`` broadcasts.
+KEYS_BROADCAST = 100_000
+
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has one row a key and says in
+    ``n_rows`` how many of the ``total`` rows carry it.
+
+    A key of more than ``ROWS_PER_KEY`` and more than one in ``KEYS_BROADCAST`` of
+    all rows is broadcast, so its rows stay where they are; there are at most
+    ``KEYS_BROADCAST`` such keys, whatever the size. The others are shuffled.
+    """
+    if total <= ROWS_PER_KEY:  # no key can be over it
+        return rows.join(values.drop("n_rows"), key)
+    often = F.col("n_rows") > max(ROWS_PER_KEY, total // KEYS_BROADCAST)
+    hot = F.broadcast(values.where(often).drop("n_rows"))
+    rest = rows.join(F.broadcast(values.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(values.where(~often).drop("n_rows"), key))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` to ``(node, root)``: root is the smallest node reachable.
@@ -30,7 +52,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stage(links, "cc")
     state = _state(current)
     while state[0]:
-        after = stage(_small_star(_large_star(current)), "cc")
+        after = stage(_small_star(_large_star(current, state[0]), state[0]), "cc")
         drop_staged(current)
         current, before, state = after, state, _state(after)
         if state == before:
@@ -38,20 +60,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def name_components(classes: DataFrame, links: DataFrame, class_col: str = "class", id_col: str = "least") -> DataFrame:
+    """``classes`` with ``component_id``: the smallest ``id_col`` among the classes
+    reachable through ``links(u, v)``; null ids are passed over. ``classes`` is a
+    written table with one row a class."""
+    roots = stage(connected_components(links).select(F.col("node").alias(class_col), F.col("root").alias("_root")), "cc-roots")
+    total = roots.count()
+    if not total:
+        return classes.withColumn("component_id", F.col(id_col))
+    tops = roots.select(F.col("_root").alias(class_col)).distinct().withColumn("_root", F.col(class_col))
+    rooted = stage(classes.select(class_col, id_col).join(roots.unionByName(tops), class_col), "cc-rooted")
+    smallest = rooted.groupBy("_root").agg(F.min(id_col).alias("_smallest"), F.count(F.lit(1)).alias("n_rows"))
+    named = join_spread(rooted.select(class_col, "_root"), smallest, "_root", total).select(class_col, "_smallest", F.lit(True).alias("_linked"))
+    return classes.join(named, class_col, "left").withColumn("component_id", F.when(F.col("_linked"), F.col("_smallest")).otherwise(F.col(id_col))).drop("_smallest", "_linked")
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count(F.lit(1)).alias("n_rows"))
     return (
-        both.join(low, "u")
+        join_spread(both, low, "u", total)
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
         .distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("u").agg(F.min("v").alias("low"))
-    moved = links.join(low, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    low = links.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n_rows"))
+    moved = join_spread(links, low, "u", total).where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaselake.llm.components import connected_components
+from leaselake.llm.components import join_spread, name_components
 from leaselake.llm.staging import stage
 
 ALL_BITS = (1 << 64) - 1
@@ -225,12 +225,11 @@ def simhash_components(
     """
     hashed = simhash_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", k, seed, "fp")
     rows = stage(hashed.select("_id", "fp"), "simhash-fp")
-    classes = rows.groupBy("fp").agg(F.min("_id").alias("least"))
-    roots = connected_components(trie_links(rows.select("fp").distinct(), budget, bucket_limit))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    total = rows.count()
+    classes = stage(rows.groupBy(F.col("fp").alias("class")).agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "simhash-classes")
+    links = trie_links(classes.select(F.col("class").alias("fp")), budget, bucket_limit)
+    named = name_components(classes, links).select(F.col("class").alias("fp"), "component_id", "n_rows")
+    return join_spread(rows, named, "fp", total).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

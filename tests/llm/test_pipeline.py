@@ -10,7 +10,7 @@ from leaselake.llm.decontamination import decontaminate
 from leaselake.llm.mixing import mix_sources
 from leaselake.llm.packing import END_OF_TEXT
 from leaselake.llm.queries import QUERIES, SQL
-from leaselake.llm.simhash import simhash_components
+from leaselake.llm.simhash_pairs import similar_components
 from leaselake.llm.toxicity import toxicity
 
 
@@ -41,7 +41,7 @@ def test_toxicity(spark, kept):
 
 
 def test_near_duplicates(spark, kept):
-    assert ids(kept[2]) == ids(simhash_components(kept[1]).where("doc_id = component_id"))
+    assert ids(kept[2]) == ids(similar_components(kept[1]).where("doc_id = component_id"))
 
 
 def test_decontamination(spark, kept):
