@@ -1,28 +1,31 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
 A byte goes if a string of ``length`` (100) bytes that covers it also starts
-earlier: in a document before, or in the same one further to the left. In suffix
-order, with equal strings ordered by where they start, the previous smaller
-position of a suffix is its neighbour; its longest previous factor reaches
-``length`` exactly if that neighbour agrees on the first ``length`` bytes.
+earlier: in a document before, or in the same one further to the left; so it goes
+if a suffix before it has a longest previous factor of ``length`` or more that
+reaches it (``factors.py``: suffix order, previous and next smaller positions).
 
-Sorting every suffix of the corpus is not possible within bounds, and not needed:
+Sorting every suffix of the corpus is not possible within bounds. What is sorted:
 
 1. Anchors. Each window of ``length`` bytes has an anchor, its rightmost k-gram of
    least hash; equal windows have equal anchors at equal places. Windows in a row
    with one anchor form a run. Per run one record (hash of the anchor, hash of the
    run's bytes, place) is dealt by the anchor's hash, about one for 39 bytes.
-2. Runs that equal an earlier run are covered whole. Runs whose anchor is met with
-   other bytes too are open; all further ones are unique.
-3. Open runs, few, are cut out of the texts and dealt by anchor (a frequent anchor
-   further by its windows' hashes). There the windows are put in suffix order and
-   the longest previous factors decide.
+2. A run whose anchor is met nowhere else has no earlier factor of this length. Runs
+   that equal an earlier run, by two 64-bit hashes, are covered whole. Runs whose
+   anchor is met with other bytes, too, are open.
+3. Open runs are cut out of the texts and dealt by anchor. Each bucket's runs are put
+   one behind the other, and their suffixes in suffix order; where the longest
+   previous factor reaches ``length`` it is covered.
 4. Covered stretches go back to their documents, where they are united.
 
 Before records are dealt, each task keeps only the earliest of equal runs it met,
-so a passage that a third of all documents share arrives once per task. Runs are
-compared by two 64-bit hashes, windows byte by byte. Data moves as packed arrays,
-one row per task and bucket, since a row per record would cost more than its work.
+so a passage that a third of all documents share arrives once per task. An anchor
+with very many different runs would still be one task's work; its runs, from the
+task that met too many of them or from step 2 on, go out as windows instead (two
+64-bit hashes and a place each), dealt by hash, where the earliest of equal ones
+stays. Data moves as packed arrays, one row per task and bucket, since a row per
+record would cost more than its work.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leaselake.llm.factors import longest_previous_factors, packed_bytes
 from leaselake.llm.staging import stage
 
 LENGTH = 100
@@ -44,15 +48,21 @@ PIECE = 1 << 20
 WINDOW_BYTES = 64 << 20
 #: Bytes of open runs after which a task deals them out.
 OPEN_BYTES = 16 << 20
-#: Open runs of one anchor above which they are dealt by window.
+#: Different runs of one anchor above which they are dealt as windows.
 RUNS_PER_ANCHOR = 500
+#: The same within one task's ``WINDOW_BYTES``; less where there are very many tasks.
+RUNS_PER_TASK = 64
+#: Runs of one anchor that may come together from all tasks.
+RUNS_TOGETHER = 4_000_000
 #: Windows that are sorted together.
 WINDOWS_AT_ONCE = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(1234)
 BYTE_CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+OTHER_BASE = 0xD1342543DE82EF95
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -141,60 +151,101 @@ def covered_runs(anchor, body, doc, start, end):
     return order[~same], order[same & moved]
 
 
-def covered_windows(pieces: list[bytes] | np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = LENGTH):
-    """Starts (doc, start) of the windows of the pieces whose longest previous
-    factor is at least ``length``: equal in suffix order to the window before."""
-    content = np.frombuffer(b"".join(pieces), np.uint8) if isinstance(pieces, list) else pieces
-    if not len(sizes):
-        return doc, start
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    many = sizes - length + 1
+def covered_factors(content: np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = LENGTH):
+    """Stretches (doc, start, end) of the pieces of ``content`` that an earlier
+    factor of at least ``length`` bytes covers. Pieces stand at ``start`` of their
+    documents, which are numbered in order.
+
+    Suffixes are worked on in groups by a hash of their first ``length`` bytes, so
+    that no sort holds more than about ``WINDOWS_AT_ONCE`` of them.
+    """
+    sizes, start = sizes.astype(np.int64), start.astype(np.int64)
+    many = np.maximum(sizes - length + 1, 0)
     piece = np.repeat(np.arange(len(sizes)), many)
-    step = np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-    windows = np.lib.stride_tricks.sliding_window_view(content, length)[first[piece] + step]
-    doc, place = doc[piece], start[piece] + step
-    order = np.lexsort((place, doc))
-    strings = np.ascontiguousarray(windows[order]).view(f"S{length}").ravel()
-    order = order[np.argsort(strings, kind="stable")]
-    suffixes = windows[order]
-    equal = np.r_[False, (suffixes[1:] == suffixes[:-1]).all(axis=1)]
-    lead = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))]
-    moved = (doc[order] != doc[lead]) | (place[order] != place[lead])
-    hit = order[equal & moved]
-    return doc[hit], place[hit]
+    step = np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many) if len(piece) else piece
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    place = start[piece] + step
+    order = np.lexsort((step, place, doc[piece]))  # earlier suffixes get smaller numbers
+    piece, step, place = piece[order], step[order], place[order]
+    own = doc[piece]
+    again = np.r_[False, (own[1:] == own[:-1]) & (place[1:] == place[:-1])] if len(own) else np.zeros(0, bool)
+    piece, step, place, own = (x[~again] for x in (piece, step, place, own))  # a row that repeats is one document
+    at, ends = first[piece] + step, (first + sizes)[piece]
+    packed = packed_bytes(content)
+    groups = -(-len(at) // WINDOWS_AT_ONCE)
+    if groups > 1:
+        head = np.zeros(len(at), np.uint64)
+        for k in range(0, length - 6, 7):  # equal beginnings have equal sums
+            head = (head + packed[at + k]) * np.uint64(BASE)
+        group = (_mixed(head) % np.uint64(groups)).astype(np.int64)
+        dealt = np.argsort(group, kind="stable")
+        parts = np.split(dealt, np.searchsorted(group[dealt], np.arange(1, groups)))
+    else:
+        parts = [np.arange(len(at))]
+    reach = np.zeros(len(at), np.int64)
+    for rows in parts:
+        if len(rows) > 1:
+            reach[rows] = longest_previous_factors(packed, at[rows], ends[rows], length)
+    hit = np.flatnonzero(reach)
+    return own[hit], place[hit], place[hit] + reach[hit]
+
+
+def window_hashes(content: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of the strings ``content[at : at + length]``."""
+    out = []
+    for codes, base in ((BYTE_CODES, BASE), (OTHER_CODES, OTHER_BASE)):
+        step = np.uint64(base)
+        found = np.zeros(len(at), np.uint64)
+        for k in range(length):
+            found = found * step + codes[content[at + k]]
+        out.append(_mixed(found))
+    return out[0], out[1]
+
+
+def repeated_windows(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, start: np.ndarray):
+    """(kept, again): indexes of the earliest of equal windows, and of the others."""
+    order = np.lexsort((start, doc, w2, w1))
+    if not len(order):
+        return order, order
+    same = np.r_[False, (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])]
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    moved = (doc[order] != doc[lead]) | (start[order] != start[lead])
+    return order[~same], order[same & moved]
 
 
 # Packed rows -----------------------------------------------------------------
 
-RUNS = ["part", "d1", "d2", "anchor", "body", "doc", "start", "size", "cdoc", "cstart", "cend"]
-FOUND = ["part", "d1", "d2", "cdoc", "cstart", "cend", "odoc", "ostart", "oend", "oanchor", "osplit"]
-OPEN = ["part", "d1", "d2", "doc", "start", "size", "content"]
-TYPES = {"d1": np.int64, "d2": np.int64, "anchor": np.uint64, "body": np.uint64, "oanchor": np.uint64, "content": np.uint8}
+#: Columns of a packed row: documents, then groups of records that refer to them.
+GROUPS = {
+    "doc": ["anchor", "body", "start", "size"],  # runs
+    "wdoc": ["w1", "w2", "wstart"],  # windows of anchors with very many runs
+    "cdoc": ["cstart", "cend"],  # covered stretches
+    "odoc": ["oanchor", "ostart", "oend", "omany"],  # open runs
+    "bdoc": ["bstart", "bsize"],  # open runs' bytes, in ``content``
+}
+PACKED = ["part", "d1", "d2", *[n for d, own in GROUPS.items() for n in (d, *own)], "content", "hot"]
+TYPES = {"d1": np.int64, "d2": np.int64, "content": np.uint8} | {n: np.uint64 for n in ("anchor", "body", "w1", "w2", "oanchor", "hot")}
 
 
-def _schema(names: list[str]) -> str:
-    return ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in names)
+SCHEMA = ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in PACKED)
 
 
-def _packed(names: list[str], part: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    cells = [pa.array([part], pa.int32())]
-    cells += [pa.array([np.ascontiguousarray(columns[n], TYPES.get(n, np.int32)).tobytes()], pa.binary()) for n in names[1:]]
-    return pa.RecordBatch.from_arrays(cells, names=names)
+def _is_doc(name: str) -> bool:
+    return name in GROUPS
 
 
-def _unpacked(names: list[str], batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
     """Columns of all rows put together, documents renumbered to one table that is
     in document order."""
-    parts: dict[str, list[np.ndarray]] = {n: [] for n in names[1:]}
+    parts: dict[str, list[np.ndarray]] = {n: [] for n in ("d1", "d2", *names)}
     base = 0
     for batch in batches:
-        for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names[1:]), strict=True):
-            cells = {n: np.frombuffer(x, TYPES.get(n, np.int32)) for n, x in zip(names[1:], row, strict=True)}
+        for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in parts), strict=True):
+            cells = {n: np.frombuffer(x, TYPES.get(n, np.int32)) for n, x in zip(parts, row, strict=True)}
             for n, x in cells.items():
-                parts[n].append(x.astype(np.int64) + base if n.endswith("doc") else x)
+                parts[n].append(x.astype(np.int64) + base if _is_doc(n) else x)
             base += len(cells["d1"])
-    out = {n: np.concatenate([np.zeros(0, np.int64 if n.endswith("doc") else TYPES.get(n, np.int32)), *x]) for n, x in parts.items()}
-    return _ordered(out)
+    return _ordered({n: np.concatenate([np.zeros(0, np.int64 if _is_doc(n) else TYPES.get(n, np.int32)), *x]) for n, x in parts.items()})
 
 
 def _ordered(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -202,28 +253,41 @@ def _ordered(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     docs = np.empty(len(columns["d1"]), [("d1", np.int64), ("d2", np.int64)])
     docs["d1"], docs["d2"] = columns["d1"], columns["d2"]
     docs, number = np.unique(docs, return_inverse=True)
-    out = {n: number.ravel()[x] if n.endswith("doc") else x for n, x in columns.items()}
+    out = {n: number.ravel()[x] if _is_doc(n) else x for n, x in columns.items()}
     out["d1"], out["d2"] = docs["d1"].copy(), docs["d2"].copy()
     return out
 
 
-def _deal(names: list[str], doc_columns: dict[str, list[str]], target: dict[str, np.ndarray], columns: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """One packed row per bucket. ``doc_columns`` maps each document column to the
-    columns that go with it, ``target`` to the bucket of each of its entries."""
+def _deal(c: dict[str, np.ndarray], target: dict[str, np.ndarray], parts: int, bodies: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """One packed row per bucket. ``target`` maps each document column (and ``hot``)
+    that ``c`` holds to the bucket of each of its entries; ``bodies`` are the bytes
+    of the entries of ``bdoc``."""
     orders = {d: np.argsort(t, kind="stable") for d, t in target.items()}
     cuts = {d: np.searchsorted(target[d][orders[d]], np.arange(parts + 1)) for d in target}
-    for part in range(parts):
+    for part in np.unique(np.concatenate([np.zeros(0, np.int64), *target.values()])).tolist():
         rows = {d: orders[d][cuts[d][part] : cuts[d][part + 1]] for d in target}
-        if not any(len(x) for x in rows.values()):
-            continue
-        used, number = np.unique(np.concatenate([columns[d][rows[d]] for d in rows]), return_inverse=True)
-        cells, at = {"d1": columns["d1"][used], "d2": columns["d2"][used]}, 0
-        for d, own in doc_columns.items():
+        docs = [d for d in rows if _is_doc(d)]
+        used, number = np.unique(np.concatenate([np.zeros(0, np.int64), *[c[d][rows[d]] for d in docs]]), return_inverse=True)
+        cells, at = {"d1": c["d1"][used], "d2": c["d2"][used]}, 0
+        for d in docs:
             cells[d] = number[at : at + len(rows[d])]
             at += len(rows[d])
-            for n in own:
-                cells[n] = columns[n][rows[d]]
-        yield _packed(names, part, cells)
+            for n in GROUPS[d]:
+                cells[n] = c[n][rows[d]]
+        if "hot" in rows:
+            cells["hot"] = c["hot"][rows["hot"]]
+        out = [pa.array([part], pa.int32())]
+        for n in PACKED[1:]:
+            if n == "content" and bodies is not None:
+                cell = b"".join([bodies[i] for i in rows["bdoc"].tolist()])
+            else:
+                cell = np.ascontiguousarray(cells[n], TYPES.get(n, np.int32)).tobytes() if n in cells else b""
+            out.append(pa.array([cell], pa.binary()))
+        yield pa.RecordBatch.from_arrays(out, names=PACKED)
+
+
+def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes % np.uint64(parts)).astype(np.int64)
 
 
 def _doc_part(columns: dict[str, np.ndarray], docs: np.ndarray, parts: int) -> np.ndarray:
@@ -242,21 +306,51 @@ def _split(rows: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[tupl
             yield d1, d2, at, body[at : at + PIECE]
 
 
-def _run_records(length: int, parts: int):
-    """Task: texts to packed runs, dealt by anchor."""
+def _as_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length: int):
+    """Columns ``wdoc, wstart, w1, w2`` of all windows of the pieces, but for those
+    that repeat an earlier one among them, and (doc, start) of the latter."""
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    many = np.maximum(sizes - length + 1, 0)
+    piece = np.repeat(np.arange(len(sizes)), many)
+    step = np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
+    at = np.r_[0, np.cumsum(sizes)[:-1]][piece] + step
+    w1, w2 = window_hashes(np.frombuffer(b"".join(pieces), np.uint8), at, length)
+    own, place = doc[piece], start[piece] + step
+    kept, again = repeated_windows(w1, w2, own, place)
+    return {"wdoc": own[kept], "wstart": place[kept], "w1": w1[kept], "w2": w2[kept]}, own[again], place[again]
+
+
+def _run_records(length: int, parts: int, per_task: int):
+    """Task: texts to packed runs, dealt by anchor. Runs of an anchor that the task
+    met with more than ``per_task`` bodies go as windows, and mark the anchor."""
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         columns = {n: np.concatenate([h[n] for h in held]) for n in ("d1", "d2", "anchor", "body", "start", "size")}
         base = np.r_[0, np.cumsum([len(h["d1"]) for h in held])[:-1]]
         columns["doc"] = np.concatenate([h["doc"] + b for h, b in zip(held, base, strict=True)])
+        texts, offsets = [x for h in held for x in h["texts"]], np.concatenate([h["offsets"] for h in held])
+        given = columns["doc"]  # the piece of each run
         c = _ordered(columns)
         end = c["start"] + c["size"]
         kept, gone = covered_runs(c["anchor"], c["body"], c["doc"], c["start"], end)
-        c["cdoc"], c["cstart"], c["cend"] = united(c["doc"][gone], c["start"][gone], end[gone])
+        stretches = [(c["doc"][gone], c["start"][gone], end[gone])]
+        _, which, count = np.unique(c["anchor"][kept], return_inverse=True, return_counts=True)
+        busy = count[which] > per_task
+        wide, kept = kept[busy], kept[~busy]
+        if len(wide):
+            at = c["start"][wide] - offsets[given[wide]]
+            pieces = [texts[p][a : a + n] for p, a, n in zip(given[wide].tolist(), at.tolist(), c["size"][wide].tolist(), strict=True)]
+            windows, doc, place = _as_windows(pieces, c["doc"][wide], c["start"][wide], length)
+            c |= windows
+            c["hot"] = np.unique(c["anchor"][wide])
+            stretches.append((doc, place, place + length))
+        c["cdoc"], c["cstart"], c["cend"] = united(*(np.concatenate(x) for x in zip(*stretches, strict=True)))
         for n in ("anchor", "body", "doc", "start", "size"):
             c[n] = c[n][kept]
-        target = {"doc": (c["anchor"] % np.uint64(parts)).astype(np.int64), "cdoc": _doc_part(c, c["cdoc"], parts)}
-        yield from _deal(RUNS, {"doc": ["anchor", "body", "start", "size"], "cdoc": ["cstart", "cend"]}, target, c, parts)
+        target = {"doc": _bucket(c["anchor"], parts), "cdoc": _doc_part(c, c["cdoc"], parts)}
+        if len(wide):
+            target |= {"wdoc": _bucket(c["w1"], parts), "hot": _bucket(c["hot"], parts)}
+        yield from _deal(c, target, parts)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, piece, filled = [], 0, [], 0
@@ -266,14 +360,16 @@ def _run_records(length: int, parts: int):
             ends = np.cumsum(sizes)
             anchor, body, first, end = runs_of(np.frombuffer(b"".join(x[3] for x in piece), np.uint8), ends - sizes, ends, length)
             doc = np.searchsorted(ends, first, "right")
-            offset = np.array([x[2] for x in piece], np.int64) - (ends - sizes)
+            offsets = np.array([x[2] for x in piece], np.int64)
             return {
                 "d1": np.array([x[0] for x in piece], np.int64),
                 "d2": np.array([x[1] for x in piece], np.int64),
+                "texts": [x[3] for x in piece],
+                "offsets": offsets,
                 "anchor": anchor,
                 "body": body,
                 "doc": doc,
-                "start": first + offset[doc],
+                "start": first + (offsets - (ends - sizes))[doc],
                 "size": end - first,
             }
 
@@ -299,10 +395,11 @@ def _run_records(length: int, parts: int):
 
 def _match_runs(parts: int):
     """Task: the runs of one bucket of anchors to covered stretches and open runs,
-    dealt by document."""
+    dealt by document. Windows pass through, in their bucket."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _unpacked(RUNS, batches)
+        names = [n for d in ("doc", "cdoc", "wdoc") for n in (d, *GROUPS[d])]
+        c = _unpacked(batches, [*names, "hot"])
         if not len(c["d1"]):
             return
         end = c["start"].astype(np.int64) + c["size"]
@@ -310,37 +407,36 @@ def _match_runs(parts: int):
         stretches = [np.concatenate([c[n], x[gone]]) for n, x in (("cdoc", c["doc"]), ("cstart", c["start"]), ("cend", end))]
         c["cdoc"], c["cstart"], c["cend"] = united(*stretches)
         # kept is sorted by anchor: those met with different bytes are open
-        anchor = c["anchor"][kept]
-        _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        many = count[which]
-        still = kept[many > 1]
+        _, which, count = np.unique(c["anchor"][kept], return_inverse=True, return_counts=True)
+        hot = np.isin(c["anchor"][kept], c["hot"]) | (count[which] > RUNS_PER_ANCHOR)
+        still = kept[(count[which] > 1) | hot]
         c["odoc"], c["ostart"], c["oend"], c["oanchor"] = c["doc"][still], c["start"][still], end[still], c["anchor"][still]
-        c["osplit"] = -(-many[many > 1] // RUNS_PER_ANCHOR)
-        target = {d: _doc_part(c, c[d], parts) for d in ("cdoc", "odoc")}
-        yield from _deal(FOUND, {"cdoc": ["cstart", "cend"], "odoc": ["ostart", "oend", "oanchor", "osplit"]}, target, c, parts)
+        c["omany"] = hot[(count[which] > 1) | hot]
+        target = {d: _doc_part(c, c[d], parts) for d in ("cdoc", "odoc")} | {"wdoc": _bucket(c["w1"], parts)}
+        yield from _deal(c, target, parts)
 
     return matched
 
 
 def _read_found(blobs: list[pa.RecordBatch]):
     """Covered stretches and open runs by document: (d1, d2) to a slice of each."""
-    c = _unpacked(FOUND, iter(blobs))
+    c = _unpacked(iter(blobs), [n for d in ("cdoc", "odoc") for n in (d, *GROUPS[d])])
     out = {}
-    for d, own in (("cdoc", ("cstart", "cend")), ("odoc", ("ostart", "oend", "oanchor", "osplit"))):
+    for d in ("cdoc", "odoc"):
         order = np.argsort(c[d], kind="stable")
         cut = np.searchsorted(c[d][order], np.arange(len(c["d1"]) + 1))
-        out[d] = cut, [c[n][order] for n in own]
+        out[d] = cut, [c[n][order] for n in GROUPS[d]]
     return {k: i for i, k in enumerate(zip(c["d1"].tolist(), c["d2"].tolist(), strict=True))}, out
 
 
-def _with_found(batches: Iterator[pa.RecordBatch], names: list[str], each):
+def _with_found(batches: Iterator[pa.RecordBatch], each):
     """Rows of one bucket of documents: packed rows come first, then the texts."""
     blobs, table = [], None
     for batch in batches:
         kind = batch.column(0).to_numpy()
         packed = int((kind == 0).sum())
         if packed:
-            blobs.append(pa.RecordBatch.from_arrays([batch.column(n).slice(0, packed) for n in FOUND], names=FOUND))
+            blobs.append(pa.RecordBatch.from_arrays([batch.column(n).slice(0, packed) for n in PACKED], names=PACKED))
         if packed < batch.num_rows:
             if table is None:
                 table = _read_found(blobs)
@@ -348,102 +444,73 @@ def _with_found(batches: Iterator[pa.RecordBatch], names: list[str], each):
             yield from each(table, batch.slice(packed))
 
 
-def _open_windows(length: int, parts: int):
-    """Task: texts and their open runs to the runs' bytes, dealt by anchor."""
+def _open_runs(length: int, parts: int):
+    """Task: texts and their open runs to the runs' bytes, dealt by anchor; runs of
+    anchors with very many go as windows, dealt by hash."""
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
-        d1, d2, start, anchor, body = map(list, zip(*held, strict=True))
-        c = {"d1": np.array(d1), "d2": np.array(d2), "doc": np.arange(len(held)), "start": np.array(start)}
-        target = (np.array(anchor, np.uint64) % np.uint64(parts)).astype(np.int64)
-        for part in np.unique(target):
-            rows = np.flatnonzero(target == part)
-            docs = np.unique(np.column_stack([c["d1"][rows], c["d2"][rows]]), axis=0, return_inverse=True)
-            cells = {"d1": docs[0][:, 0], "d2": docs[0][:, 1], "doc": docs[1].ravel(), "start": c["start"][rows], "size": [len(body[i]) for i in rows]}
-            cells["content"] = np.frombuffer(b"".join(body[i] for i in rows), np.uint8)
-            yield _packed(OPEN, int(part), cells)
+        d1, d2, start, anchor, many, body = zip(*held, strict=True)
+        doc, start, many = np.arange(len(held)), np.array(start, np.int64), np.array(many, bool)
+        few = np.flatnonzero(~many)
+        c = {"d1": np.array(d1), "d2": np.array(d2), "bdoc": few, "bstart": start[few]}
+        bodies = [body[i] for i in few.tolist()]
+        c["bsize"] = np.array([len(x) for x in bodies])
+        target = {"bdoc": _bucket(np.array(anchor, np.uint64)[few], parts)}
+        if many.any():
+            number = _ordered({"d1": c["d1"], "d2": c["d2"], "doc": doc})  # windows are kept by document order
+            windows, gone, place = _as_windows([body[i] for i in np.flatnonzero(many).tolist()], number["doc"][many], start[many], length)
+            c |= {"d1": number["d1"], "d2": number["d2"], "bdoc": number["doc"][few]} | windows
+            c["cdoc"], c["cstart"], c["cend"] = united(gone, place, place + length)
+            target |= {"wdoc": _bucket(c["w1"], parts), "cdoc": _doc_part(c, c["cdoc"], parts)}
+        yield from _deal(c, target, parts, bodies)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], [0]
 
         def each(table, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             number, found = table
-            cut, (starts, ends, anchors, splits) = found["odoc"]
-            d1s, d2s, texts = (batch.column(n) for n in ("t1", "t2", "body"))
+            cut, (anchors, starts, ends, many) = found["odoc"]
+            d1s, d2s, texts = (batch.column(n) for n in ("t1", "t2", "utf8"))
             for k, key in enumerate(zip(d1s.to_pylist(), d2s.to_pylist(), strict=True)):
                 i = number.get(key)
                 if i is None or cut[i] == cut[i + 1]:
                     continue
                 text = texts[k].as_py()
                 for j in range(cut[i], cut[i + 1]):
-                    a, b, anchor, split = int(starts[j]), int(ends[j]), int(anchors[j]), int(splits[j])
-                    if split == 1:
-                        held.append((*key, a, anchor, text[a:b]))
-                        size[0] += b - a
-                        continue
-                    for at in range(a, b - length + 1):  # equal windows go one way, whatever run they stand in
-                        window = text[at : at + length]
-                        way = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
-                        held.append((*key, at, anchor ^ (way % split + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, window))
-                        size[0] += length
+                    a, b = int(starts[j]), int(ends[j])
+                    held.append((*key, a, int(anchors[j]), bool(many[j]), text[a:b]))
+                    size[0] += b - a
                 if size[0] >= OPEN_BYTES:
                     yield from emit(held)
                     held.clear()
                     size[0] = 0
 
-        yield from _with_found(batches, FOUND, each)
+        yield from _with_found(batches, each)
         if held:
             yield from emit(held)
 
     return opened
 
 
-def _match_windows(length: int, parts: int):
-    """Task: the open runs of one bucket in suffix order, by groups of windows that
-    share their first bytes, to covered stretches dealt by document."""
+def _match_factors(length: int, parts: int):
+    """Task: the open runs of one bucket by their longest previous factors, and its
+    windows by their hashes, to covered stretches dealt by document."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _unpacked(OPEN, batches)
+        names = [n for d in ("bdoc", "cdoc", "wdoc") for n in (d, *GROUPS[d])]
+        c = _unpacked(batches, [*names, "content"])
         if not len(c["d1"]):
             return
-        doc, place = _suffix_groups(c, length)
-        c["cdoc"], c["cstart"], c["cend"] = united(doc, place, place + length)
-        c["odoc"] = np.zeros(0, np.int64)
-        c |= {n: np.zeros(0, np.int64) for n in ("ostart", "oend", "oanchor", "osplit")}
-        target = {d: _doc_part(c, c[d], parts) for d in ("cdoc", "odoc")}
-        yield from _deal(FOUND, {"cdoc": ["cstart", "cend"], "odoc": ["ostart", "oend", "oanchor", "osplit"]}, target, c, parts)
+        doc, start, end = covered_factors(c["content"], c["bsize"], c["bdoc"], c["bstart"], length)
+        _, again = repeated_windows(c["w1"], c["w2"], c["wdoc"], c["wstart"])
+        place = c["wstart"][again].astype(np.int64)
+        stretches = ((c["cdoc"], c["cstart"], c["cend"]), (doc, start, end), (c["wdoc"][again], place, place + length))
+        c["cdoc"], c["cstart"], c["cend"] = united(*(np.concatenate(x) for x in zip(*stretches, strict=True)))
+        yield from _deal(c, {"cdoc": _doc_part(c, c["cdoc"], parts)}, parts)
 
     return matched
 
 
-def _suffix_groups(c: dict[str, np.ndarray], length: int):
-    """Windows are sorted in groups by a hash of their bytes, so that no sort
-    holds more than about ``WINDOWS_AT_ONCE`` of them in memory."""
-    sizes = c["size"].astype(np.int64)
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    many = sizes - length + 1
-    total = int(many.sum())
-    groups = -(-total // WINDOWS_AT_ONCE)
-    start = c["start"].astype(np.int64)
-    if groups <= 1:
-        return covered_windows(c["content"], sizes, c["doc"], start, length)
-    piece = np.repeat(np.arange(len(sizes)), many)
-    step = np.arange(total) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-    at = first[piece] + step
-    views = np.lib.stride_tricks.sliding_window_view(c["content"], length)
-    head = np.zeros(total, np.uint64)
-    for k in range(0, length, 7):  # equal windows have equal sums
-        head = (head + c["content"][at + k].astype(np.uint64)) * np.uint64(BASE)
-    group = (_mixed(head) % np.uint64(groups)).astype(np.int64)
-    docs, places = [], []
-    order = np.argsort(group, kind="stable")
-    for rows in np.split(order, np.searchsorted(group[order], np.arange(1, groups))):
-        if len(rows):
-            d, p = covered_windows(np.ascontiguousarray(views[at[rows]]).ravel(), np.full(len(rows), length), c["doc"][piece[rows]], start[piece[rows]] + step[rows], length)
-            docs.append(d)
-            places.append(p)
-    return np.concatenate(docs), np.concatenate(places)
-
-
 RESULT = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RESULT_ARROW = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN)])
@@ -453,7 +520,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each(table, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         number, found = table
         cut, (starts, ends) = found["cdoc"]
-        ids, d1s, d2s, texts = (batch.column(n) for n in ("id", "t1", "t2", "body"))
+        ids, d1s, d2s, texts = (batch.column(n) for n in ("id", "t1", "t2", "utf8"))
         rows = []
         for k, key in enumerate(zip(d1s.to_pylist(), d2s.to_pylist(), strict=True)):
             text, i = texts[k].as_py(), number.get(key)
@@ -479,15 +546,15 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         yield pa.RecordBatch.from_pylist(rows, schema=RESULT_ARROW)
 
-    yield from _with_found(batches, FOUND, each)
+    yield from _with_found(batches, each)
 
 
 def _beside(texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Packed rows and texts of each bucket of documents, packed rows first."""
     none = F.lit(None)
-    left = found.select(F.lit(0).alias("kind"), *[F.col(n) for n in FOUND], none.cast("long").alias("id"), none.cast("long").alias("t1"), none.cast("long").alias("t2"), none.cast("binary").alias("body"))
+    left = found.select(F.lit(0).alias("kind"), *[F.col(n) for n in PACKED], none.cast("long").alias("id"), none.cast("long").alias("t1"), none.cast("long").alias("t2"), none.cast("binary").alias("utf8"))
     right = texts.select(
-        F.lit(1).alias("kind"), F.pmod(F.col("t1").bitwiseXOR(F.col("t2")), F.lit(parts)).cast("int").alias("part"), *[none.cast("binary").alias(n) for n in FOUND[1:]], "id", "t1", "t2", "body"
+        F.lit(1).alias("kind"), F.pmod(F.col("t1").bitwiseXOR(F.col("t2")), F.lit(parts)).cast("int").alias("part"), *[none.cast("binary").alias(n) for n in PACKED[1:]], "id", "t1", "t2", "utf8"
     )
     return left.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
@@ -502,14 +569,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lose nothing. An empty table gives an empty result.
     """
     body = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("t1"), body.alias("body")).withColumn("t2", F.xxhash64("body"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("t1"), body.alias("utf8")).withColumn("t2", F.xxhash64("utf8"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    runs = texts.select("t1", "t2", "body").mapInArrow(_run_records(length, parts), _schema(RUNS))
-    dealt = runs.repartitionById(parts, F.col("part"))
-    found = stage(dealt.mapInArrow(_match_runs(parts), _schema(FOUND)), "repeats-found")
-    opened = _beside(texts, found, parts).mapInArrow(_open_windows(length, parts), _schema(OPEN))
-    more = stage(opened.repartitionById(parts, F.col("part")).mapInArrow(_match_windows(length, parts), _schema(FOUND)), "repeats-windows")
+    per_task = min(RUNS_PER_TASK, max(4, RUNS_TOGETHER // max(1, total // WINDOW_BYTES)))
+    runs = texts.select("t1", "t2", "utf8").mapInArrow(_run_records(length, parts, per_task), SCHEMA)
+    found = stage(runs.repartitionById(parts, F.col("part")).mapInArrow(_match_runs(parts), SCHEMA), "repeats-found")
+    opened = _beside(texts, found, parts).mapInArrow(_open_runs(length, parts), SCHEMA)
+    windows = found.where(F.octet_length("w1") > 0).withColumns({n: F.lit(b"") for n in ("cdoc", "cstart", "cend")})
+    more = stage(opened.unionByName(windows).repartitionById(parts, F.col("part")).mapInArrow(_match_factors(length, parts), SCHEMA), "repeats-factors")
     out = _beside(texts, found.unionByName(more), parts).mapInArrow(_finish, RESULT)
     return out.withColumnRenamed("_id", id_col)
 

@@ -60,7 +60,7 @@ def test_against_all_windows(spark, seed, monkeypatch):
     check(spark, list(enumerate(texts(rng))) + [(-5, None), (None, texts(rng)[0])], (10, 30, 100)[seed])
 
 
-def local(docs, length, parts=3):
+def local(docs, length, per_task=64, parts=3):
     """The operator's tasks one after the other, without Spark."""
     import pyarrow as pa
 
@@ -75,20 +75,28 @@ def local(docs, length, parts=3):
     def beside(q, found):
         for b in found:
             if b.column(0)[0].as_py() == q:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *b.columns, *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary())], names=["kind", *D.FOUND, "id", "t1", "t2", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *b.columns, *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary())], names=["kind", *D.PACKED, "id", "t1", "t2", "utf8"])
         mine = [k for k, (a, b) in enumerate(keys) if (a ^ b) % parts == q]
         n = len(mine)
-        cells = [pa.array([1] * n, pa.int32()), pa.array([q] * n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in D.FOUND[1:]]]
+        cells = [pa.array([1] * n, pa.int32()), pa.array([q] * n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in D.PACKED[1:]]]
         cells += [pa.array([keys[k][0] for k in mine], pa.int64()), pa.array([keys[k][0] for k in mine], pa.int64()), pa.array([keys[k][1] for k in mine], pa.int64()), pa.array([docs[k] for k in mine], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cells, names=["kind", *D.FOUND, "id", "t1", "t2", "body"])
+        yield pa.RecordBatch.from_arrays(cells, names=["kind", *D.PACKED, "id", "t1", "t2", "utf8"])
+
+    def cleared(batches):
+        """Windows alone, without the covered stretches beside them."""
+        for b in batches:
+            for n in ("cdoc", "cstart", "cend"):
+                b = b.set_column(D.PACKED.index(n), n, pa.array([b""], pa.binary()))
+            yield b
 
     runs = []
     for half in (slice(0, None, 2), slice(1, None, 2)):
         batch = pa.record_batch({"t1": pa.array([a for a, _ in keys[half]], pa.int64()), "t2": pa.array([b for _, b in keys[half]], pa.int64()), "body": pa.array(docs[half], pa.binary())})
-        runs += D._run_records(length, parts)(iter([batch]))
+        runs += D._run_records(length, parts, per_task)(iter([batch]))
     found = [b for mine in by_part(runs).values() for b in D._match_runs(parts)(iter(mine))]
-    opened = [b for q in range(parts) for b in D._open_windows(length, parts)(beside(q, found))]
-    found += [b for mine in by_part(opened).values() for b in D._match_windows(length, parts)(iter(mine))]
+    opened = [b for q in range(parts) for b in D._open_runs(length, parts)(beside(q, found))]
+    opened += cleared(found)
+    found += [b for mine in by_part(opened).values() for b in D._match_factors(length, parts)(iter(mine))]
     return {r["_id"]: r for q in range(parts) for b in D._finish(beside(q, found)) for r in b.to_pylist()}
 
 
@@ -100,7 +108,7 @@ def test_tasks_with_small_bounds(seed, monkeypatch):
         monkeypatch.setattr(D, name, rng.choice(values))
     monkeypatch.setattr(D, "_POWERS", {})
     docs = [t.encode() for t in texts(rng, 30, "abc \x00")]
-    out = local(docs, length)
+    out = local(docs, length, rng.choice([1, 64]))
     for k, spans in enumerate(plain(docs, length)):
         assert [(s["start"], s["end"]) for s in out[k]["spans"]] == spans
 
@@ -130,3 +138,20 @@ def test_sql(spark, tmp_path):
 
 def test_empty(spark):
     assert D.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_anchor_is_spread(monkeypatch):
+    """A short passage in every document, contexts differing: no bucket of anchors
+    or windows gets much more than the others, and nothing is removed."""
+    import pyarrow as pa
+
+    rng, parts = random.Random(3), 16
+    passage = "".join(rng.choices("abcdefgh", k=90))
+    docs = ["".join(rng.choices("ijklmnop", k=300)) + passage + "".join(rng.choices("ijklmnop", k=300)) for _ in range(1500)]
+    batch = pa.record_batch({"t1": pa.array(range(1500), pa.int64()), "t2": pa.array([0] * 1500, pa.int64()), "utf8": pa.array([d.encode() for d in docs], pa.binary())})
+    out = list(D._run_records(100, parts, D.RUNS_PER_TASK)(iter([batch])))
+    for column in ("anchor", "w1"):
+        sizes = [sum(len(b.column(D.PACKED.index(column))[0].as_py()) // 8 for b in out if b.column(0)[0].as_py() == q) for q in range(parts)]
+        assert min(sizes) > 0 and max(sizes) < 1.5 * np.median(sizes), column
+    found = local([d.encode() for d in docs[:300]], 100)
+    assert all(r["spans"] == [] for r in found.values())
