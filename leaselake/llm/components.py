@@ -25,16 +25,23 @@ def join_spread(rows: DataFrame, values: DataFrame, key: str, total: int) -> Dat
     """Inner join of ``rows`` with ``values``, which has one row a key and says in
     ``n_rows`` how many of the ``total`` rows carry it.
 
-    A key of more than ``ROWS_PER_KEY`` and more than one in ``KEYS_BROADCAST`` of
-    all rows is broadcast, so its rows stay where they are; there are at most
-    ``KEYS_BROADCAST`` such keys, whatever the size. The others are shuffled.
+    The values of a key of more than ``ROWS_PER_KEY`` and more than one in
+    ``KEYS_BROADCAST`` of all rows are broadcast; there are at most
+    ``KEYS_BROADCAST`` such keys, whatever the size. Rows of such a key are dealt
+    by a hash of all their columns, the others by their key.
     """
     if total <= ROWS_PER_KEY:  # no key can be over it
         return rows.join(values.drop("n_rows"), key)
+    names = [c for c in values.columns if c not in (key, "n_rows")]
     often = F.col("n_rows") > max(ROWS_PER_KEY, total // KEYS_BROADCAST)
-    hot = F.broadcast(values.where(often).drop("n_rows"))
-    rest = rows.join(F.broadcast(values.where(often).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(values.where(~often).drop("n_rows"), key))
+    hot = values.where(often).select(F.col(key).alias("_hot"), F.struct(*names).alias("_early"))
+    rest = values.where(~often).select(F.col(key).alias("_rest"), F.lit(-1).cast("long").alias("_deal"), F.struct(*names).alias("_late"))
+    known = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")
+    found = F.col("_hot").isNotNull()
+    known = known.withColumns({"_key": F.when(~found, F.col(key)), "_deal": F.when(found, F.abs(F.xxhash64(*rows.columns) % 1_000_003)).otherwise(-1)})
+    both = known.join(rest, known["_deal"].eqNullSafe(rest["_deal"]) & known["_key"].eqNullSafe(rest["_rest"]), "left")
+    value = F.coalesce("_early", "_late")
+    return both.where(value.isNotNull()).select(*rows.columns, *[value[n].alias(n) for n in names])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
