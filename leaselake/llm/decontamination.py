@@ -13,8 +13,10 @@ costs two and breaks ``n``; a missing end costs one a word and breaks one), so a
 rarest of each item's n-grams, by documents of the whole corpus that hold them,
 are its seeds; items too short for n = 3 use shorter n-grams.
 
-The items are taken in blocks of bounded size. Each block is sent to the tasks,
-which read the corpus once to count its n-grams and once to seed and align.
+The items are taken in blocks of ``block_chars`` (16 million) characters, more than
+most sets of benchmarks have in all. Each block is sent to the tasks, which read
+the corpus once to count its n-grams and once to seed and align; so the number of
+scans is twice that of blocks, and the memory of a task does not grow.
 """
 
 from __future__ import annotations
@@ -59,10 +61,10 @@ class Items:
     numbers in base ``len(vocabulary) + 1``, exact within 64 bits.
     """
 
-    def __init__(self, rows: list[tuple[int, str | None]], threshold: float):
+    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float):
         self.threshold = threshold
         self.number: dict[str, int] = {}
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
         for item, text in rows:
             words = words_of(text)
@@ -159,7 +161,7 @@ def align(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, where
 
 
-def flagged_passages(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+def flagged_passages(items: Items, texts: list[str | None]) -> list[tuple[int, int | None, float, int, int]]:
     """(index of text, item_id, similarity, first word, last word) of every
     stretch of the texts whose similarity reaches the threshold."""
     work: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
@@ -187,15 +189,15 @@ def flagged_passages(items: Items, texts: list[str | None]) -> list[tuple[int, i
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str | None]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text: str, block_chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in blocks of about ``block_chars`` characters, so that what is
     sent to the tasks at once is bounded whatever the benchmark's size."""
-    sized = benchmark.where(F.col(id_col).isNotNull() & (F.length(F.col(text)) > 0))
-    total = sized.agg(F.coalesce(F.sum(F.length(F.col(text))), F.lit(0))).first()[0]
+    sized = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text).cast("string").alias("words")).where(F.length("words") > 0)
+    total = sized.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     n = -(-total // block_chars)
     for b in range(n):
-        mine = sized.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) == b) if n > 1 else sized
-        yield [(r[0], r[1]) for r in mine.select(F.col(id_col).cast("long"), F.col(text)).orderBy(id_col).collect()]
+        mine = sized.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) if n > 1 else sized
+        yield [(r["item"], r["words"]) for r in mine.orderBy("item", "words").collect()]
 
 
 def contaminated_passages(
@@ -206,7 +208,7 @@ def contaminated_passages(
     item_id: str = "item_id",
     item_text: str = "text",
     threshold: float = 0.8,
-    block_chars: int = 4_000_000,
+    block_chars: int = 16_000_000,
 ) -> DataFrame | None:
     """``(_id, item_id, similarity, first_word, last_word)``, one row for each
     passage that reaches the threshold; None if no item has text."""
@@ -256,8 +258,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``similarity`` of the best item (ties: smallest item_id), ``n_items``.
 
     Null, empty and clean texts are not contaminated: item and similarity are
-    null and ``n_items`` 0. Items without a word are ignored. Rows that repeat an
-    id share one verdict, the worst; rows with a null id likewise. Empty tables
+    null and ``n_items`` 0. Items without a word are ignored. Item ids are cast to
+    long; items whose id is null (or no number) flag documents like any other, are
+    named null, and count as one in ``n_items``. Rows that repeat an id share one
+    verdict, the worst; rows with a null id likewise. Empty tables
     give an empty result, or one with nothing flagged.
     """
     ids = docs.select(F.col(id_col).alias("_id"))

@@ -92,3 +92,13 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c", 0, 0)], SCHEMA)
     assert [tuple(r) for r in decontaminate(some, bench.limit(0)).collect()] == [(1, False, None, None, 0)]
     assert drop_contaminated(some, bench.limit(0)).count() == 1
+
+
+def test_items_without_id_and_long_texts(spark, rng):
+    items = [sentence(rng, 30) for _ in range(3)]
+    long = " ".join(f"w{i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, items[0], 0, 0), (2, f"{long} {items[1]} {long}", 0, 0), (3, long, 0, 0)], SCHEMA)
+    bench = spark.createDataFrame([(None, items[0]), (7, items[1]), (None, items[2])], "item_id long, text string")
+    found = {(r["doc_id"], r["contaminated"], r["item_id"], r["similarity"], r["n_items"]) for r in decontaminate(df, bench).collect()}
+    assert found == {(1, True, None, 1.0, 1), (2, True, 7, 1.0, 1), (3, False, None, None, 0)}
+    assert [r["doc_id"] for r in drop_contaminated(df, bench).collect()] == [3]
