@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from leaselake.llm.embedding_dedup import embedding_links, encode, learn_rotation, links_within, table_masks
+from leaselake.llm import embedding_dedup
+from leaselake.llm.embedding_dedup import embedding_links, encode, hamming_budget, learn_projection, learn_rotation, links_within, near_codes, table_masks
 
 SCHEMA = "vec_id long, embedding array<float>, label int, size int, links long"
 
@@ -82,12 +85,12 @@ def test_pairs_count_once():
     rng = np.random.default_rng(4)
     x = unit(rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(30, 8)))
     ids, rows = np.arange(30), np.arange(30)
-    codes = rng.integers(0, 4, 30).astype(np.uint64)
+    codes = rng.integers(0, 4, (30, 1)).astype(np.uint64)
     sizes = np.ones(30, np.int64)
     total = np.zeros(30, np.int64)
-    for t, mask in enumerate(masks := [1, 2, 0]):
-        for key in np.unique(codes & np.uint64(mask)):
-            mine = rows[codes & np.uint64(mask) == key]
+    for t, mask in enumerate(masks := [(1,), (2,), (0,)]):
+        for key in np.unique(codes & np.uint64(mask[0])):
+            mine = rows[(codes & np.uint64(mask[0]) == key)[:, 0]]
             c, _, n = links_within(ids, codes, x, sizes, mine, mine, masks[:t], 0.9, step=4)
             np.add.at(total, c, n)
     assert (total == 29).all()
@@ -97,7 +100,53 @@ def test_codes_are_balanced():
     rng = np.random.default_rng(5)
     x = unit(rng.normal(size=(2000, 24)) * np.linspace(0.2, 2, 24))
     codes = encode(x, learn_rotation(x, 64))
-    share = [(codes >> np.uint64(b) & np.uint64(1)).mean() for b in range(24)]
+    share = [(codes[:, 0] >> np.uint64(b) & np.uint64(1)).mean() for b in range(24)]
     assert 0.35 < min(share) and max(share) < 0.65
-    masks = table_masks(10**9, 64, 0.9)
-    assert all(m.bit_count() == masks[0].bit_count() > 16 for m in masks)
+    masks = table_masks(10**9, 128, 0.9)
+    assert len(set(masks)) == len(masks) and all(sum(x.bit_count() for x in m) == 21 for m in masks)
+
+
+def planted_recall(n, dim, pairs=4000, low=0.9, high=0.93):
+    """Share of planted pairs that meet in a table of an index for n vectors and
+    are within the Hamming budget."""
+    rng = np.random.default_rng(6)
+    x = unit(rng.normal(size=(pairs, dim)))
+    away = rng.normal(size=(pairs, dim))
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(low, high, (pairs, 1))
+    y = c * x + np.sqrt(1 - c * c) * away
+    projection = learn_projection(x[:2000], 128)
+    differ = encode(x, projection) ^ encode(y, projection)
+    met = np.any([(differ & np.array(m, np.uint64) == 0).all(axis=1) for m in table_masks(n, 128, 0.9)], axis=0)
+    return (met & (np.bitwise_count(differ).sum(axis=1) <= hamming_budget(128, 0.9))).mean()
+
+
+@pytest.mark.parametrize(("n", "bits"), [(10**5, 8), (10**7, 15), (10**9, 21)])
+def test_recall_at_any_size(n, bits):
+    """Also at the long substrings of large tables, which no test table reaches."""
+    assert sum(x.bit_count() for x in table_masks(n, 128, 0.9)[0]) == bits
+    assert planted_recall(n, 64) >= 0.95
+
+
+@pytest.mark.parametrize("dim", [8, 16, 32])
+def test_recall_of_short_vectors(dim):
+    assert planted_recall(10**5, dim) >= 0.9
+
+
+def test_classes_are_equal_vectors_not_equal_hashes(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_hash", lambda v: F.lit(7).cast("long"))
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)]
+    out = embedding_links(spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 0, 4)]
+
+
+def test_near_codes():
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 6, (90, 2)).astype(np.uint64)
+    for left, right in ((np.arange(90),) * 2, (np.arange(50), np.arange(50, 90))):
+        wanted = np.zeros(90, bool)
+        for i in left:
+            for j in right:
+                if i != j and sum(int(x).bit_count() for x in codes[i] ^ codes[j]) <= 2:
+                    wanted[[i, j]] = True
+        assert (near_codes(codes, left, right, 2, step=16) == wanted).all()
