@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leaselake.llm.sampling import bounded_texts
+
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 CHARS_AT_ONCE = 1 << 18
-#: Parts of a language that are ranked apart.
-PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class TrainingBounds:
     """How much labelled text the driver may collect for fitting."""
 
     rows_per_language: int = 400
-    chars_per_row: int = 20_000
+    chars_per_language: int = 2_000_000
 
 
 @dataclass
@@ -215,20 +215,21 @@ def predict(models: LanguageModels, text: str | None) -> tuple[str, float, bool]
 
 
 def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, bounds: TrainingBounds) -> pd.DataFrame:
-    """At most ``rows_per_language`` rows a language outside the held-out part, by
-    hash of id. Rows are ranked within parts of a language first, so that no task
-    sorts a frequent one whole."""
+    """At most ``rows_per_language`` rows and ``chars_per_language`` characters a
+    language outside the held-out part, by hash of id. A language's rows are counted
+    first, and hashes above a cut that leaves half as many again are passed over, so
+    that no task ranks a frequent language whole."""
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(
         F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("lang"), id_col).alias("_h")
     )
-    ranked = named.withColumn("_part", F.pmod(F.col("_h"), F.lit(PARTS)))
-    for keys in (["lang", "_part"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "_id"))
-        ranked = ranked.withColumn("_r", place).where(F.col("_r") <= bounds.rows_per_language).drop("_r")
-    chosen = F.broadcast(ranked.select("_id").distinct())  # rows_per_language rows a language
+    # one row a language, as the models are
+    counts = F.broadcast(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    low = F.pmod("_h", F.lit(1 << 32)) * F.col("n") < F.lit(float(1 << 32)) * (1.5 * bounds.rows_per_language + 50)
+    few = named.join(counts, "lang").where(low).select("_id", "lang", "_h")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))
+    picks = few.withColumn("_r", place).where(F.col("_r") <= bounds.rows_per_language).drop("_r").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    short = texts.where((F.length("text") <= bounds.chars_per_row) & F.col("lang").isNotNull())
-    return short.join(chosen, "_id").toPandas().sort_values(["_id", "lang", "text"], ignore_index=True)
+    return bounded_texts(texts, picks, "lang", bounds.chars_per_language, ["_id", "lang"]).sort_values(["_id", "lang", "text"], ignore_index=True)
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bounds: TrainingBounds | None = None, order: int = 4) -> LanguageModels:
