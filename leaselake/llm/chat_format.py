@@ -473,15 +473,19 @@ def turns_of(formatted: str) -> tuple[list[tuple[str, str]], str]:
     return turns, formatted[at:]
 
 
-def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Turns and loss texts recovered from the output of ``format_conversations``
-    (partitioned and ordered as that leaves it), as counts and digests."""
+def read_back(formatted: DataFrame, id_col: str = "conv_id", in_order: bool = False) -> DataFrame:
+    """Turns and loss texts recovered from the output of ``format_conversations``, as
+    counts and digests. ``in_order`` says that rows are partitioned and ordered as
+    that leaves them; otherwise segments are put together first. A segment that
+    is not the next one of its conversation is an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
         for conv, parts in groupby(_messages(batches), key=lambda r: r[0]):
             turns_hash, loss_hash, n, loss_chars, chars, rest = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
-            for _, _, text, starts, ends in parts:
+            for place, (_, segment, text, starts, ends) in enumerate(parts):
+                if segment != place:
+                    raise ValueError(f"conversation {conv}: segment {segment} stands in place {place}")
                 chars += len(text)
                 for a, b in zip(starts, ends, strict=True):
                     loss = unescape(text[a:b])
@@ -500,6 +504,8 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=READ_BACK_ARROW)
 
+    if not in_order:
+        formatted = formatted.repartition("_id").sortWithinPartitions("_id", "segment")
     return formatted.mapInArrow(parse, READ_BACK).withColumnRenamed("_id", id_col)
 
 

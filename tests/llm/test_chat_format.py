@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from leaselake.llm.chat_format import CHAT_TEMPLATE, SQL, TemplateError, compile_template, escape, escape_line, format_conversations, read_back, segments, turns_of, unescape, unescape_line
+from leaselake.llm.chat_format import SEGMENT_CHARS, CHAT_TEMPLATE, SQL, TemplateError, compile_template, escape, escape_line, format_conversations, read_back, segments, turns_of, unescape, unescape_line
 
 TEXT = st.text(alphabet="<|\\>n\nim_startend é", max_size=40)
 SCHEMA = "conv_id long, turn long, role string, text string, _id int, segment int"
@@ -88,11 +88,26 @@ def plain(rows):
 def test_read_back(spark, monkeypatch):
     rows = ROWS + [(None, 0, "assistant", "no id")] + [(9, k, ("user", "assistant")[k % 2], f"turn {k} " * 9) for k in range(400)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
-    out = read_back(format_conversations(df)).collect()
+    out = read_back(format_conversations(df), in_order=True).collect()
     want = {c: plain([r for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
     assert {r["conv_id"]: tuple(r)[1:] for r in out} == want and len(out) == len(want)
 
 
+def test_read_back_of_rows_in_any_order(spark, tmp_path, monkeypatch):
+    """One conversation over many segments, one turn over several; written, dealt out
+    anew and read again. Out of order without saying so is an error."""
+    long = "word <| " * (SEGMENT_CHARS // 4)
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{long} {k}") for c in (1, 2) for k in range(6)]
+    formatted = format_conversations(spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA))
+    formatted.write.parquet(str(tmp_path / "f"))
+    again = spark.read.parquet(str(tmp_path / "f")).repartition(5)
+    assert again.count() >= 8
+    want = {c: plain([r for r in rows if r[0] == c]) for c in (1, 2)}
+    assert {r["conv_id"]: tuple(r)[1:] for r in read_back(again).collect()} == want
+    with pytest.raises(Exception, match="stands in place"):
+        read_back(again, in_order=True).collect()
+
+
 def test_sql(spark, tmp_path):
     spark.createDataFrame([(*r, 0, 0) for r in ROWS], SCHEMA).write.parquet(str(tmp_path / "c"))
     con = duckdb.connect()
