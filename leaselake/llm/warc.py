@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaselake.llm.staging import stage
+
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = 0x184D2A50
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -194,11 +196,14 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 def with_first_copies(pages: DataFrame, id_col: str, payload: str, min_bytes: int) -> DataFrame:
     """Adds ``_first``: the smallest id among pages with the same payload, null
-    where the payload is a page's own or shorter than ``min_bytes``."""
+    where the payload is a page's own or shorter than ``min_bytes``. Digests alone
+    are grouped, and those that repeat are written: while they are few Catalyst
+    broadcasts them and no body is shuffled; beyond that a digest that very many
+    pages share is one that adaptive execution splits."""
     keyed = pages.withColumn("_digest", F.sha1(F.col(payload)))
     long_enough = keyed.where(F.length(payload) >= min_bytes)
     repeated = long_enough.groupBy(F.col("_digest").alias("_d"), F.length(payload).alias("_n")).agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_copies"))
-    repeated = repeated.where(F.col("_copies") > 1).drop("_copies")
+    repeated = stage(repeated.where(F.col("_copies") > 1).drop("_copies"), "warc-repeated")
     same = (F.col("_digest") == F.col("_d")) & (F.length(payload) == F.col("_n"))
     first = F.when(~F.col(id_col).eqNullSafe(F.col("_least")), F.col("_least"))
     return keyed.join(repeated, same, "left").withColumn("_first", first).drop("_digest", "_d", "_n", "_least")
