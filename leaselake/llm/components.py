@@ -68,18 +68,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def name_components(classes: DataFrame, links: DataFrame, class_col: str = "class", id_col: str = "least") -> DataFrame:
-    """``classes`` with ``component_id``: the smallest ``id_col`` among the classes
-    reachable through ``links(u, v)``; null ids are passed over. ``classes`` is a
-    written table with one row a class."""
+    """``classes`` with ``component_id``, the smallest ``id_col`` among the classes
+    reachable through ``links(u, v)``, and ``component_size``, how many these are;
+    null ids are passed over. ``classes`` is a written table with one row a class."""
     roots = stage(connected_components(links).select(F.col("node").alias(class_col), F.col("root").alias("_root")), "cc-roots")
     total = roots.count()
     if not total:
-        return classes.withColumn("component_id", F.col(id_col))
+        return classes.withColumns({"component_id": F.col(id_col), "component_size": F.lit(1).cast("long")})
     tops = roots.select(F.col("_root").alias(class_col)).distinct().withColumn("_root", F.col(class_col))
     rooted = stage(classes.select(class_col, id_col).join(roots.unionByName(tops), class_col), "cc-rooted")
-    smallest = rooted.groupBy("_root").agg(F.min(id_col).alias("_smallest"), F.count(F.lit(1)).alias("n_rows"))
-    named = join_spread(rooted.select(class_col, "_root"), smallest, "_root", total).select(class_col, "_smallest", F.lit(True).alias("_linked"))
-    return classes.join(named, class_col, "left").withColumn("component_id", F.when(F.col("_linked"), F.col("_smallest")).otherwise(F.col(id_col))).drop("_smallest", "_linked")
+    smallest = rooted.groupBy("_root").agg(F.min(id_col).alias("_smallest"), F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("n_rows"))
+    named = join_spread(rooted.select(class_col, "_root"), smallest, "_root", total).select(class_col, "_smallest", "_size")
+    component = F.when(F.col("_size").isNotNull(), F.col("_smallest")).otherwise(F.col(id_col))
+    sized = {"component_id": component, "component_size": F.coalesce("_size", F.lit(1).cast("long"))}
+    return classes.join(named, class_col, "left").withColumns(sized).drop("_smallest", "_size")
 
 
 def _large_star(links: DataFrame, total: int) -> DataFrame:
