@@ -45,9 +45,11 @@ LENGTH = 100
 #: Bytes that are hashed in one piece; places in a piece take 20 bits.
 PIECE = 1 << 20
 #: Bytes of text after which a task deals out what it has met.
-WINDOW_BYTES = 64 << 20
+WINDOW_BYTES = 32 << 20
 #: Bytes of open runs after which a task deals them out.
 OPEN_BYTES = 16 << 20
+#: Bytes of runs that are hashed window by window at a time.
+WIDE_BYTES = 1 << 20
 #: Different runs of one anchor above which they are dealt as windows.
 RUNS_PER_ANCHOR = 500
 #: The same within one task's ``WINDOW_BYTES``; less where there are very many tasks.
@@ -159,18 +161,19 @@ def covered_factors(content: np.ndarray, sizes: np.ndarray, doc: np.ndarray, sta
     Suffixes are worked on in groups by a hash of their first ``length`` bytes, so
     that no sort holds more than about ``WINDOWS_AT_ONCE`` of them.
     """
-    sizes, start = sizes.astype(np.int64), start.astype(np.int64)
-    many = np.maximum(sizes - length + 1, 0)
-    piece = np.repeat(np.arange(len(sizes)), many)
-    step = np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many) if len(piece) else piece
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    place = start[piece] + step
-    order = np.lexsort((step, place, doc[piece]))  # earlier suffixes get smaller numbers
-    piece, step, place = piece[order], step[order], place[order]
-    own = doc[piece]
-    again = np.r_[False, (own[1:] == own[:-1]) & (place[1:] == place[:-1])] if len(own) else np.zeros(0, bool)
-    piece, step, place, own = (x[~again] for x in (piece, step, place, own))  # a row that repeats is one document
+    many = np.maximum(sizes.astype(np.int64) - length + 1, 0)
+    piece = np.repeat(np.arange(len(sizes), dtype=np.int32), many)
+    step = (np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)).astype(np.int32) if len(piece) else piece
+    # earlier suffixes get smaller numbers
+    order = np.lexsort((step, start.astype(np.int64)[piece] + step, doc.astype(np.int32)[piece])).astype(np.int32)
+    piece, step = piece[order], step[order]
+    del order
+    own, place = doc.astype(np.int32)[piece], start.astype(np.int64)[piece] + step
+    new = np.r_[True, (own[1:] != own[:-1]) | (place[1:] != place[:-1])] if len(own) else np.zeros(0, bool)
+    piece, step, place, own = piece[new], step[new], place[new], own[new]  # a row that repeats is one document
+    first = np.r_[0, np.cumsum(sizes.astype(np.int64))[:-1]]
     at, ends = first[piece] + step, (first + sizes)[piece]
+    del piece, step, new
     packed = packed_bytes(content)
     groups = -(-len(at) // WINDOWS_AT_ONCE)
     if groups > 1:
@@ -333,24 +336,21 @@ def _run_records(length: int, parts: int, per_task: int):
         c = _ordered(columns)
         end = c["start"] + c["size"]
         kept, gone = covered_runs(c["anchor"], c["body"], c["doc"], c["start"], end)
-        stretches = [(c["doc"][gone], c["start"][gone], end[gone])]
+        c["cdoc"], c["cstart"], c["cend"] = united(c["doc"][gone], c["start"][gone], end[gone])
         _, which, count = np.unique(c["anchor"][kept], return_inverse=True, return_counts=True)
         busy = count[which] > per_task
         wide, kept = kept[busy], kept[~busy]
-        if len(wide):
-            at = c["start"][wide] - offsets[given[wide]]
-            pieces = [texts[p][a : a + n] for p, a, n in zip(given[wide].tolist(), at.tolist(), c["size"][wide].tolist(), strict=True)]
-            windows, doc, place = _as_windows(pieces, c["doc"][wide], c["start"][wide], length)
-            c |= windows
-            c["hot"] = np.unique(c["anchor"][wide])
-            stretches.append((doc, place, place + length))
-        c["cdoc"], c["cstart"], c["cend"] = united(*(np.concatenate(x) for x in zip(*stretches, strict=True)))
+        step = max(1, WIDE_BYTES // (2 * length))
+        for part in (wide[i : i + step] for i in range(0, len(wide), step)):
+            at = c["start"][part] - offsets[given[part]]
+            pieces = [texts[p][a : a + n] for p, a, n in zip(given[part].tolist(), at.tolist(), c["size"][part].tolist(), strict=True)]
+            windows, doc, place = _as_windows(pieces, c["doc"][part], c["start"][part], length)
+            found = {"d1": c["d1"], "d2": c["d2"], "hot": np.unique(c["anchor"][part])} | windows
+            found["cdoc"], found["cstart"], found["cend"] = united(doc, place, place + length)
+            yield from _deal(found, {"wdoc": _bucket(found["w1"], parts), "hot": _bucket(found["hot"], parts), "cdoc": _doc_part(c, found["cdoc"], parts)}, parts)
         for n in ("anchor", "body", "doc", "start", "size"):
             c[n] = c[n][kept]
-        target = {"doc": _bucket(c["anchor"], parts), "cdoc": _doc_part(c, c["cdoc"], parts)}
-        if len(wide):
-            target |= {"wdoc": _bucket(c["w1"], parts), "hot": _bucket(c["hot"], parts)}
-        yield from _deal(c, target, parts)
+        yield from _deal(c, {"doc": _bucket(c["anchor"], parts), "cdoc": _doc_part(c, c["cdoc"], parts)}, parts)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, piece, filled = [], 0, [], 0
@@ -479,7 +479,7 @@ def _open_runs(length: int, parts: int):
                 for j in range(cut[i], cut[i + 1]):
                     a, b = int(starts[j]), int(ends[j])
                     held.append((*key, a, int(anchors[j]), bool(many[j]), text[a:b]))
-                    size[0] += b - a
+                    size[0] += (b - a) * (max(1, OPEN_BYTES // WIDE_BYTES) if many[j] else 1)
                 if size[0] >= OPEN_BYTES:
                     yield from emit(held)
                     held.clear()

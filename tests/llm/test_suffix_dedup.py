@@ -104,7 +104,7 @@ def local(docs, length, per_task=64, parts=3):
 def test_tasks_with_small_bounds(seed, monkeypatch):
     rng = random.Random(seed)
     length = rng.choice([10, 30, 100])
-    for name, values in {"PIECE": [512, 1 << 20], "RUNS_PER_ANCHOR": [1, 500], "WINDOWS_AT_ONCE": [50, 200_000], "WINDOW_BYTES": [200, 1 << 26], "OPEN_BYTES": [300, 1 << 24]}.items():
+    for name, values in {"PIECE": [512, 1 << 20], "RUNS_PER_ANCHOR": [1, 500], "WINDOWS_AT_ONCE": [50, 200_000], "WINDOW_BYTES": [200, 1 << 26], "OPEN_BYTES": [300, 1 << 24], "WIDE_BYTES": [250, 1 << 20]}.items():
         monkeypatch.setattr(D, name, rng.choice(values))
     monkeypatch.setattr(D, "_POWERS", {})
     docs = [t.encode() for t in texts(rng, 30, "abc \x00")]
