@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaselake.schemas import MONEY, TIME_PATTERN
+from leaselake.schemas import TIME_PATTERN
 
 
 def event_time(text: Column) -> Column:
@@ -26,10 +26,6 @@ def second_of(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
 
 
-def money(value: Column) -> Column:
-    return value.cast(MONEY)
-
-
 def members(comma_list: Column) -> Column:
     """A comma-separated list as an array, blanks around names dropped."""
     return F.transform(F.split(comma_list, ","), lambda x: F.trim(x))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaselake import schemas as S
-from leaselake.functions import members
 from leaselake.operators.projections import pruned, row_image
 
 
@@ -47,23 +48,23 @@ def applied(current: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(changed.where(~F.col("deleted")).drop("deleted"))
 
 
-def create_statement(sink_table: str, columns: str) -> str:
-    names = [c.strip() for c in columns.split(",") if c.strip()]
+def column_names(sink_columns: str) -> list[str]:
+    names = [c.strip() for c in (sink_columns or "").split(",") if c.strip()]
     if not names:
-        raise ValueError(f"{sink_table} has no columns")
-    return f"CREATE TABLE IF NOT EXISTS {sink_table} (key STRING, {', '.join(f'`{n}` STRING' for n in names)}) USING parquet"
+        raise ValueError("a dimension table needs columns")
+    return names
 
 
-def apply_config(spark: SparkSession, changes: DataFrame) -> None:
+def apply_config(changes: DataFrame, create: Callable[[str, list[str]], None], drop: Callable[[str], None]) -> None:
     """Creates and drops dimension tables as configuration changes ask, in their
     order: r and c create, d drops, u creates the new one and drops the old one if
     the target's name changed. The configuration is a handful of rows."""
     for e in changes.orderBy("ts_ms").select("op", "before", "after").toLocalIterator():
         if e["op"] in ("r", "c", "u"):
-            spark.sql(create_statement(e["after"]["sink_table"], e["after"]["sink_columns"]))
+            create(e["after"]["sink_table"], column_names(e["after"]["sink_columns"]))
         gone = e["before"]["sink_table"] if e["before"] is not None else None
         if gone and (e["op"] == "d" or (e["op"] == "u" and gone != e["after"]["sink_table"])):
-            spark.sql(f"DROP TABLE IF EXISTS {gone}")
+            drop(gone)
 
 
 def flattened(tree: DataFrame, name: str, parent: str, prefix: str, levels: int = 3) -> DataFrame:
@@ -77,6 +78,3 @@ def flattened(tree: DataFrame, name: str, parent: str, prefix: str, levels: int
     order = [f"{prefix}{n}_{x}" for n in range(levels, 0, -1) for x in ("id", "name")]
     return own.select(*order)
 
-
-def configured_columns(config: DataFrame) -> DataFrame:
-    return config.withColumn("columns", members(F.col("sink_columns")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,15 +72,23 @@ def dimension_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = F.create_map(F.lit("id"), F.col("s_suppkey").cast("string"), F.lit("name"), name, F.lit("department_id"), (F.lit(1000) + F.col("s_nationkey")).cast("string"), F.lit("balance"), F.col("s_acctbal").cast("string"))
         return envelope(rows, "employee", kind, epoch, step, ["s_suppkey"], data)
 
-    partner = F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
+    def renumbered(rows: DataFrame, kind: str, step: int) -> DataFrame:
+        """Deletes of rows whose id was changed before; ``old`` tells which they were."""
+        new = F.create_map(F.lit("id"), (F.lit(5_000_000) + F.col("s_suppkey")).cast("string"), F.lit("name"), F.col("s_name"), F.lit("department_id"), (F.lit(1000) + F.col("s_nationkey")).cast("string"))
+        return envelope(rows, "employee", kind, epoch, step, ["s_suppkey"], new).withColumn("old", F.create_map(F.lit("id"), F.col("xoffset").cast("string")))
+
+    def partner(suffix: str = "") -> Column:
+        return F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("name"), F.concat("c_name", F.lit(suffix)), F.lit("segment"), F.col("c_mktsegment"))
+
     parts = [
         employee(suppliers.where("s_suppkey % 11 = 0"), "bootstrap-start", 0, F.col("s_name")),
         employee(suppliers, "bootstrap-insert", 1, F.col("s_name")),
         employee(suppliers.where("s_suppkey % 5 = 0"), "update", 2, F.concat("s_name", F.lit(" moved"))),
-        employee(suppliers.where("s_suppkey % 7 = 0"), "delete", 3, F.col("s_name")),
+        renumbered(suppliers.where("s_suppkey % 7 = 0"), "delete", 3),
         employee(suppliers.where("s_suppkey % 21 = 0"), "insert", 4, F.lit(None).cast("string")),
-        envelope(customers, "business_partner", "insert", epoch, 1, ["c_custkey"], partner),
-        envelope(customers.where("c_custkey % 3 = 0"), "partner_note", "insert", epoch, 1, ["c_custkey"], partner),
+        envelope(customers, "business_partner", "insert", epoch, 1, ["c_custkey"], partner()),
+        envelope(customers.where("c_custkey % 4 = 0"), "business_partner", "update", epoch, 2, ["c_custkey"], partner(" again")),
+        envelope(customers.where("c_custkey % 3 = 0"), "partner_note", "insert", epoch, 1, ["c_custkey"], partner()),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -87,3 +96,20 @@ def dimension_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_json(log: DataFrame) -> DataFrame:
     """The log as lines of JSON in column ``value``."""
     return log.select(F.to_json(F.struct(*log.columns)).alias("value"))
+
+
+def config_lines(run: int) -> list[str]:
+    """Configuration changes before the first and the second part of the dimension
+    log: two tables are there and one is made; then one of them gets another target
+    and the one that was made is taken away."""
+
+    def entry(source: str, sink: str, columns: str) -> dict:
+        return {"source_table": source, "sink_table": sink, "sink_family": "info", "sink_columns": columns, "sink_row_key": "id"}
+
+    employee, partner = entry("employee", "dim_employee", "id,name"), entry("business_partner", "dim_business_partner", "id")
+    note, moved = entry("partner_note", "dim_partner_note", "id"), entry("business_partner", "dim_partner", "id,name")
+    changes = {
+        1: [("r", None, employee), ("r", None, partner), ("c", None, note)],
+        2: [("u", employee, employee), ("u", partner, moved), ("d", note, None)],
+    }[run]
+    return [json.dumps({"op": op, "before": before, "after": after, "ts_ms": 100 * run + n}) for n, (op, before, after) in enumerate(changes)]

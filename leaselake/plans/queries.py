@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaselake import schemas as S
-from leaselake.functions import day_of, second_of
+from leaselake.functions import camel_case, day_of, json_lines, renamed, second_of, snake_case
 from leaselake.operators import dimensions, facts
 from leaselake.operators.enrich import with_hierarchies, with_officer_name
 from leaselake.operators.windows import SUMMARIES, rolled_up, summarize, tumbling_summary
-from leaselake.plans.change_log import as_json, dimension_log, lease_log
+from leaselake.plans.change_log import as_json, config_lines, dimension_log, lease_log
 from leaselake.scratch import new_path
 from leaselake.sources.changelog import fact_changes, parse_changes, read_values, split_contracts
 from leaselake.sources.lease_views import lease_view, with_views
 from leaselake.streaming import jobs
-from leaselake.streaming.sinks import upsert_days
+from leaselake.streaming.sinks import VersionedTable, drop_old_days, exists, upsert_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,32 @@ def fact_query(fact: str) -> Query:
     return lambda spark, sf_dir: _times_as_text(fact_table(spark, sf_dir, fact))
 
 
+def fact_officer_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications that ended, with the officer of the newest status row before the
+    end. Each application has rows of several officers, two before its end, one of a
+    status that does not count, and one after it; some have only the last."""
+    ended = lease_view(spark, sf_dir, "credit_facility").withColumn("pos", F.col("update_time"))
+    rows = [F.struct(F.lit(code).alias("status"), F.lit(second).alias("second"), (F.col("id") * 10 + n).alias("employee_id")) for n, (code, second) in enumerate(OFFICER_ROWS)]
+    seen = ended.select(F.col("id").alias("credit_facility_id"), "pos", F.explode(F.array(*rows)).alias("s"))
+    late = (F.col("credit_facility_id") % 4 == 0) & (F.col("s.second") < 0)
+    statuses = seen.where(~late).select("credit_facility_id", "s.status", "s.employee_id", (F.col("pos") + F.expr("make_dt_interval(0, 0, 0, s.second)")).alias("pos"))
+    return facts.with_officer(ended, statuses).select("id", "status", "audit_man_id")
+
+
+#: (status, seconds after the application's end) of its status rows.
+OFFICER_ROWS = ((5, -7200), (6, -3600), (1, -1800), (5, 3600))
+_OFFICER_VIEWS = {
+    "officer_rows": f"SELECT * FROM (VALUES {', '.join(f'({n}, {code}, {second})' for n, (code, second) in enumerate(OFFICER_ROWS))}) r(n, code, second)",
+    "seen": """
+SELECT f.id, f.update_time + r.second * INTERVAL '1' SECOND AS at, r.code, f.id * 10 + r.n AS officer
+FROM credit_facility f JOIN officer_rows r ON NOT (f.id % 4 = 0 AND r.second < 0)""",
+}
+_OFFICER_SQL = """
+SELECT f.id, f.status, CAST(max_by(s.officer, s.at) AS VARCHAR) AS audit_man_id
+FROM credit_facility f LEFT JOIN seen s ON s.id = f.id AND s.code IN (5, 6, 20) AND s.at < f.update_time
+WHERE f.status IN (16, 20, 21) GROUP BY f.id, f.status"""
+
+
 FACT_VIEWS = {
     "f_officer": "SELECT a.*, CAST(s.employee_id AS VARCHAR) AS audit_man_id FROM credit_facility a LEFT JOIN credit_facility_status s ON s.credit_facility_id = a.id",
     "f_audit_approve": """
@@ -92,16 +118,20 @@ def fact_sql(fact: str) -> str:
 
 def summary_query(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        summary = summarize(fact_table(spark, sf_dir, SUMMARIES[name].fact), name)
-        if name.startswith("ind_org"):
-            return with_hierarchies(summary, *(lease_view(spark, sf_dir, f"dim_{d}") for d in ("industry", "employee", "department")))
-        if name.startswith("audit_man"):
-            return with_officer_name(summary, lease_view(spark, sf_dir, "dim_employee").withColumn("id", F.col("id").cast("string")))
-        return summary
+        return with_names(summarize(fact_table(spark, sf_dir, SUMMARIES[name].fact), name), name, spark, sf_dir)
 
     return query
 
 
+def with_names(summary: DataFrame, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary with the dimension names its job adds, if any."""
+    if name.startswith("ind_org"):
+        return with_hierarchies(summary, *(lease_view(spark, sf_dir, f"dim_{d}") for d in ("industry", "employee", "department")))
+    if name.startswith("audit_man"):
+        return with_officer_name(summary, lease_view(spark, sf_dir, "dim_employee").withColumn("id", F.col("id").cast("string")))
+    return summary
+
+
 def flat_sql(kind: str) -> str:
     p, s = f"{kind}_name", f"superior_{kind}_id"
     return (
@@ -224,7 +254,8 @@ SELECT 'dim_employee' AS sink_table, 'bootstrap-insert' AS change_type, 1 AS xid
 UNION ALL SELECT 'dim_employee', 'update', 2, s_suppkey, s_name || ' moved', 3, 1000 + s_nationkey FROM supplier WHERE s_suppkey % 5 = 0
 UNION ALL SELECT 'dim_employee', 'delete', 3, s_suppkey, s_name, 3, 1000 + s_nationkey FROM supplier WHERE s_suppkey % 7 = 0
 UNION ALL SELECT 'dim_employee', 'insert', 4, s_suppkey, NULL, 3, 1000 + s_nationkey FROM supplier WHERE s_suppkey % 21 = 0
-UNION ALL SELECT 'dim_business_partner', 'insert', 1, c_custkey, c_name, 2, NULL FROM customer""",
+UNION ALL SELECT 'dim_business_partner', 'insert', 1, c_custkey, c_name, 2, NULL FROM customer
+UNION ALL SELECT 'dim_business_partner', 'update', 2, c_custkey, c_name || ' again', 2, NULL FROM customer WHERE c_custkey % 4 = 0""",
     "newest": "SELECT *, row_number() OVER (PARTITION BY id ORDER BY xid DESC) AS n FROM log WHERE sink_table = 'dim_employee'",
     "before": "SELECT s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1000000 END AS key FROM supplier",
 }
@@ -284,6 +315,32 @@ SELECT * FROM newer UNION ALL SELECT d.* FROM daily d LEFT JOIN newer n USING (c
 """
 
 
+def dws_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by day in a table partitioned by day, then cut to ten days
+    before and five after the middle of January 2024."""
+    target = new_path(spark, "retention")
+    days = _events(spark, sf_dir).groupBy(day_of(F.col("ts")).alias("cur_date")).agg(F.count(F.lit(1)).alias("n"))
+    upsert_days(days, target, ["cur_date"])
+    drop_old_days(spark, target, RETENTION_DAY, keep=10, ahead=5)
+    return spark.read.schema(days.schema).parquet(target).select("cur_date", "n")
+
+
+RETENTION_DAY = "2024-01-15"
+_RETENTION_SQL = f"""
+SELECT strftime(ts, '%Y-%m-%d') AS cur_date, count(*) AS n FROM events
+WHERE CAST(ts AS DATE) BETWEEN DATE '{RETENTION_DAY}' - 10 AND DATE '{RETENTION_DAY}' + 5 GROUP BY 1"""
+
+
+def dws_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary as lines of JSON with the names of the sink's records, written as
+    text, read and parsed again."""
+    summary = summary_query("credit_add")(spark, sf_dir)
+    target = new_path(spark, "json-text")
+    json_lines(summary, camel_case).write.option("maxRecordsPerFile", 10_000).text(target)
+    read = spark.read.text(target).select(F.from_json("value", renamed(summary, camel_case).schema).alias("r")).select("r.*")
+    return renamed(read, snake_case)
+
+
 # Streams ------------------------------------------------------------------------
 
 
@@ -338,18 +395,93 @@ def stream_contract_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.CONTRACT_FACTS])
 
 
-def stream_dws_credit_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closed windows of credit_add, by the fact job and the summary job."""
-    _, layer = _facts_by_stream(spark, sf_dir, "complete")
-    target = new_path(spark, "dws-credit-add")
-    _finished(jobs.summary_job(spark, "credit_add", layer, target, new_path(spark, "dws-checkpoint"), available_now=True))
-    schema = "stt string, edt string, cur_date string, apply_count long, apply_amount decimal(16,2), reply_amount decimal(16,2), credit_amount decimal(16,2)"
-    return spark.read.schema(schema).parquet(target)
+def stream_facts_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts from a log dealt over files so that replies and credits come in
+    other micro-batches than their applications, before or after them."""
+    log, layer = new_path(spark, "shuffled-log"), new_path(spark, "facts")
+    lines = lease_log(spark, sf_dir)
+    first = F.col("table").isin("credit_facility", "credit_facility_status")
+    app = F.coalesce(F.col("data")["credit_facility_id"], F.col("data")["id"])
+    file = F.when(first, F.pmod(F.xxhash64(app), F.lit(6))).otherwise(F.pmod(F.xxhash64("table", "type", app), F.lit(6)))
+    as_json(lines.repartitionById(6, file.cast("int"))).write.text(log)
+    _finished(jobs.fact_job(spark, log, layer, new_path(spark, "facts-checkpoint"), available_now=True, files_per_batch=2))
+    return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.APPLICATION_FACTS])
+
+
+_LAYERS: dict[tuple[str, str], str] = {}
+
+
+def _fact_layer(spark: SparkSession, sf_dir: str) -> str:
+    """The fact tables of a session's tables, as the fact and contract jobs write
+    them; the summary jobs all read the same ones, as they would in production."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAYERS:
+        log, layer = _facts_by_stream(spark, sf_dir, "complete")
+        _finished(jobs.contract_job(spark, log, layer, new_path(spark, "contract-checkpoint"), available_now=True))
+        _LAYERS[key] = layer
+    return _LAYERS[key]
+
+
+def stream_summary(name: str) -> Query:
+    """The closed windows of a summary, by its streaming job from the fact tables,
+    each batch enriched with the dimensions of that moment."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layer, target = _fact_layer(spark, sf_dir), new_path(spark, f"dws-{name}")
+        wanted = summary_query(name)(spark, sf_dir).schema
+
+        def enrich(batch: DataFrame) -> DataFrame:
+            ids = [c for c in ("industry3_id", "salesman_id") if c in batch.columns]
+            typed = batch.withColumns({c: F.col(c).cast("long") for c in ids})
+            return with_names(typed, name, spark, sf_dir).select([F.col(f.name).cast(f.dataType) for f in wanted])
+
+        _finished(jobs.summary_job(spark, name, layer, target, new_path(spark, "dws-checkpoint"), enrich, available_now=True))
+        return spark.read.schema(wanted).parquet(target)
+
+    return query
+
+
+def _closed_sql(name: str) -> str:
+    spec = SUMMARIES[name]
+    where = " WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in spec.required) if spec.required else ""
+    latest = f"(SELECT strftime(max({spec.time}) - INTERVAL '{spec.delay}', {_SECOND}) FROM f_{spec.fact}{where})"
+    return with_views(f"SELECT * FROM ({enriched_sql(name)}) WHERE edt <= {latest}", _summary_views(name))
+
+
+def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, target = _log_files(spark, sf_dir), new_path(spark, "running-count")
+    _finished(jobs.count_job(spark, log, target, new_path(spark, "count-checkpoint"), available_now=True))
+    return spark.read.parquet(target).select("count")
+
+
+_COUNT_SQL = """
+SELECT (SELECT count(*) FROM credit_facility_status) + (SELECT count(*) FROM credit_facility) + (SELECT count(*) FROM reply)
+  + (SELECT count(*) + count(credit_occupy_time) + count(contract_produce_time) FROM credit) + (SELECT count(signed_time) + count(execution_time) FROM contract) AS count"""
+
+
+def stream_dim_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension tables kept by the configuration's own stream: tables are created,
+    renamed and dropped between two runs, each of which reads its part of the log."""
+    config, layer, log, tables, marks, log_marks = (new_path(spark, f"dims-{x}") for x in ("config", "config-layer", "log", "tables", "config-checkpoint", "checkpoint"))
+    lines = dimension_log(spark, sf_dir)
+    for run in (1, 2):
+        spark.createDataFrame([(x,) for x in config_lines(run)], "value string").coalesce(1).write.mode("append").text(config)
+        _finished(jobs.config_job(spark, config, layer, tables, marks, available_now=True))
+        as_json(lines.where(F.col("xid") <= 1 if run == 1 else F.col("xid") > 1)).write.mode("append").text(log)
+        _finished(jobs.dimension_job(spark, log, layer, tables, log_marks, available_now=True))
+    # business_partner moved to a new table after its rows had come; partner_note is gone
+    found = []
+    for table, columns in (("dim_employee", ["id", "name"]), ("dim_business_partner", ["id"]), ("dim_partner", ["id", "name"]), ("dim_partner_note", ["id"])):
+        if exists(spark, f"{tables}/{table}"):
+            rows = VersionedTable(spark, f"{tables}/{table}", columns).read()
+            name = F.col("name") if "name" in columns else F.lit(None).cast("string")
+            found.append(rows.select(F.lit(table).alias("sink_table"), "key", name.alias("name")))
+    return reduce(DataFrame.unionByName, found)
 
 
-def _closed_sql() -> str:
-    latest = f"(SELECT strftime(max(add_time) - INTERVAL '5 seconds', {_SECOND}) FROM f_credit_add)"
-    return with_views(f"SELECT * FROM summed WHERE edt <= {latest}", FACT_VIEWS | {"summed": window_sql("credit_add")})
+_DIM_CONFIG_SQL = """
+SELECT 'dim_employee' AS sink_table, CAST(id AS VARCHAR) AS key, coalesce(name, '') AS name FROM newest WHERE n = 1 AND change_type <> 'delete'
+UNION ALL SELECT 'dim_partner', CAST(c_custkey AS VARCHAR), c_name || ' again' FROM customer WHERE c_custkey % 4 = 0"""
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,31 +503,33 @@ _LATE_SQL = f"SELECT * FROM ({events_sql(())}) WHERE edt <= (SELECT strftime(max
 
 
 def _plain(query: Query) -> Query:
-    """Decimals as doubles, so that engines print them alike."""
+    """Decimals as text, so that engines compare them digit by digit with their scale."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = query(spark, sf_dir)
-        return df.withColumns({c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")})
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind.startswith("decimal")})
 
     return run
 
 
-def _decimals(name: str) -> list[str]:
-    """The decimal columns of a query's result."""
+def _decimals(name: str) -> dict[str, str]:
+    """The decimal columns of a query's result and their types."""
     kind, _, rest = name.partition("_")
-    if kind == "fact":
-        return [c for c in S.FACTS[rest] if c.endswith("_amount") or c == "irr"]
-    if rest in SUMMARIES:
-        return list(SUMMARIES[rest].sums)
-    if "lifecycle" in name or name == "ads_rollup":
-        return ["apply_amount", "reply_amount"]
-    if name == "stream_dws_credit_add":
-        return list(SUMMARIES["credit_add"].sums)
-    return ["value"] if kind == "events" or name in ("dws_upsert_replace", "stream_late_drop") else []
+    money = S.MONEY
+    if kind == "fact" and rest in S.FACTS:
+        return {c: S.RATE if c == "irr" else money for c in S.FACTS[rest] if c.endswith("_amount") or c == "irr"}
+    summary = rest.removeprefix("dws_")
+    if summary in SUMMARIES:
+        return dict.fromkeys(SUMMARIES[summary].sums, money)
+    if name == "dws_json_text":
+        return dict.fromkeys(SUMMARIES["credit_add"].sums, money)
+    if "lifecycle" in name or name in ("ads_rollup", "stream_facts_out_of_order"):
+        return dict.fromkeys(("apply_amount", "reply_amount"), "decimal(26,2)" if name == "ads_rollup" else money)
+    return {"value": money} if kind == "events" or name in ("dws_upsert_replace", "stream_late_drop") else {}
 
 
 def _plain_sql(name: str, sql: str) -> str:
-    found = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _decimals(name))
+    found = ", ".join(f"CAST(CAST({c} AS {kind}) AS VARCHAR) AS {c}" for c, kind in _decimals(name).items())
     return f"SELECT * REPLACE ({found}) FROM ({sql})" if found else sql
 
 
@@ -411,7 +545,13 @@ QUERIES: dict[str, Query] = {
     "dws_upsert_replace": dws_upsert_replace,
     "events_tumbling": events_tumbling(()),
     "events_tumbling_by_type": events_tumbling(("event_type",)),
-    "stream_dws_credit_add": stream_dws_credit_add,
+    "fact_officer_as_of": fact_officer_as_of,
+    "dws_retention": dws_retention,
+    "dws_json_text": dws_json_text,
+    "stream_dim_config": stream_dim_config,
+    "stream_facts_out_of_order": stream_facts_out_of_order,
+    "stream_running_count": stream_running_count,
+    **{f"stream_dws_{n}": stream_summary(n) for n in SUMMARIES},
     "stream_late_drop": stream_late_drop,
     "stream_fact_lifecycle_complete": stream_fact_lifecycle("complete"),
     "stream_fact_lifecycle_strict": stream_fact_lifecycle("strict"),
@@ -432,7 +572,13 @@ SQL: dict[str, str] = {
     "dws_upsert_replace": _UPSERT_EVENTS_SQL,
     "events_tumbling": events_sql(()),
     "events_tumbling_by_type": events_sql(("event_type",)),
-    "stream_dws_credit_add": _closed_sql(),
+    "fact_officer_as_of": with_views(_OFFICER_SQL, _OFFICER_VIEWS),
+    "dws_retention": _RETENTION_SQL,
+    "dws_json_text": summary_sql("credit_add"),
+    "stream_dim_config": with_views(_DIM_CONFIG_SQL, DIM_VIEWS),
+    "stream_facts_out_of_order": _brief_sql(jobs.APPLICATION_FACTS),
+    "stream_running_count": with_views(_COUNT_SQL),
+    **{f"stream_dws_{n}": _closed_sql(n) for n in SUMMARIES},
     "stream_late_drop": _LATE_SQL,
     "stream_fact_lifecycle_complete": _brief_sql(jobs.APPLICATION_FACTS),
     # in-order changes: the credit's first fact uses its approval up

@@ -59,6 +59,8 @@ FACT_KEYS = {
 
 MONEY = "decimal(16,2)"
 RATE = "decimal(18,6)"
+#: Zone of the sources' time strings; jobs work in a session of this zone.
+SOURCE_ZONE = "+08:00"
 TIME_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 _IDENTITY = ["id", "lease_organization", "business_partner_id", "industry_id", "reply_id", "salesman_id", "audit_man_id"]

@@ -10,16 +10,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leaselake import schemas as S
 from leaselake.functions import event_time
-from leaselake.operators.dimensions import dimension_changes, dimension_rows, newest_per_key
+from leaselake.operators.dimensions import apply_config, column_names, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, summarize
-from leaselake.sources.changelog import fact_changes, parse_changes, read_values
-from leaselake.streaming.lifecycle import application_facts, contract_facts, typed_facts
-from leaselake.streaming.sinks import VersionedTable, fan_out, read_layer, upsert_days
+from leaselake.sources.changelog import current_config, fact_changes, parse_changes, parse_config, read_values
+from leaselake.streaming.lifecycle import KEEP_TTL_MS, ROCKSDB, STASH_TTL_MS, application_facts, contract_facts, typed_facts
+from leaselake.streaming.sinks import VersionedTable, append_batch, fan_out, read_layer, upsert_days
 
 TRIGGER = "10 seconds"
 APPLICATION_FACTS = ("audit_approve", "audit_cancel", "audit_reject", "credit_add", "credit_occupy", "contract_produced")
 CONTRACT_FACTS = ("lease_sign", "lease_execution")
-PAYLOAD = "kind string, payload string, batch int"
+PAYLOAD = "kind string, payload string, batch string"
+
+
+def job_session(spark: SparkSession) -> SparkSession:
+    """A session for a job: the sources' zone and a state store that the lifecycle
+    processors can use. The caller's session stays as it is."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", S.SOURCE_ZONE)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return session
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
@@ -27,38 +37,72 @@ def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()
 
 
-def dimension_job(spark: SparkSession, log: str, config: Callable[[], DataFrame], tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keeps the dimension tables under ``tables`` current. The configuration is
-    read anew for each batch, so a change of it holds from the next batch on."""
-    changes, _ = parse_changes(read_values(spark, log, streaming=True))
+def _expiry(available_now: bool, early: int | None, kept: int | None) -> dict[str, int]:
+    """State expires in jobs that run on; a timer would keep a bounded run going."""
+    wanted = {} if available_now else {"early": early, "kept": kept}
+    return {name: ms for name, ms in wanted.items() if ms}
+
+
+def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Configuration changes to the table ``layer``, creating and dropping the
+    dimension tables under ``tables`` as they ask."""
+    session = job_session(spark)
+    changes = parse_config(read_values(session, log, streaming=True))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        current = config()
+        apply_config(batch, lambda table, columns: VersionedTable(session, f"{tables}/{table}", columns).create(), lambda table: VersionedTable(session, f"{tables}/{table}", []).drop())
+        append_batch(batch, layer, batch_id)
+
+    return _start(changes, write, checkpoint, available_now)
+
+
+def dimension_job(spark: SparkSession, log: str, config: str | Callable[[], DataFrame], tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keeps the dimension tables under ``tables`` current. The configuration (the
+    layer that ``config_job`` writes, or a function that gives it) is read anew for
+    each batch, so a change of it holds from the next batch on. Tables that a batch
+    does not touch are not written."""
+    session = job_session(spark)
+    changes, _ = parse_changes(read_values(session, log, streaming=True))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        current = current_config(read_layer(session, config, S.CONFIG_ENVELOPE)) if isinstance(config, str) else config()
         newest = newest_per_key(dimension_changes(batch, current)).persist()
         try:
-            for row in current.select("sink_table", "sink_columns").distinct().collect():  # a few tables
+            touched = newest.select("sink_table").distinct()
+            for row in current.join(touched, "sink_table").select("sink_table", "sink_columns").distinct().collect():  # a few tables
                 mine = newest.where(F.col("sink_table") == row["sink_table"])
-                columns = [c.strip() for c in row["sink_columns"].split(",")]
-                VersionedTable(session, f"{tables}/{row['sink_table']}", columns).apply(dimension_rows(mine, row["sink_columns"]), batch_id)
+                table = VersionedTable(session, f"{tables}/{row['sink_table']}", column_names(row["sink_columns"]))
+                table.apply(dimension_rows(mine, row["sink_columns"]), batch_id)
         finally:
             newest.unpersist()
 
     return _start(changes, write, checkpoint, available_now)
 
 
-def fact_job(spark: SparkSession, log: str, layer: str, checkpoint: str, mode: str = "complete", available_now: bool = False, files_per_batch: int | None = None, ttl_ms: int | None = None) -> StreamingQuery:
+def fact_job(
+    spark: SparkSession,
+    log: str,
+    layer: str,
+    checkpoint: str,
+    mode: str = "complete",
+    available_now: bool = False,
+    files_per_batch: int | None = None,
+    early_ttl_ms: int | None = STASH_TTL_MS,
+    keep_ttl_ms: int | None = KEEP_TTL_MS,
+) -> StreamingQuery:
     """Application changes to the six fact tables under ``layer``."""
-    changes, _ = parse_changes(read_values(spark, log, streaming=True, files_per_batch=files_per_batch))
-    facts = application_facts(fact_changes(changes), mode, ttl_ms)
+    session = job_session(spark)
+    changes, _ = parse_changes(read_values(session, log, streaming=True, files_per_batch=files_per_batch))
+    facts = application_facts(fact_changes(changes), mode, _expiry(available_now, early_ttl_ms, keep_ttl_ms))
     return _start(facts, fan_out(APPLICATION_FACTS, layer), checkpoint, available_now)
 
 
-def contract_job(spark: SparkSession, log: str, layer: str, checkpoint: str, mode: str = "complete", available_now: bool = False) -> StreamingQuery:
+def contract_job(spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False, early_ttl_ms: int | None = None, keep_ttl_ms: int | None = KEEP_TTL_MS) -> StreamingQuery:
     """Contract changes and produced contracts of ``layer`` to the lease facts."""
-    changes, _ = parse_changes(read_values(spark, log, streaming=True))
-    produced = spark.readStream.schema(PAYLOAD).parquet(f"{layer}/contract_produced")
-    facts = contract_facts(fact_changes(changes), produced.select("payload"), mode)
+    session = job_session(spark)
+    changes, _ = parse_changes(read_values(session, log, streaming=True))
+    produced = session.readStream.schema(PAYLOAD).parquet(f"{layer}/contract_produced")
+    facts = contract_facts(fact_changes(changes), produced.select("payload"), _expiry(available_now, early_ttl_ms, keep_ttl_ms))
     return _start(facts, fan_out(CONTRACT_FACTS, layer), checkpoint, available_now)
 
 
@@ -72,8 +116,8 @@ def summary_job(spark: SparkSession, name: str, layer: str, target: str, checkpo
     """One summary of ``SUMMARIES`` from its fact table to a table partitioned by
     day, closed windows replacing rows of the same key. ``enrich`` gets each batch,
     so dimensions it reads are those of that moment."""
-    spec = SUMMARIES[name]
-    summary = summarize(fact_stream(spark, layer, spec.fact, spec.time), name, streaming=True)
+    spec, session = SUMMARIES[name], job_session(spark)
+    summary = summarize(fact_stream(session, layer, spec.fact, spec.time), name, streaming=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         upsert_days(enrich(batch) if enrich else batch, target, ["stt", "edt", *spec.keys])
@@ -81,9 +125,14 @@ def summary_job(spark: SparkSession, name: str, layer: str, target: str, checkpo
     return _start(summary, write, checkpoint, available_now)
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """A running count of a stream, for complete or update mode."""
-    return rows.groupBy().count()
+def count_job(spark: SparkSession, log: str, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The running count of a log's messages, the newest count in ``target``."""
+    rows = read_values(job_session(spark), log, streaming=True)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(target)
+
+    return _start(rows.groupBy().count(), write, checkpoint, available_now, "complete")
 
 
 def facts_of(spark: SparkSession, layer: str, kind: str) -> DataFrame:

@@ -26,9 +26,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("payload", T.StringType())])
 #: Steps of a credit: fact, its time, the stash that holds early rows.
 STEPS = {"add": "credit_add", "occupy": "credit_occupy", "produced": "contract_produced"}
+#: How long early rows wait, and how long approvals and produced contracts are kept,
+#: in a job that runs on (400 days, longer than a lease takes to start).
 STASH_TTL_MS = 30_000
-APPLICATION_STATE = ("audit_man", "approval", "reply", *STEPS)
-CONTRACT_STATE = ("produced", "signed", "execution")
+KEEP_TTL_MS = 400 * 86_400_000
+#: State of a key in two cells: what is kept, and rows that came early.
+APPLICATION_STATE = {"kept": ("audit_man", "approval", "reply"), "early": tuple(STEPS)}
+CONTRACT_STATE = {"kept": ("produced",), "early": ("signed", "execution")}
 
 Fact = tuple[str, dict]
 
@@ -117,7 +121,7 @@ def _approve(state: dict, approval: dict, mode: str) -> Iterator[Fact]:
     yield from _flush(state, approval)
 
 
-def contract_step(state: dict, table: str, kind: str, data: dict, mode: str = "complete") -> Iterator[Fact]:
+def contract_step(state: dict, table: str, kind: str, data: dict) -> Iterator[Fact]:
     """Facts from a produced contract (``table`` contract_produced, ``data`` that
     fact) or from a change of a contract."""
     if table == "contract_produced":
@@ -146,45 +150,53 @@ def _lease_fact(side: str, row: dict, produced: dict) -> Fact:
 
 
 class _Machine(StatefulProcessor):
-    """Runs a step function per key over changes in log order."""
+    """Runs a step function per key over changes in log order. A key's state is read
+    and written once a batch, in the two cells of ``cells_of``."""
 
-    names: tuple[str, ...]
-    expiring: tuple[str, ...] = ()
+    cells_of: dict[str, tuple[str, ...]]
 
-    def __init__(self, mode: str = "complete", ttl_ms: int | None = None):
-        if mode not in ("complete", "strict"):
-            raise ValueError(f"no mode {mode}")
-        self.mode, self.ttl_ms = mode, ttl_ms
+    def __init__(self, ttl_ms: dict[str, int] | None = None):
+        self.ttl_ms = ttl_ms or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         text = T.StructType([T.StructField("json", T.StringType())])
-        self.cells = {n: handle.getValueState(n, text, ttlDurationMs=self.ttl_ms if n in self.expiring else None) for n in self.names}
+        self.cells = {n: handle.getValueState(n, text, ttlDurationMs=self.ttl_ms.get(n)) for n in self.cells_of}
 
     def step(self, state: dict, table: str, kind: str, data: dict) -> Iterator[Fact]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = {n: c.get()[0] for n, c in self.cells.items() if c.exists()}
-        state = {n: json.loads(x) for n, x in before.items()}
+        before, state = {}, {}
+        for name, cell in self.cells.items():
+            found = cell.get()
+            if found is not None:
+                before[name] = found[0]
+                state |= json.loads(found[0])
         for r in sorted(rows, key=lambda r: (r["ts"], r["xid"], r["xoffset"])):
             for kind, fact in self.step(state, r["table"], r["type"], json.loads(r["row"])):
                 yield Row(kind=kind, payload=json.dumps(fact))
-        for n, cell in self.cells.items():
-            after = json.dumps(state[n]) if state.get(n) is not None else None
-            if after is None and n in before:
-                cell.clear()
-            elif after is not None and after != before.get(n):
-                cell.update((after,))
+        for name, parts in self.cells_of.items():
+            after = {p: state[p] for p in parts if state.get(p) is not None}
+            text = json.dumps(after) if after else None
+            if text is None and name in before:
+                self.cells[name].clear()
+            elif text is not None and text != before.get(name):
+                self.cells[name].update((text,))
 
     def close(self) -> None:
         pass
 
 
 class ApplicationLifecycle(_Machine):
-    """State of an application: officer, approval, reply and early credit rows
-    (the only ones that may expire)."""
+    """State of an application: officer, approval and reply; early credit rows."""
+
+    cells_of = APPLICATION_STATE
 
-    names, expiring = APPLICATION_STATE, tuple(STEPS)
+    def __init__(self, mode: str = "complete", ttl_ms: dict[str, int] | None = None):
+        if mode not in ("complete", "strict"):
+            raise ValueError(f"no mode {mode}")
+        super().__init__(ttl_ms)
+        self.mode = mode
 
     def step(self, state, table, kind, data):
         return application_step(state, table, kind, data, self.mode)
@@ -193,10 +205,10 @@ class ApplicationLifecycle(_Machine):
 class ContractLifecycle(_Machine):
     """State of a credit: its produced contract, and early contract steps."""
 
-    names = CONTRACT_STATE
+    cells_of = CONTRACT_STATE
 
     def step(self, state, table, kind, data):
-        return contract_step(state, table, kind, data, self.mode)
+        return contract_step(state, table, kind, data)
 
 
 def _keyed(changes: DataFrame, key: Column) -> DataFrame:
@@ -205,21 +217,24 @@ def _keyed(changes: DataFrame, key: Column) -> DataFrame:
 
 
 def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
+    """The session of ``keyed`` must name RocksDB as its state store: the jobs work in
+    a session of their own that does, and no other is changed."""
     spark = keyed.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {ROCKSDB}")
     spark.streams.active  # noqa: B018  a batch needs the state store's coordinator too
     mode = "ProcessingTime" if machine.ttl_ms else "None"
     return keyed.groupBy("key").transformWithState(machine, OUT, "Append", mode)
 
 
-def application_facts(changes: DataFrame, mode: str = "complete", ttl_ms: int | None = None) -> DataFrame:
+def application_facts(changes: DataFrame, mode: str = "complete", ttl_ms: dict[str, int] | None = None) -> DataFrame:
     """``kind, payload`` of the facts of applications and credits, from the fact
     changes (without contracts) of a stream or a table."""
     key = F.when(F.col("table") == "credit_facility", F.col("data")["id"]).otherwise(F.col("data")["credit_facility_id"])
     return _run(_keyed(changes.where(F.col("table") != "contract"), key), ApplicationLifecycle(mode, ttl_ms))
 
 
-def contract_facts(changes: DataFrame, produced: DataFrame, mode: str = "complete") -> DataFrame:
+def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
     """``kind, payload`` of lease facts from contract changes and the payloads of
     contract_produced facts, in either order."""
     contracts = _keyed(changes.where(F.col("table") == "contract"), F.col("data")["credit_id"])
@@ -227,7 +242,7 @@ def contract_facts(changes: DataFrame, produced: DataFrame, mode: str = "complet
     sides = produced.select(
         F.get_json_object("payload", "$.credit_id").alias("key"), F.lit("contract_produced").alias("table"), F.lit("insert").alias("type"), *[first.alias(c) for c in S.POSITION], F.col("payload").alias("row")
     )
-    return _run(contracts.unionByName(sides), ContractLifecycle(mode))
+    return _run(contracts.unionByName(sides), ContractLifecycle(ttl_ms))
 
 
 def typed_facts(facts: DataFrame, kind: str) -> DataFrame:

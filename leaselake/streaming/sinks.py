@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from leaselake.operators.dimensions import applied
 
@@ -24,10 +24,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def stream_id(spark: SparkSession) -> str:
+    """Id of the streaming query that runs now: it stays with its checkpoint, and a
+    new checkpoint, whose batches count from 0 again, has another. Empty outside."""
+    return (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "").replace("-", "")
+
+
 def append_batch(df: DataFrame, path: str, batch_id: int, **options: str) -> None:
-    """Append once: a batch owns its folder, so a batch that runs again replaces
-    what its first run wrote."""
-    df.write.mode("overwrite").options(**options).parquet(f"{path}/batch={batch_id}")
+    """Append once: a batch owns its folder, which appears whole (written under a
+    hidden name, then renamed) and is never written again. So a batch that runs a
+    second time changes nothing, for batch readers and for streams that follow."""
+    spark = df.sparkSession
+    name = f"{stream_id(spark)}_{batch_id}".lstrip("_")
+    fs, at = _fs(spark, f"{path}/batch={name}")
+    if fs.exists(at):
+        return
+    df.write.mode("overwrite").options(**options).parquet(f"{path}/_{name}")
+    _, hidden = _fs(spark, f"{path}/_{name}")
+    if not fs.rename(hidden, at) and not fs.exists(at):
+        raise OSError(f"{at} could not be put in place")
 
 
 def read_layer(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -73,55 +88,72 @@ def upsert_days(changes: DataFrame, path: str, keys: list[str], day: str = "cur_
     fs.delete(at, True)
 
 
-def drop_old_days(spark: SparkSession, path: str, today: str, keep: int = 100, day: str = "cur_date") -> list[str]:
-    """Delete the partitions of more than ``keep`` days before ``today``."""
+def drop_old_days(spark: SparkSession, path: str, today: str, keep: int = 100, ahead: int = 30, day: str = "cur_date") -> list[str]:
+    """Delete the partitions of more than ``keep`` days before ``today`` and of more
+    than ``ahead`` days after it, as the summary tables' range says."""
     fs, at = _fs(spark, path)
-    limit = spark.range(1).select(F.date_sub(F.lit(today).cast("date"), keep).cast("string")).first()[0]
+    if not fs.exists(at):
+        return []
+    dates = [F.date_add(F.lit(today).cast("date"), n).cast("string") for n in (-keep, ahead)]
+    first, last = spark.range(1).select(*dates).first()
     gone = []
     for status in fs.listStatus(at):
         name = status.getPath().getName()
-        if name.startswith(f"{day}=") and name.split("=", 1)[1] < limit:
+        if name.startswith(f"{day}=") and not first <= name.split("=", 1)[1] <= last:
             fs.delete(status.getPath(), True)
             gone.append(name.split("=", 1)[1])
     return sorted(gone)
 
 
-def merge_statement(target: str, source: str, keys: list[str]) -> str:
-    """The upsert as MERGE, for table formats that have it."""
-    on = " AND ".join(f"t.{k} <=> s.{k}" for k in keys)
-    return f"MERGE INTO {target} t USING {source} s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
-
-
 class VersionedTable:
     """A keyed table that is rewritten as a new version and then switched to.
 
-    Readers follow the newest version whose folder is complete. A version is named
-    by the batch that made it, so a batch that runs again makes the same one.
+    Versions count upwards whatever stream makes them, and a version's name holds
+    the stream and batch that made it, so a batch that runs again makes no other.
+    Readers follow the newest version whose folder is complete. For keyed tables of
+    a size that may be rewritten, as dimensions are; a table format with MERGE would
+    write changed rows only.
     """
 
     def __init__(self, spark: SparkSession, path: str, columns: list[str]):
         self.spark, self.path = spark, path
         self.schema = ", ".join(f"`{c}` string" for c in ["key", *columns])
 
-    def versions(self) -> list[int]:
+    def versions(self) -> list[tuple[int, str]]:
+        """(number, stream and batch) of the complete versions, in order."""
         fs, at = _fs(self.spark, self.path)
         if not fs.exists(at):
             return []
         names = [s.getPath() for s in fs.listStatus(at)]
-        done = [n for n in names if n.getName().startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-        return sorted(int(n.getName()[2:]) for n in done)
+        done = [n.getName() for n in names if n.getName().startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+        return sorted((int(n[2:].split("_", 1)[0]), n.split("_", 1)[1]) for n in done)
 
-    def read(self, below: int | None = None) -> DataFrame:
-        found = [v for v in self.versions() if below is None or v < below]
+    def read(self) -> DataFrame:
+        found = self.versions()
         if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}")
+        number, made_by = found[-1]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={number}_{made_by}")
+
+    def create(self) -> None:
+        """An empty table, unless there is one."""
+        if not self.versions():
+            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{self.path}/v=0_created")
+
+    def drop(self) -> None:
+        fs, at = _fs(self.spark, self.path)
+        fs.delete(at, True)
 
     def apply(self, changed: DataFrame, batch_id: int, keep: int = 2) -> None:
         """``changed`` has ``key``, ``deleted`` and the table's columns."""
-        applied(self.read(below=batch_id), changed).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        for old in self.versions()[:-keep]:
-            fs, at = _fs(self.spark, f"{self.path}/v={old}")
+        made_by = f"{stream_id(self.spark)}_{batch_id}"
+        found = self.versions()
+        if any(m == made_by for _, m in found):
+            return
+        number = found[-1][0] + 1 if found else 0
+        applied(self.read(), changed).write.mode("overwrite").parquet(f"{self.path}/v={number}_{made_by}")
+        for old, by in self.versions()[:-keep]:
+            fs, at = _fs(self.spark, f"{self.path}/v={old}_{by}")
             fs.delete(at, True)
 
 
@@ -131,5 +163,6 @@ def text_files(df: DataFrame, path: str, checkpoint: str, every: str = "15 minut
     return writer.trigger(processingTime=every).start()
 
 
-def console(df: DataFrame, mode: str = "append") -> DataStreamWriter:
-    return df.writeStream.format("console").outputMode(mode)
+def console(df: DataFrame, mode: str = "append") -> StreamingQuery:
+    """A stream's rows on the driver's console, for a look at a job under work."""
+    return df.writeStream.format("console").outputMode(mode).start()

@@ -10,6 +10,8 @@ import pytest
 from leaselake.streaming.lifecycle import application_facts, application_step, contract_step, typed_facts
 from pyspark.sql import functions as F
 
+from leaselake.streaming.jobs import job_session
+
 STATUS = ("credit_facility_status", "insert", {"credit_facility_id": "1", "status": "5", "employee_id": "9"})
 APPLY = ("credit_facility", "update", {"id": "1", "status": "16", "credit_amount": "100.00", "update_time": "t1", "salesman_id": "3"})
 REPLY = ("reply", "insert", {"id": "7", "credit_facility_id": "1", "credit_amount": "90.00", "create_time": "t2", "irr": "0.05", "period": "12"})
@@ -108,7 +110,9 @@ def test_contract_ignored():
 def test_processor_in_batch(spark):
     rows = [("lease", t, k, 1, n, 0, d, None) for n, (t, k, d) in enumerate([STATUS, APPLY, REPLY, ADD, OCCUPY, PRODUCED])]
     log = spark.createDataFrame(rows, "database string, table string, type string, ts long, xid long, xoffset long, data map<string,string>, old map<string,string>")
-    out = application_facts(log)
+    with pytest.raises(ValueError):
+        application_facts(log)  # the session's state store is another
+    out = application_facts(job_session(spark).createDataFrame(rows, log.schema))
     found = sorted(r["kind"] for r in out.collect())
     assert found == ["audit_approve", "contract_produced", "credit_add", "credit_occupy"]
     add = typed_facts(out, "credit_add").where(F.col("id") == "5").first()

@@ -13,8 +13,6 @@ from shared_rows import SF
 from leaselake.plans.queries import QUERIES, SQL
 from leaselake.shipping import ship
 
-SLOW = {"stream_dws_credit_add", "stream_contract_lifecycle"}
-
 
 def plain(value):
     if isinstance(value, Decimal):
@@ -36,7 +34,7 @@ def test_each_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, tables, name):
     ship(spark)
     got = QUERIES[name](spark, SF)

@@ -13,7 +13,8 @@ from leaselake import schemas as S
 from leaselake.operators.windows import tumbling_summary
 from leaselake.streaming import jobs
 from leaselake.streaming.lifecycle import ApplicationLifecycle
-from leaselake.streaming.sinks import VersionedTable, text_files
+from leaselake.functions import event_time
+from leaselake.streaming.sinks import VersionedTable, append_batch, console, exists, text_files
 
 
 def write(path, name, changes, start):
@@ -37,7 +38,7 @@ def test_fact_job_restarts(spark, tmp_path):
 def test_stash_expires(spark, tmp_path):
     log, layer = tmp_path / "log", str(tmp_path / "layer")
     write(log, "0.txt", [APPLY, ADD], 0)
-    query = jobs.fact_job(spark, str(log), layer, str(tmp_path / "checkpoint"), mode="strict", ttl_ms=1)
+    query = jobs.fact_job(spark, str(log), layer, str(tmp_path / "checkpoint"), mode="strict", early_ttl_ms=1)
     try:
         end = time.time() + 90
         while time.time() < end and not query.lastProgress:
@@ -55,7 +56,7 @@ def test_stash_expires(spark, tmp_path):
         assert jobs.facts_of(spark, layer, "credit_add").count() == 0
     finally:
         query.stop()
-    assert set(ApplicationLifecycle.expiring) == {"add", "occupy", "produced"}
+    assert set(ApplicationLifecycle.cells_of["early"]) == {"add", "occupy", "produced"}
 
 
 def test_dimension_job(spark, tmp_path):
@@ -87,7 +88,75 @@ def test_text_sink_and_count(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows_of(spark.read.text(str(tmp_path / "out"))) == [("x",), ("y",)]
-    counted = jobs.counted(stream).writeStream.format("memory").queryName("counted").outputMode("complete").start()
-    counted.processAllAvailable()
-    counted.stop()
-    assert spark.table("counted").first()[0] == 2
+    shown = console(stream)
+    shown.processAllAvailable()
+    shown.stop()
+    assert shown.lastProgress is not None and shown.exception() is None
+    jobs.count_job(spark, str(tmp_path / "in"), str(tmp_path / "n"), str(tmp_path / "count-checkpoint"), available_now=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "n")).first()[0] == 2
+
+
+def test_configuration_stream(spark, tmp_path):
+    """Rows come before and after their table is configured, renamed and dropped."""
+    log, config, tables = tmp_path / "log", tmp_path / "config", str(tmp_path / "dims")
+    config.mkdir()
+
+    def entry(sink, columns="id,name"):
+        return {"source_table": "e", "sink_table": sink, "sink_family": "f", "sink_columns": columns, "sink_row_key": "id"}
+
+    def run(n, changes, rows):
+        (config / f"{n}.txt").write_text("\n".join(json.dumps({"op": o, "before": b, "after": a, "ts_ms": 10 * n + k}) for k, (o, b, a) in enumerate(changes)))
+        write(log, f"{n}.txt", rows, 10 * n)
+        jobs.config_job(spark, str(config), str(tmp_path / "layer"), tables, str(tmp_path / "c1"), available_now=True).awaitTermination()
+        jobs.dimension_job(spark, str(log), str(tmp_path / "layer"), tables, str(tmp_path / "c2"), available_now=True).awaitTermination()
+
+    run(0, [("c", None, entry("dim_a"))], [("e", "insert", {"id": "1", "name": "a"}), ("other", "insert", {"id": "7"})])
+    assert rows_of(VersionedTable(spark, f"{tables}/dim_a", ["id", "name"]).read()) == [("1", "1", "a")]
+    run(1, [("u", entry("dim_a"), entry("dim_b"))], [("e", "insert", {"id": "2", "name": "b"})])
+    assert not exists(spark, f"{tables}/dim_a")
+    assert rows_of(VersionedTable(spark, f"{tables}/dim_b", ["id", "name"]).read()) == [("2", "2", "b")]
+    run(2, [("d", entry("dim_b"), None)], [("e", "insert", {"id": "3"})])
+    assert not exists(spark, f"{tables}/dim_b")
+
+
+def test_versions_survive_a_new_checkpoint(spark, tmp_path):
+    """A new checkpoint counts its batches from 0 again; nothing is lost."""
+    log, dims = tmp_path / "log", str(tmp_path / "dims")
+    config = spark.createDataFrame([("e", "dim_e", "f", "id,name", "id")], S.TABLE_PROCESS)
+    for n, name in enumerate(["a", "b"]):
+        write(log, f"{n}.txt", [("e", "insert", {"id": name, "name": name})], 10 * n)
+        jobs.dimension_job(spark, str(log), lambda: config, dims, str(tmp_path / "first"), available_now=True).awaitTermination()
+    late = tmp_path / "late"
+    write(late, "0.txt", [("e", "insert", {"id": "c", "name": "c"})], 99)
+    jobs.dimension_job(spark, str(late), lambda: config, dims, str(tmp_path / "second"), available_now=True).awaitTermination()
+    table = VersionedTable(spark, f"{dims}/dim_e", ["id", "name"])
+    assert rows_of(table.read(), "key") == [("a",), ("b",), ("c",)]
+    before = table.versions()
+    write(late, "1.txt", [("other", "insert", {"id": "d"})], 99)
+    jobs.dimension_job(spark, str(late), lambda: config, dims, str(tmp_path / "second"), available_now=True).awaitTermination()
+    assert table.versions() == before  # no change, no rewrite
+
+
+def test_a_batch_that_runs_twice_is_read_once(spark, tmp_path):
+    """By a stream that follows the layer, too."""
+    layer, out = str(tmp_path / "layer"), str(tmp_path / "out")
+    for _ in range(2):
+        append_batch(spark.createDataFrame([("k", "p")], "kind string, payload string"), layer, 0)
+        stream = spark.readStream.schema(jobs.PAYLOAD).parquet(layer)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_jobs_leave_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    session = jobs.job_session(spark)
+    assert session.conf.get("spark.sql.session.timeZone") == S.SOURCE_ZONE == "+08:00"
+    assert before == (spark.conf.get("spark.sql.session.timeZone"), spark.conf.get("spark.sql.streaming.stateStore.providerClass"))
+    # 16:55 in the sources' zone is one instant whatever the caller's zone is
+    at = session.sql("SELECT '2024-08-06 16:55:00.123456' AS t").select(event_time(F.col("t")).cast("double").alias("at")).first()[0]
+    assert at == 1722934500.123
+
+
+def test_expiry_is_on_in_jobs_that_run_on():
+    assert jobs._expiry(True, 30_000, 1) == {} and jobs._expiry(False, 30_000, None) == {"early": 30_000}
+    assert jobs.STASH_TTL_MS == 30_000 and jobs.TRIGGER == "10 seconds"
