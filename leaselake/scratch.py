@@ -11,10 +11,13 @@ _LOCAL_DEFAULT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is configured."""
+    """``spark.checkpoint.dir``; a temporary folder only where none is configured and
+    driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL_DEFAULT:
         _LOCAL_DEFAULT.append(tempfile.mkdtemp(prefix="leaselake-shared-"))
     return "file://" + _LOCAL_DEFAULT[0]
