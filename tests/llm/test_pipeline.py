@@ -61,3 +61,40 @@ def test_packing(spark, kept):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def tables(spark, path, docs):
+    """Documents with columns whose names clash with those the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id int, score double, node string, row int"
+    spark.createDataFrame([(*d, 1, 0.5, "n", 2) for d in docs], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(20)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    items = [(1, "one two three four five six seven eight nine ten"), (None, "red orange yellow green blue indigo violet"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path, rng):
+    """Null ids, texts and sources, repeated rows and ids, a very long text."""
+    from llm_words import sentence
+
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = [(i, sentence(rng, 40) + (" insultax" if i % 5 == 0 else ""), "en", "ab"[i % 2], 9) for i in range(20)]
+    docs += [(None, None, None, None, None), (None, sentence(rng, 30), None, None, None), (30, "", None, "a", 0), (31, long, "en", "a", 1), (32, long + " more", "en", "b", 1)]
+    docs += [docs[1], (1, "same id, other text", "de", None, 3), (33, "so red orange yellow green blue indigo violet it is", "en", "a", 3)]
+    path = tables(spark, str(tmp_path), docs)
+    kept = [spark.read.parquet(f"{path}/documents.parquet")]
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, kept[-1], path)
+        assert out.columns == kept[0].columns
+        out.write.parquet(f"{path}/{name}")
+        kept.append(spark.read.parquet(f"{path}/{name}"))
+    after = [sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in k.collect()) for k in kept]
+    assert 31 in after[2] and 32 not in after[2] and after[2].count(-1) == 2
+    assert 33 in after[2] and 33 not in after[3]
+    assert set(after[4]) <= set(after[3])
+    assert corpus_pipeline.run(spark, path).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    path = tables(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, path).count() == 0
