@@ -18,11 +18,12 @@ STEP = 7
 
 def packed_bytes(content: np.ndarray) -> np.ndarray:
     """At each place the next ``STEP`` bytes as one number (zeros behind the end)."""
-    long = np.zeros(len(content) + STEP, np.uint64)
-    long[: len(content)] = content
+    padded = np.zeros(len(content) + STEP, np.uint8)
+    padded[: len(content)] = content
     out = np.zeros(len(content), np.uint64)
-    for k in range(STEP):
-        out = out << np.uint64(8) | long[k : k + len(content)]
+    for k in range(STEP):  # in place: this is the largest array of its task
+        np.left_shift(out, np.uint64(8), out=out)
+        np.bitwise_or(out, padded[k : k + len(content)], out=out)
     return out
 
 

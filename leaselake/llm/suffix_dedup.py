@@ -180,8 +180,9 @@ def covered_factors(content: np.ndarray, sizes: np.ndarray, doc: np.ndarray, sta
         head = np.zeros(len(at), np.uint64)
         for k in range(0, length - 6, 7):  # equal beginnings have equal sums
             head = (head + packed[at + k]) * np.uint64(BASE)
-        group = (_mixed(head) % np.uint64(groups)).astype(np.int64)
-        dealt = np.argsort(group, kind="stable")
+        group = (_mixed(head) % np.uint64(groups)).astype(np.int32)
+        dealt = np.argsort(group, kind="stable").astype(np.int32)
+        del head
         parts = np.split(dealt, np.searchsorted(group[dealt], np.arange(1, groups)))
     else:
         parts = [np.arange(len(at))]
