@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaselake.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, packing, simhash, suffix_dedup, toxicity, warc
-from leaselake.llm.staging import new_path
+from leaselake.llm import chat_format, decontamination, embedding_dedup, hard_negatives, language_id, mixing, packing, prefix_trie, quality, simhash, suffix_dedup, toxicity, warc
+from leaselake.llm.staging import new_path, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = stage(quality.quality_ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    judged = quality.apply_policy(ledger, quality.POLICIES["2"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = stage(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_turns(numbered)).drop("key")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -73,5 +88,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op5_warc": warc.SQL, "op9_chat_format": chat_format.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op5_warc": warc.SQL, "op9_chat_format": chat_format.SQL, "op10_suffix_dedup": suffix_dedup.SQL, "op11_quality_rules": quality.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_hard_negatives": hard_negatives.SQL}
