@@ -15,6 +15,7 @@ each segment is.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,6 +64,27 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space (the pattern's, which is Unicode's) that are cut out of a
+#: text before the pattern sees it: the pattern's recursion fails on very long ones.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 2000
+_RUNS = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+
+
+def token_ids(enc, text: str) -> list[int]:
+    """The ids of a whole text, whatever its length. The pattern makes one piece of a
+    run of white space, less its last character where something follows it; long
+    runs are encoded as that piece, and the text between them by the pattern, which
+    ends a piece at either end of such a run."""
+    out, at = [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 class CapacityTree:
     """Rows by remaining capacity, in a segment tree over capacities 0 to ``top``.
 
@@ -149,7 +171,7 @@ def pack_tokens(
         ids, offsets, lengths, pieces, held = [], [], [], [], 0
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.array([*enc.encode_ordinary(body or ""), end_id], dtype)
+                tokens = np.array([*token_ids(enc, body or ""), end_id], dtype)
                 for at in range(0, len(tokens), seq_len):
                     ids.append(doc)
                     offsets.append(at)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_words import sentence
 
-from leaselake.llm.packing import END_OF_TEXT, CapacityTree, best_fit_decreasing, encoder, pack_tokens, position_ids, vocabulary_path, write_matrices
+from leaselake.llm.packing import END_OF_TEXT, LONG_RUN, CapacityTree, best_fit_decreasing, encoder, pack_tokens, position_ids, token_ids, vocabulary_path, write_matrices
 
 
 def plain_best_fit(sizes, top):
@@ -61,6 +61,31 @@ def test_round_trip(spark, rng, window):
         assert sorted(parts) == sorted([(at, len(whole), whole[at : at + 64]) for at in range(0, len(whole), 64)] * copies)
 
 
+def test_long_white_space_equals_the_whole_text():
+    """Below what the pattern can take, ids are those of the whole text; the runs
+    stand alone, in front, behind, and around every kind of piece."""
+    enc = encoder(vocabulary_path())
+    runs = [" " * LONG_RUN, " \n" * 1500, "\t" * 2500 + " ", " " * 2400 + "\n", "\u3000\xa0" * 1700, "\r\n" * 1200, " " * (LONG_RUN - 1), "\x1c" * 2500, "\x85 " * 3000]
+    for run in runs:
+        for text in (run, run + "a", "a" + run, f"a{run}b", f"don't{run}'s{run}7", f"..{run}!{run}", f"a {run} b\n{run}", run + "ü☃" + run + run):
+            assert token_ids(enc, text) == enc.encode_ordinary(text), (run[:4], text[:9])
+
+
+def test_very_long_texts(spark):
+    n = 2_000_000
+    texts = [" " * n, " \n" * (n // 2), "a" + " " * n, "\n" * n + "b", "x" * n, f"a{' ' * n}b{chr(9) * n}", "#" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found, enc = {}, encoder(vocabulary_path())
+    for r in pack_tokens(df, seq_len=65_536).toLocalIterator():
+        ids, cu = np.frombuffer(r["token_ids"], "<u2"), r["cu_seqlens"]
+        for k, (a, b) in enumerate(zip(cu, cu[1:])):
+            found.setdefault(r["doc_ids"][k], []).append((r["part_offsets"][k], ids[a:b]))
+    assert len(found) == len(texts)
+    for doc, parts in found.items():
+        whole = np.concatenate([x for _, x in sorted(parts, key=lambda x: x[0])])
+        assert whole[-1] == END_OF_TEXT and enc.decode(whole[:-1].tolist()) == texts[doc]
+
+
 def test_empty_and_files(spark, tmp_path):
     schema = "doc_id long, text string"
     assert pack_tokens(spark.createDataFrame([], schema)).count() == 0
