@@ -58,7 +58,9 @@ class Items:
     """One block of test items as word numbers, with its n-grams.
 
     Word 0 is any word that no item of the block has. An n-gram is its words'
-    numbers in base ``len(vocabulary) + 1``, exact within 64 bits.
+    numbers in base ``len(vocabulary) + 1``: exact for blocks of up to two million
+    distinct words, beyond that modulo 2**64, where two n-grams of one code only
+    propose a stretch more to align.
     """
 
     def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float):
@@ -99,14 +101,18 @@ class Items:
         same = grams[at] == codes[place]
         return place[same], at[same]
 
-    def choose(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Each item's rarest n-grams: ``seeds[n]`` is (grams, start of each gram's
+    def choose(self, counted: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Each item's rarest n-grams, by their documents in ``counted[n]``, sorted
+        (grams, documents), where absent means none: ``seeds[n]`` is (grams, start of each gram's
         uses, item of each use, place of each use in the item)."""
         uses: dict[int, list[tuple[int, int, int]]] = {}
         for i, (words, n) in enumerate(zip(self.words, self.lengths, strict=True)):
             codes = self.codes(words, n)
             need = seeds_needed(len(words), n, self.threshold)
-            rarest = sorted(range(len(codes)), key=lambda k: (frequency.get((n, int(codes[k])), 0), k))[:need]
+            grams, docs = counted.get(n, (codes[:0], codes[:0]))
+            place = np.minimum(np.searchsorted(grams, codes), max(len(grams) - 1, 0))
+            often = np.where(grams[place] == codes, docs[place], 0) if len(grams) else np.zeros(len(codes), np.int64)
+            rarest = np.argsort(often, kind="stable")[:need].tolist()
             uses.setdefault(n, []).extend((int(codes[k]), i, k) for k in rarest)
         self.seeds = {}
         for n, found in uses.items():
@@ -235,8 +241,11 @@ def contaminated_passages(
                 yield pa.record_batch({"n": np.full(len(seen), n, np.int32), "gram": block.grams[n][seen], "docs": count[seen]})
 
         counted = chosen.select("_text").mapInArrow(counts, "n int, gram long, docs long").groupBy("n", "gram").agg(F.sum("docs").alias("docs"))
-        # bounded by the n-grams of one block of items
-        items.choose({(r["n"], r["gram"]): r["docs"] for r in counted.collect()})
+        # bounded by the n-grams of one block of items: columns, not rows
+        found_counts = counted.toArrow()
+        sizes, grams, docs_with = (found_counts.column(c).to_numpy() for c in ("n", "gram", "docs"))
+        order = np.argsort(grams, kind="stable")
+        items.choose({int(n): (grams[mine], docs_with[mine]) for n in np.unique(sizes) for mine in [order[sizes[order] == n]]})
         ready = sc.broadcast(items)
 
         def passages(batches: Iterator[pa.RecordBatch], sent=ready) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,8 @@ def test_seeds_lose_nothing(rng):
         for t in texts:
             for g in set(block.hits(block.numbers(t), n, grams)[1].tolist()):
                 frequency[n, int(grams[g])] = frequency.get((n, int(grams[g])), 0) + 1
-    block.choose(frequency)
+    sizes = {n for n, _ in frequency}
+    block.choose({n: tuple(np.array(x) for x in zip(*sorted((g, c) for (m, g), c in frequency.items() if m == n), strict=True)) for n in sizes})
     got = {(k, i) for k, i, *_ in flagged_passages(block, texts)}
     want = {(k, n) for n, item in items for k, t in enumerate(texts) if 10 * (len(words_of(item)) + plain_score(words_of(item), words_of(t))) >= 16 * len(words_of(item))}
     assert got == want and len(want) > 20
@@ -80,7 +81,7 @@ def test_documents(spark, rng, block_chars):
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
     bench = spark.createDataFrame([*enumerate(items), (9, None), (10, " ?! "), (None, items[0])], "item_id long, text string")
     found = {(r["doc_id"], r["contaminated"], r["item_id"], r["n_items"]) for r in decontaminate(df, bench, block_chars=block_chars).collect()}
-    assert found == {(1, False, None, 0), (2, True, 0, 1), (3, True, 1, 1), (4, False, None, 0), (5, False, None, 0), (6, False, None, 0), (None, True, 3, 1), (7, True, 0, 2), (8, True, 0, 1)}
+    assert found == {(1, False, None, 0), (2, True, 0, 2), (3, True, 1, 1), (4, False, None, 0), (5, False, None, 0), (6, False, None, 0), (None, True, 3, 1), (7, True, 0, 3), (8, True, 0, 2)}
     kept = drop_contaminated(df, bench, block_chars=block_chars)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6]
 
