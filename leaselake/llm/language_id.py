@@ -218,7 +218,8 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, bounds:
     """At most ``rows_per_language`` rows and ``chars_per_language`` characters a
     language outside the held-out part, by hash of id. A language's rows are counted
     first, and hashes above a cut that leaves half as many again are passed over, so
-    that no task ranks a frequent language whole."""
+    that no task ranks a frequent language whole. A text that does not fit is passed
+    over, and a language of too long texts alone gives the beginning of one."""
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(
         F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("lang"), id_col).alias("_h")
     )
@@ -229,7 +230,7 @@ def training_sample(docs: DataFrame, id_col: str, text: str, lang: str, bounds:
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))
     picks = few.withColumn("_r", place).where(F.col("_r") <= bounds.rows_per_language).drop("_r").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    return bounded_texts(texts, picks, "lang", bounds.chars_per_language, ["_id", "lang"]).sort_values(["_id", "lang", "text"], ignore_index=True)
+    return bounded_texts(texts, picks, "lang", bounds.chars_per_language, ["_id", "lang"]).toPandas().sort_values(["_id", "lang", "text"], ignore_index=True)
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bounds: TrainingBounds | None = None, order: int = 4) -> LanguageModels:

@@ -89,6 +89,17 @@ def test_rejection():
     assert L.predict(models, "zzqxj kkwvv " * 30)[2]
 
 
+def test_giant_texts_cost_no_language(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, "aa", 40), "aa") for i in range(50)] + [(i, text(rng, "bb", 40), "bb") for i in range(100, 150)]
+    rows += [(i, "x" * 3000 + text(rng, "bb", 300), "bb") for i in range(200, 260)] + [(300, text(rng, "cc", 2000), "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.training_sample(docs, "doc_id", "text", "lang", L.TrainingBounds(400, 3000))
+    chars = sample.groupby("lang")["text"].agg(lambda x: x.str.len().sum())
+    assert set(sample.lang) == {"aa", "bb", "cc"} and (chars <= 3000).all() and chars["cc"] == 3000
+    assert L.fit_languages(docs, bounds=L.TrainingBounds(400, 3000)).languages == ["aa", "bb", "cc"]
+
+
 def test_empty(spark):
     schema = "doc_id long, text string, lang string"
     assert L.language_id(spark.createDataFrame([], schema)).count() == 0
