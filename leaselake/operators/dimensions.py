@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +53,21 @@ def column_names(sink_columns: str) -> list[str]:
     return names
 
 
-def apply_config(changes: DataFrame, create: Callable[[str, list[str]], None], drop: Callable[[str], None]) -> None:
-    """Creates and drops dimension tables as configuration changes ask, in their
-    order: r and c create, d drops, u creates the new one and drops the old one if
-    the target's name changed. The configuration is a handful of rows."""
-    for e in changes.orderBy("ts_ms").select("op", "before", "after").toLocalIterator():
+def config_actions(changes: DataFrame) -> list[tuple[str, list[str] | None, bool]]:
+    """What a batch of configuration changes comes to, by target: (table, columns,
+    whether it was dropped before), columns None if it is gone at the end. r and c
+    create, d drops, u creates the new one and drops the old one if the target's name
+    changed. Changes of one time: deletes first, then by their text. The configuration
+    is a handful of rows."""
+    last: dict[str, tuple[list[str] | None, bool]] = {}
+    for e in changes.orderBy("ts_ms", F.col("op") != "d", F.to_json(F.struct("before", "after"))).select("op", "before", "after").toLocalIterator():
         if e["op"] in ("r", "c", "u"):
-            create(e["after"]["sink_table"], column_names(e["after"]["sink_columns"]))
+            new = e["after"]["sink_table"]
+            last[new] = (column_names(e["after"]["sink_columns"]), last.get(new, (None, False))[1])
         gone = e["before"]["sink_table"] if e["before"] is not None else None
         if gone and (e["op"] == "d" or (e["op"] == "u" and gone != e["after"]["sink_table"])):
-            drop(gone)
+            last[gone] = (None, True)
+    return [(table, *found) for table, found in last.items()]
 
 
 def flattened(tree: DataFrame, name: str, parent: str, prefix: str, levels: int = 3) -> DataFrame:

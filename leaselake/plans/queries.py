@@ -14,11 +14,12 @@ from leaselake.operators import dimensions, facts
 from leaselake.operators.enrich import with_hierarchies, with_officer_name
 from leaselake.operators.windows import SUMMARIES, rolled_up, summarize, tumbling_summary
 from leaselake.plans.change_log import as_json, config_lines, dimension_log, lease_log
-from leaselake.scratch import new_path
+from leaselake.scratch import file_system, new_path
 from leaselake.sources.changelog import fact_changes, parse_changes, read_values, split_contracts
-from leaselake.sources.lease_views import lease_view, with_views
+from leaselake.sources.lease_views import BASE, lease_view, with_views
 from leaselake.streaming import jobs
-from leaselake.streaming.sinks import VersionedTable, drop_old_days, exists, upsert_days
+from leaselake.streaming.sinks import exists
+from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -245,7 +246,11 @@ def dim_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = dimensions.dimension_rows(newest.where(F.col("sink_table") == "dim_employee"), columns)
     before = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 0).otherwise(1000000)).cast("string").alias("key"))
     current = before.select("key", *[F.lit("").alias(c) if c != "id" else F.col("key").alias("id") for c in columns.split(",")])
-    return dimensions.applied(current, changed).select("key", "id", "name", "department_id")
+    table = dimension_table(spark, new_path(spark, "dim-employee"), dimensions.column_names(columns))
+    table.append(current, 0)
+    table.compact()
+    table.append(changed, 1)  # stands in the log beside the compacted parts
+    return table.read().select("key", "id", "name", "department_id")
 
 
 DIM_VIEWS = {
@@ -293,15 +298,16 @@ def dws_upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums by event type, then a second batch that replaces those of users
     with an even id: the newest row of a key wins."""
     rows = _events(spark, sf_dir)
-    target = new_path(spark, "upsert")
 
     def daily(part: DataFrame) -> DataFrame:
         return part.groupBy(day_of(F.col("ts")).alias("cur_date"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast(S.MONEY)).cast(S.MONEY).alias("value"))
 
     first = daily(rows)
-    upsert_days(first, target, ["cur_date", "event_type"])
-    upsert_days(daily(rows.where("user_id % 2 = 0 AND event_type <> 'click'")), target, ["cur_date", "event_type"])
-    return spark.read.schema(first.schema).parquet(target).select("cur_date", "event_type", "n", "value")
+    table = day_table(spark, new_path(spark, "upsert"), ddl(first), ["cur_date", "event_type"])
+    table.append(first, 0)
+    table.compact()
+    table.append(daily(rows.where("user_id % 2 = 0 AND event_type <> 'click'")), 1)
+    return table.read().select("cur_date", "event_type", "n", "value")
 
 
 _UPSERT_EVENTS_SQL = """
@@ -318,11 +324,11 @@ SELECT * FROM newer UNION ALL SELECT d.* FROM daily d LEFT JOIN newer n USING (c
 def dws_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events counted by day in a table partitioned by day, then cut to ten days
     before and five after the middle of January 2024."""
-    target = new_path(spark, "retention")
     days = _events(spark, sf_dir).groupBy(day_of(F.col("ts")).alias("cur_date")).agg(F.count(F.lit(1)).alias("n"))
-    upsert_days(days, target, ["cur_date"])
-    drop_old_days(spark, target, RETENTION_DAY, keep=10, ahead=5)
-    return spark.read.schema(days.schema).parquet(target).select("cur_date", "n")
+    table = day_table(spark, new_path(spark, "retention"), ddl(days), ["cur_date"])
+    table.append(days, 0)
+    drop_old_days(table, RETENTION_DAY, keep=10, ahead=5)
+    return table.read().select("cur_date", "n")
 
 
 RETENTION_DAY = "2024-01-15"
@@ -408,13 +414,18 @@ def stream_facts_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.APPLICATION_FACTS])
 
 
-_LAYERS: dict[tuple[str, str], str] = {}
+_LAYERS: dict[tuple, str] = {}
 
 
 def _fact_layer(spark: SparkSession, sf_dir: str) -> str:
-    """The fact tables of a session's tables, as the fact and contract jobs write
-    them; the summary jobs all read the same ones, as they would in production."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The fact tables, as the fact and contract jobs write them: the summary jobs all
+    read the same ones, as they would in production. Made anew if a file changed."""
+    files = []
+    for name in BASE:
+        fs, at = file_system(spark, f"{sf_dir}/{name}.parquet")
+        found = fs.listStatus(at)
+        files += sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in found)
+    key = (spark.sparkContext.applicationId, *files)
     if key not in _LAYERS:
         log, layer = _facts_by_stream(spark, sf_dir, "complete")
         _finished(jobs.contract_job(spark, log, layer, new_path(spark, "contract-checkpoint"), available_now=True))
@@ -436,7 +447,7 @@ def stream_summary(name: str) -> Query:
             return with_names(typed, name, spark, sf_dir).select([F.col(f.name).cast(f.dataType) for f in wanted])
 
         _finished(jobs.summary_job(spark, name, layer, target, new_path(spark, "dws-checkpoint"), enrich, available_now=True))
-        return spark.read.schema(wanted).parquet(target)
+        return jobs.read_summary(spark, name, target, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted))
 
     return query
 
@@ -473,7 +484,7 @@ def stream_dim_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for table, columns in (("dim_employee", ["id", "name"]), ("dim_business_partner", ["id"]), ("dim_partner", ["id", "name"]), ("dim_partner_note", ["id"])):
         if exists(spark, f"{tables}/{table}"):
-            rows = VersionedTable(spark, f"{tables}/{table}", columns).read()
+            rows = dimension_table(spark, f"{tables}/{table}", columns).read()
             name = F.col("name") if "name" in columns else F.lit(None).cast("string")
             found.append(rows.select(F.lit(table).alias("sink_table"), "key", name.alias("name")))
     return reduce(DataFrame.unionByName, found)

@@ -50,10 +50,11 @@ FROM credit WHERE contract_id IS NOT NULL""",
 }
 
 
-def with_views(query: str, more: dict[str, str] | None = None) -> str:
+def with_views(query: str, more: dict[str, str] | None = None, base: dict[str, str] | None = None) -> str:
     """``query`` after the lease tables it names (and those that they name), as
-    common table expressions."""
-    views = VIEWS | (more or {})
+    common table expressions; ``base`` stands in for tables that they read, ``more``
+    reads them."""
+    views = (base or {}) | VIEWS | (more or {})
     needed: set[str] = set()
     texts = [query]
     while texts:
@@ -74,7 +75,7 @@ def _names(text: str, name: str) -> bool:
 
 
 def lease_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One lease table over the Parquet tables of ``sf_dir``."""
-    for base in BASE:
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return spark.sql(with_views(f"SELECT * FROM {name}"))
+    """One lease table over the Parquet tables of ``sf_dir``. The tables are named by
+    their files, so nothing is registered in the session."""
+    files = {b: f"SELECT * FROM parquet.`{sf_dir}/{b}.parquet`" for b in BASE}
+    return spark.sql(with_views(f"SELECT * FROM {name}", base=files))

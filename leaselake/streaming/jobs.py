@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leaselake import schemas as S
 from leaselake.functions import event_time
-from leaselake.operators.dimensions import apply_config, column_names, dimension_changes, dimension_rows, newest_per_key
+from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, summarize
 from leaselake.sources.changelog import current_config, fact_changes, parse_changes, parse_config, read_values
 from leaselake.streaming.lifecycle import KEEP_TTL_MS, ROCKSDB, STASH_TTL_MS, application_facts, contract_facts, typed_facts
-from leaselake.streaming.sinks import VersionedTable, append_batch, fan_out, read_layer, upsert_days
+from leaselake.streaming.sinks import append_batch, batch_name, fan_out, has_batch, read_layer
+from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
 
 TRIGGER = "10 seconds"
 APPLICATION_FACTS = ("audit_approve", "audit_cancel", "audit_reject", "credit_add", "credit_occupy", "contract_produced")
@@ -45,19 +46,31 @@ def _expiry(available_now: bool, early: int | None, kept: int | None) -> dict[st
 
 def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Configuration changes to the table ``layer``, creating and dropping the
-    dimension tables under ``tables`` as they ask."""
+    dimension tables under ``tables`` as they ask. A batch that runs again after it
+    was marked does nothing; one that died before leaves the tables it made alone."""
     session = job_session(spark)
     changes = parse_config(read_values(session, log, streaming=True))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        apply_config(batch, lambda table, columns: VersionedTable(session, f"{tables}/{table}", columns).create(), lambda table: VersionedTable(session, f"{tables}/{table}", []).drop())
+        if has_batch(session, layer, batch_id):
+            return
+        made_by = batch_name(session, batch_id)
+        for name, columns, dropped in config_actions(batch):
+            table = dimension_table(session, f"{tables}/{name}", columns or [])
+            if columns is None:
+                table.drop()
+                continue
+            if dropped:
+                table.drop(unless_made_by=made_by)
+            table.create(made_by if dropped else "")
         append_batch(batch, layer, batch_id)
 
     return _start(changes, write, checkpoint, available_now)
 
 
 def dimension_job(spark: SparkSession, log: str, config: str | Callable[[], DataFrame], tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keeps the dimension tables under ``tables`` current. The configuration (the
+    """Keeps the dimension tables under ``tables`` current: a batch appends its newest
+    row of each key, and parts with many changes are compacted. The configuration (the
     layer that ``config_job`` writes, or a function that gives it) is read anew for
     each batch, so a change of it holds from the next batch on. Tables that a batch
     does not touch are not written."""
@@ -71,8 +84,9 @@ def dimension_job(spark: SparkSession, log: str, config: str | Callable[[], Data
             touched = newest.select("sink_table").distinct()
             for row in current.join(touched, "sink_table").select("sink_table", "sink_columns").distinct().collect():  # a few tables
                 mine = newest.where(F.col("sink_table") == row["sink_table"])
-                table = VersionedTable(session, f"{tables}/{row['sink_table']}", column_names(row["sink_columns"]))
-                table.apply(dimension_rows(mine, row["sink_columns"]), batch_id)
+                table = dimension_table(session, f"{tables}/{row['sink_table']}", column_names(row["sink_columns"]))
+                table.append(dimension_rows(mine, row["sink_columns"]), batch_id)
+                table.compact()
         finally:
             newest.unpersist()
 
@@ -112,19 +126,43 @@ def fact_stream(spark: SparkSession, layer: str, fact: str, time: str) -> DataFr
     return typed_facts(rows, fact).withColumn(time, event_time(F.col(time)))
 
 
-def summary_job(spark: SparkSession, name: str, layer: str, target: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = False) -> StreamingQuery:
-    """One summary of ``SUMMARIES`` from its fact table to a table partitioned by
-    day, closed windows replacing rows of the same key. ``enrich`` gets each batch,
-    so dimensions it reads are those of that moment."""
+def summary_job(
+    spark: SparkSession,
+    name: str,
+    layer: str,
+    target: str,
+    checkpoint: str,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    available_now: bool = False,
+    keep_days: int | None = None,
+) -> StreamingQuery:
+    """One summary of ``SUMMARIES`` from its fact table to a table by day, closed
+    windows replacing rows of the same key; ``read_summary`` reads it. A batch is
+    appended, and days with many changes are compacted. ``enrich`` gets each batch, so
+    dimensions it reads are those of that moment. ``keep_days``: older days go."""
     spec, session = SUMMARIES[name], job_session(spark)
     summary = summarize(fact_stream(session, layer, spec.fact, spec.time), name, streaming=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_days(enrich(batch) if enrich else batch, target, ["stt", "edt", *spec.keys])
+        rows = enrich(batch) if enrich else batch
+        table = day_table(session, target, ddl(rows), summary_keys(name))
+        table.append(rows, batch_id)
+        table.compact()
+        if keep_days is not None:
+            today = session.range(1).select(F.current_date().cast("string")).first()[0]
+            drop_old_days(table, today, keep_days)
 
     return _start(summary, write, checkpoint, available_now)
 
 
+def summary_keys(name: str) -> list[str]:
+    return ["cur_date", "stt", "edt", *SUMMARIES[name].keys]
+
+
+def read_summary(spark: SparkSession, name: str, target: str, schema: str) -> DataFrame:
+    return day_table(spark, target, schema, summary_keys(name)).read()
+
+
 def count_job(spark: SparkSession, log: str, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """The running count of a log's messages, the newest count in ``target``."""
     rows = read_values(job_session(spark), log, streaming=True)

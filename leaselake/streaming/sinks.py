@@ -1,46 +1,42 @@
-"""Sinks: exactly-once layers, upserts by key, day partitions with retention."""
+"""Sinks: exactly-once layers, text files, console. Keyed tables are in ``tables``."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leaselake.operators.dimensions import applied
-
-
-def _fs(spark: SparkSession, path: str):
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+from leaselake.scratch import file_system
+from leaselake.streaming.tables import stream_id
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
+    fs, at = file_system(spark, path)
     return fs.exists(at)
 
 
-def stream_id(spark: SparkSession) -> str:
-    """Id of the streaming query that runs now: it stays with its checkpoint, and a
-    new checkpoint, whose batches count from 0 again, has another. Empty outside."""
-    return (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "").replace("-", "")
+def batch_name(spark: SparkSession, batch_id: int) -> str:
+    return f"{stream_id(spark)}_{batch_id}".lstrip("_")
+
+
+def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
+    return exists(spark, f"{path}/batch={batch_name(spark, batch_id)}")
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, **options: str) -> None:
     """Append once: a batch owns its folder, which appears whole (written under a
     hidden name, then renamed) and is never written again. So a batch that runs a
-    second time changes nothing, for batch readers and for streams that follow."""
+    second time changes nothing, for batch readers and for streams that follow. The
+    file system must rename folders atomically, which object stores do not."""
     spark = df.sparkSession
-    name = f"{stream_id(spark)}_{batch_id}".lstrip("_")
-    fs, at = _fs(spark, f"{path}/batch={name}")
+    name = batch_name(spark, batch_id)
+    fs, at = file_system(spark, f"{path}/batch={name}")
     if fs.exists(at):
         return
     df.write.mode("overwrite").options(**options).parquet(f"{path}/_{name}")
-    _, hidden = _fs(spark, f"{path}/_{name}")
+    _, hidden = file_system(spark, f"{path}/_{name}")
     if not fs.rename(hidden, at) and not fs.exists(at):
         raise OSError(f"{at} could not be put in place")
 
@@ -65,98 +61,6 @@ def fan_out(kinds: tuple[str, ...], path: str) -> Callable[[DataFrame, int], Non
     return write
 
 
-def upsert_days(changes: DataFrame, path: str, keys: list[str], day: str = "cur_date") -> None:
-    """Replace rows by key in a table partitioned by day: the newest row of a key
-    wins. Only days that ``changes`` touches are read and written; the new days are
-    written beside the table first, so a failed run leaves it whole."""
-    spark = changes.sparkSession
-    days = [r[0] for r in changes.select(F.col(day).cast("string")).distinct().collect()]  # days of one batch
-    if not days:
-        return
-    merged = changes
-    if exists(spark, path):
-        current = spark.read.schema(changes.schema).parquet(path).where(F.col(day).cast("string").isin(days))
-        marks = changes.select([F.col(k).alias(f"_{k}") for k in keys])
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        merged = current.join(marks, same, "left_anti").unionByName(changes)
-    beside = f"{path}.{uuid.uuid4().hex}"
-    merged.write.parquet(beside)
-    fresh = spark.read.schema(changes.schema).parquet(beside)
-    # a day's rows in few files; a day that is too large for one task is split
-    fresh.hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-    fs, at = _fs(spark, beside)
-    fs.delete(at, True)
-
-
-def drop_old_days(spark: SparkSession, path: str, today: str, keep: int = 100, ahead: int = 30, day: str = "cur_date") -> list[str]:
-    """Delete the partitions of more than ``keep`` days before ``today`` and of more
-    than ``ahead`` days after it, as the summary tables' range says."""
-    fs, at = _fs(spark, path)
-    if not fs.exists(at):
-        return []
-    dates = [F.date_add(F.lit(today).cast("date"), n).cast("string") for n in (-keep, ahead)]
-    first, last = spark.range(1).select(*dates).first()
-    gone = []
-    for status in fs.listStatus(at):
-        name = status.getPath().getName()
-        if name.startswith(f"{day}=") and not first <= name.split("=", 1)[1] <= last:
-            fs.delete(status.getPath(), True)
-            gone.append(name.split("=", 1)[1])
-    return sorted(gone)
-
-
-class VersionedTable:
-    """A keyed table that is rewritten as a new version and then switched to.
-
-    Versions count upwards whatever stream makes them, and a version's name holds
-    the stream and batch that made it, so a batch that runs again makes no other.
-    Readers follow the newest version whose folder is complete. For keyed tables of
-    a size that may be rewritten, as dimensions are; a table format with MERGE would
-    write changed rows only.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, columns: list[str]):
-        self.spark, self.path = spark, path
-        self.schema = ", ".join(f"`{c}` string" for c in ["key", *columns])
-
-    def versions(self) -> list[tuple[int, str]]:
-        """(number, stream and batch) of the complete versions, in order."""
-        fs, at = _fs(self.spark, self.path)
-        if not fs.exists(at):
-            return []
-        names = [s.getPath() for s in fs.listStatus(at)]
-        done = [n.getName() for n in names if n.getName().startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-        return sorted((int(n[2:].split("_", 1)[0]), n.split("_", 1)[1]) for n in done)
-
-    def read(self) -> DataFrame:
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        number, made_by = found[-1]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={number}_{made_by}")
-
-    def create(self) -> None:
-        """An empty table, unless there is one."""
-        if not self.versions():
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{self.path}/v=0_created")
-
-    def drop(self) -> None:
-        fs, at = _fs(self.spark, self.path)
-        fs.delete(at, True)
-
-    def apply(self, changed: DataFrame, batch_id: int, keep: int = 2) -> None:
-        """``changed`` has ``key``, ``deleted`` and the table's columns."""
-        made_by = f"{stream_id(self.spark)}_{batch_id}"
-        found = self.versions()
-        if any(m == made_by for _, m in found):
-            return
-        number = found[-1][0] + 1 if found else 0
-        applied(self.read(), changed).write.mode("overwrite").parquet(f"{self.path}/v={number}_{made_by}")
-        for old, by in self.versions()[:-keep]:
-            fs, at = _fs(self.spark, f"{self.path}/v={old}_{by}")
-            fs.delete(at, True)
-
-
 def text_files(df: DataFrame, path: str, checkpoint: str, every: str = "15 minutes", rows_per_file: int = 1_000_000) -> StreamingQuery:
     """A stream's ``value`` column to rolling text files."""
     writer = df.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file)

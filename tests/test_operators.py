@@ -15,7 +15,8 @@ from leaselake.operators.enrich import with_officer_name
 from leaselake.operators.projections import row_image, typed_rows
 from leaselake.operators.windows import SUMMARIES, prepared, tumbling_summary
 from leaselake.sources.changelog import current_config, fact_changes, parse_changes, parse_config, read_config_table, read_topic, read_values, require_source, split_contracts
-from leaselake.streaming.sinks import VersionedTable, append_batch, drop_old_days, read_layer, upsert_days
+from leaselake.streaming.sinks import append_batch, read_layer
+from leaselake.streaming.tables import dimension_table
 
 LOG = "database string, table string, type string, ts long, xid long, xoffset long, data map<string,string>, old map<string,string>"
 SAMPLE = {
@@ -105,10 +106,13 @@ def test_config_creates_and_drops(spark):
         return (before, after, op, at)
 
     old, new = ("a", "dim_test_a", "f", "id, name", "id"), ("a", "dim_test_b", "f", "id", "id")
-    rows = [row("u", 2, new, old), row("c", 1, old, None), row("u", 3, new, new), row("d", 4, None, new)]
-    done = []
-    dimensions.apply_config(spark.createDataFrame(rows, S.CONFIG_ENVELOPE), lambda t, c: done.append((t, c)), done.append)
-    assert done == [("dim_test_a", ["id", "name"]), ("dim_test_b", ["id"]), "dim_test_a", ("dim_test_b", ["id"]), "dim_test_b"]
+    def actions(*rows):
+        return sorted(dimensions.config_actions(spark.createDataFrame(rows, S.CONFIG_ENVELOPE)))
+
+    assert actions(row("u", 2, new, old), row("c", 1, old, None), row("u", 3, new, new)) == [("dim_test_a", None, True), ("dim_test_b", ["id"], False)]
+    assert actions(row("u", 2, new, old), row("d", 4, None, new)) == [("dim_test_a", None, True), ("dim_test_b", None, True)]
+    assert actions(row("c", 5, old, None), row("d", 4, None, old)) == [("dim_test_a", ["id", "name"], True)]
+    assert actions(row("c", 5, old, None), row("d", 5, None, old)) == [("dim_test_a", ["id", "name"], True)]  # of one time: deletes first
     with pytest.raises(ValueError):
         dimensions.column_names(" ")
 
@@ -152,14 +156,16 @@ def test_dimension_upkeep(spark, tmp_path):
     config = spark.createDataFrame([("e", "dim_e", "f", "id, name", "id")], S.TABLE_PROCESS)
     first = [change("e", "bootstrap-start", {}), change("e", "bootstrap-insert", {"id": "1", "name": None, "x": "y"}), change("e", "insert", {"id": "2", "name": "b"}), change("other", "insert", {"id": "9"}), change("e", "insert", {"name": "no key"})]
     second = [change("e", "delete", {"id": "1"}, at=1), change("e", "insert", {"id": "1", "name": "again"}, at=2), change("e", "update", {"id": "2", "name": "c"}, at=1), change("e", "delete", {"id": "2"}, at=3)]
-    table = VersionedTable(spark, str(tmp_path / "dim_e"), ["id", "name"])
+    table = dimension_table(spark, str(tmp_path / "dim_e"), ["id", "name"])
     for n, log in enumerate([first, second, second]):  # the last batch runs twice
         newest = dimensions.newest_per_key(dimensions.dimension_changes(spark.createDataFrame(log, LOG), config))
-        table.apply(dimensions.dimension_rows(newest, "id, name"), min(n, 1))
+        table.append(dimensions.dimension_rows(newest, "id, name"), min(n, 1))
         if n == 0:
             assert rows_of(table.read()) == [("1", "1", ""), ("2", "2", "b")]
     assert rows_of(table.read()) == [("1", "1", "again")]
-    assert [v for v, _ in table.versions()] == [0, 1]
+    assert [n for n, _ in table.batches()] == [0, 1]
+    wider = dimension_table(spark, str(tmp_path / "dim_e"), ["id", "name", "later"])  # older rows do not have the column
+    assert rows_of(wider.read()) == [("1", "1", "again", "")]
 
 
 def test_flattened_hierarchy(spark):
@@ -204,22 +210,6 @@ def test_enrichment_keeps_rows(spark):
     assert rows_of(with_officer_name(summary, employees), "audit_man_id", "audit_man_name") == [("1", "Ann"), ("9", None)]
 
 
-def test_upsert_replaces_by_key(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "cur_date string, k string, v int"
-    upsert_days(spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-01", None, 2), ("2024-01-02", "a", 3)], schema), path, ["cur_date", "k"])
-    upsert_days(spark.createDataFrame([("2024-01-01", "a", 10), ("2024-01-01", None, 20), ("2024-04-20", "a", 5)], schema), path, ["cur_date", "k"])
-    upsert_days(spark.createDataFrame([], schema), path, ["cur_date", "k"])
-    read = lambda: rows_of(spark.read.schema(schema).parquet(path), "cur_date", "k", "v")
-    assert read() == [("2024-01-01", None, 20), ("2024-01-01", "a", 10), ("2024-01-02", "a", 3), ("2024-04-20", "a", 5)]
-
-
-def test_retention(spark, tmp_path):
-    path = str(tmp_path / "t")
-    upsert_days(spark.createDataFrame([("2024-01-01", 1), ("2024-01-11", 2), ("2024-04-20", 3), ("2024-06-20", 4)], "cur_date string, v int"), path, ["cur_date"])
-    assert drop_old_days(spark, path, "2024-04-20", keep=100) == ["2024-01-01", "2024-06-20"]
-    assert drop_old_days(spark, str(tmp_path / "none"), "2024-04-20") == []
-
-
 def test_append_batch_once(spark, tmp_path):
     path = str(tmp_path / "layer")
     for batch in (0, 1, 1):

@@ -14,7 +14,8 @@ from leaselake.operators.windows import tumbling_summary
 from leaselake.streaming import jobs
 from leaselake.streaming.lifecycle import ApplicationLifecycle
 from leaselake.functions import event_time
-from leaselake.streaming.sinks import VersionedTable, append_batch, console, exists, text_files
+from leaselake.streaming.sinks import append_batch, console, exists, text_files
+from leaselake.streaming.tables import dimension_table
 
 
 def write(path, name, changes, start):
@@ -65,7 +66,7 @@ def test_dimension_job(spark, tmp_path):
     for n, part in enumerate([[("e", "insert", {"id": "1", "name": "a"})], [("e", "update", {"id": "1", "name": "b"}), ("e", "insert", {"id": "2"})]]):
         write(log, f"{n}.txt", part, 10 * n)
         jobs.dimension_job(spark, str(log), lambda: config, str(tmp_path / "dims"), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
-    assert rows_of(VersionedTable(spark, str(tmp_path / "dims/dim_e"), ["id", "name"]).read()) == [("1", "1", "b"), ("2", "2", "")]
+    assert rows_of(dimension_table(spark, str(tmp_path / "dims/dim_e"), ["id", "name"]).read()) == [("1", "1", "b"), ("2", "2", "")]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -111,10 +112,10 @@ def test_configuration_stream(spark, tmp_path):
         jobs.dimension_job(spark, str(log), str(tmp_path / "layer"), tables, str(tmp_path / "c2"), available_now=True).awaitTermination()
 
     run(0, [("c", None, entry("dim_a"))], [("e", "insert", {"id": "1", "name": "a"}), ("other", "insert", {"id": "7"})])
-    assert rows_of(VersionedTable(spark, f"{tables}/dim_a", ["id", "name"]).read()) == [("1", "1", "a")]
+    assert rows_of(dimension_table(spark, f"{tables}/dim_a", ["id", "name"]).read()) == [("1", "1", "a")]
     run(1, [("u", entry("dim_a"), entry("dim_b"))], [("e", "insert", {"id": "2", "name": "b"})])
     assert not exists(spark, f"{tables}/dim_a")
-    assert rows_of(VersionedTable(spark, f"{tables}/dim_b", ["id", "name"]).read()) == [("2", "2", "b")]
+    assert rows_of(dimension_table(spark, f"{tables}/dim_b", ["id", "name"]).read()) == [("2", "2", "b")]
     run(2, [("d", entry("dim_b"), None)], [("e", "insert", {"id": "3"})])
     assert not exists(spark, f"{tables}/dim_b")
 
@@ -129,12 +130,12 @@ def test_versions_survive_a_new_checkpoint(spark, tmp_path):
     late = tmp_path / "late"
     write(late, "0.txt", [("e", "insert", {"id": "c", "name": "c"})], 99)
     jobs.dimension_job(spark, str(late), lambda: config, dims, str(tmp_path / "second"), available_now=True).awaitTermination()
-    table = VersionedTable(spark, f"{dims}/dim_e", ["id", "name"])
+    table = dimension_table(spark, f"{dims}/dim_e", ["id", "name"])
     assert rows_of(table.read(), "key") == [("a",), ("b",), ("c",)]
-    before = table.versions()
+    before = table.batches(), table.bases()
     write(late, "1.txt", [("other", "insert", {"id": "d"})], 99)
     jobs.dimension_job(spark, str(late), lambda: config, dims, str(tmp_path / "second"), available_now=True).awaitTermination()
-    assert table.versions() == before  # no change, no rewrite
+    assert (table.batches(), table.bases()) == before  # no change, no rewrite
 
 
 def test_a_batch_that_runs_twice_is_read_once(spark, tmp_path):
