@@ -364,8 +364,13 @@ def _finished(query) -> None:
 
 
 def _facts_by_stream(spark: SparkSession, sf_dir: str, mode: str) -> tuple[str, str]:
-    log, layer = _log_files(spark, sf_dir), new_path(spark, "facts")
-    _finished(jobs.fact_job(spark, log, layer, new_path(spark, "facts-checkpoint"), mode, available_now=True))
+    """``complete`` by joins of streams; ``keyed`` and ``strict`` by the state machine."""
+    log, layer, checkpoint = _log_files(spark, sf_dir), new_path(spark, "facts"), new_path(spark, "facts-checkpoint")
+    if mode == "complete":
+        for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True):
+            _finished(query)
+    else:
+        _finished(jobs.fact_job(spark, log, layer, checkpoint, {"keyed": "complete"}.get(mode, mode), available_now=True))
     return log, layer
 
 
@@ -401,16 +406,20 @@ def stream_contract_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.CONTRACT_FACTS])
 
 
-def stream_facts_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_facts_out_of_order(joined: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts from a log dealt over files so that replies and credits come in
     other micro-batches than their applications, before or after them."""
-    log, layer = new_path(spark, "shuffled-log"), new_path(spark, "facts")
+    log, layer, checkpoint = (new_path(spark, f"facts-{x}") for x in ("shuffled-log", "layer", "checkpoint"))
     lines = lease_log(spark, sf_dir)
     first = F.col("table").isin("credit_facility", "credit_facility_status")
     app = F.coalesce(F.col("data")["credit_facility_id"], F.col("data")["id"])
     file = F.when(first, F.pmod(F.xxhash64(app), F.lit(6))).otherwise(F.pmod(F.xxhash64("table", "type", app), F.lit(6)))
     as_json(lines.repartitionById(6, file.cast("int"))).write.text(log)
-    _finished(jobs.fact_job(spark, log, layer, new_path(spark, "facts-checkpoint"), available_now=True, files_per_batch=2))
+    if joined:
+        for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True, files_per_batch=2):
+            _finished(query)
+    else:
+        _finished(jobs.fact_job(spark, log, layer, checkpoint, available_now=True, files_per_batch=2))
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.APPLICATION_FACTS])
 
 
@@ -534,7 +543,7 @@ def _decimals(name: str) -> dict[str, str]:
         return dict.fromkeys(SUMMARIES[summary].sums, money)
     if name == "dws_json_text":
         return dict.fromkeys(SUMMARIES["credit_add"].sums, money)
-    if "lifecycle" in name or name in ("ads_rollup", "stream_facts_out_of_order"):
+    if "lifecycle" in name or "out_of_order" in name or name == "ads_rollup":
         return dict.fromkeys(("apply_amount", "reply_amount"), "decimal(26,2)" if name == "ads_rollup" else money)
     return {"value": money} if kind == "events" or name in ("dws_upsert_replace", "stream_late_drop") else {}
 
@@ -560,11 +569,13 @@ QUERIES: dict[str, Query] = {
     "dws_retention": dws_retention,
     "dws_json_text": dws_json_text,
     "stream_dim_config": stream_dim_config,
-    "stream_facts_out_of_order": stream_facts_out_of_order,
+    "stream_facts_out_of_order": partial(stream_facts_out_of_order, True),
+    "stream_facts_out_of_order_keyed": partial(stream_facts_out_of_order, False),
     "stream_running_count": stream_running_count,
     **{f"stream_dws_{n}": stream_summary(n) for n in SUMMARIES},
     "stream_late_drop": stream_late_drop,
     "stream_fact_lifecycle_complete": stream_fact_lifecycle("complete"),
+    "stream_fact_lifecycle_keyed": stream_fact_lifecycle("keyed"),
     "stream_fact_lifecycle_strict": stream_fact_lifecycle("strict"),
     "stream_contract_lifecycle": stream_contract_lifecycle,
     "ads_rollup": ads_rollup,
@@ -588,10 +599,12 @@ SQL: dict[str, str] = {
     "dws_json_text": summary_sql("credit_add"),
     "stream_dim_config": with_views(_DIM_CONFIG_SQL, DIM_VIEWS),
     "stream_facts_out_of_order": _brief_sql(jobs.APPLICATION_FACTS),
+    "stream_facts_out_of_order_keyed": _brief_sql(jobs.APPLICATION_FACTS),
     "stream_running_count": with_views(_COUNT_SQL),
     **{f"stream_dws_{n}": _closed_sql(n) for n in SUMMARIES},
     "stream_late_drop": _LATE_SQL,
     "stream_fact_lifecycle_complete": _brief_sql(jobs.APPLICATION_FACTS),
+    "stream_fact_lifecycle_keyed": _brief_sql(jobs.APPLICATION_FACTS),
     # in-order changes: the credit's first fact uses its approval up
     "stream_fact_lifecycle_strict": _brief_sql(("audit_approve", "audit_cancel", "audit_reject", "credit_add")),
     "stream_contract_lifecycle": _brief_sql(jobs.CONTRACT_FACTS),

@@ -12,12 +12,28 @@ from leaselake import schemas as S
 from leaselake.functions import event_time
 from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, summarize
+from leaselake.scratch import file_system
 from leaselake.sources.changelog import current_config, fact_changes, parse_changes, parse_config, read_values
-from leaselake.streaming.lifecycle import KEEP_TTL_MS, ROCKSDB, STASH_TTL_MS, application_facts, contract_facts, typed_facts
+from leaselake.streaming.joins import approvals, credit_steps
+from leaselake.streaming.lifecycle import (
+    APPLICATION_CELLS,
+    APPROVED,
+    CONTRACT_CELLS,
+    KEEP_TTL_MS,
+    ROCKSDB,
+    STASH_TTL_MS,
+    application_ends,
+    application_facts,
+    contract_facts,
+    expiry,
+    typed_facts,
+)
 from leaselake.streaming.sinks import append_batch, batch_name, fan_out, has_batch, read_layer
 from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
 
 TRIGGER = "10 seconds"
+#: How far apart in event time the sides of a stream-stream join may be.
+PATIENCE = "400 days"
 APPLICATION_FACTS = ("audit_approve", "audit_cancel", "audit_reject", "credit_add", "credit_occupy", "contract_produced")
 CONTRACT_FACTS = ("lease_sign", "lease_execution")
 PAYLOAD = "kind string, payload string, batch string"
@@ -38,10 +54,9 @@ def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()
 
 
-def _expiry(available_now: bool, early: int | None, kept: int | None) -> dict[str, int]:
+def _expiry(cells: dict, available_now: bool, early: int | None, kept: int | None) -> dict[str, int]:
     """State expires in jobs that run on; a timer would keep a bounded run going."""
-    wanted = {} if available_now else {"early": early, "kept": kept}
-    return {name: ms for name, ms in wanted.items() if ms}
+    return {} if available_now else expiry(cells, early, kept)
 
 
 def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -104,19 +119,50 @@ def fact_job(
     early_ttl_ms: int | None = STASH_TTL_MS,
     keep_ttl_ms: int | None = KEEP_TTL_MS,
 ) -> StreamingQuery:
-    """Application changes to the six fact tables under ``layer``."""
+    """Application changes to the six fact tables under ``layer``, by the state machine
+    of ``mode``, in which early credit rows wait for ``early_ttl_ms`` each."""
     session = job_session(spark)
     changes, _ = parse_changes(read_values(session, log, streaming=True, files_per_batch=files_per_batch))
-    facts = application_facts(fact_changes(changes), mode, _expiry(available_now, early_ttl_ms, keep_ttl_ms))
+    facts = application_facts(fact_changes(changes), mode, _expiry(APPLICATION_CELLS, available_now, early_ttl_ms, keep_ttl_ms))
     return _start(facts, fan_out(APPLICATION_FACTS, layer), checkpoint, available_now)
 
 
+def joined_fact_jobs(
+    spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False, files_per_batch: int | None = None, patience: str | None = PATIENCE, keep_ttl_ms: int | None = KEEP_TTL_MS
+) -> list[StreamingQuery]:
+    """The six fact tables under ``layer`` by the complete rules, in three chained
+    jobs: ends of applications with their officers, by a small state machine; their
+    approvals with replies; steps of credits with approvals. The last two are joins of
+    streams that wait for ``patience`` of event time. Bounded runs wait for ever, and
+    run one after the other."""
+    session = job_session(spark)
+    started = []
+
+    def run(name: str, kinds: tuple[str, ...], facts: Callable[[DataFrame], DataFrame]) -> None:
+        changes = fact_changes(parse_changes(read_values(session, log, streaming=True, files_per_batch=files_per_batch))[0])
+        started.append(_start(facts(changes), fan_out(kinds, layer), f"{checkpoint}/{name}", available_now))
+        if available_now:
+            started[-1].awaitTermination()
+
+    def stream(kind: str) -> DataFrame:
+        fs, at = file_system(session, f"{layer}/{kind}")
+        fs.mkdirs(at)  # its job may not have written yet
+        return session.readStream.schema(PAYLOAD).parquet(f"{layer}/{kind}")
+
+    wait = None if available_now else patience
+    ttl = {} if available_now or not keep_ttl_ms else {"audit_man": keep_ttl_ms}
+    run("ends", (APPROVED, "audit_cancel", "audit_reject"), lambda changes: application_ends(changes, ttl))
+    run("approvals", ("audit_approve",), lambda changes: approvals(stream(APPROVED), changes, wait))
+    run("credits", ("credit_add", "credit_occupy", "contract_produced"), lambda changes: credit_steps(stream("audit_approve"), changes, wait))
+    return started
+
+
 def contract_job(spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False, early_ttl_ms: int | None = None, keep_ttl_ms: int | None = KEEP_TTL_MS) -> StreamingQuery:
     """Contract changes and produced contracts of ``layer`` to the lease facts."""
     session = job_session(spark)
     changes, _ = parse_changes(read_values(session, log, streaming=True))
     produced = session.readStream.schema(PAYLOAD).parquet(f"{layer}/contract_produced")
-    facts = contract_facts(fact_changes(changes), produced.select("payload"), _expiry(available_now, early_ttl_ms, keep_ttl_ms))
+    facts = contract_facts(fact_changes(changes), produced.select("payload"), _expiry(CONTRACT_CELLS, available_now, early_ttl_ms, keep_ttl_ms))
     return _start(facts, fan_out(CONTRACT_FACTS, layer), checkpoint, available_now)
 
 

@@ -1,44 +1,68 @@
 """Keyed state machines that assemble facts from changes in any order.
 
 The rules are plain functions of a small state, so they are tested without Spark;
-the processors keep that state in Spark's state store. Two modes:
+the processors keep that state in typed cells of Spark's state store, each with an
+expiry of its own: a value for an officer, an approval, a reply, and a list for the
+early rows of each step, where every row expires by itself. Two modes:
 
 * ``complete``: what the facts mean. Approvals are kept, credit rows wait for
   them, and every step of a credit is a fact, whatever came first.
 * ``strict``: the narrower rules. A credit row without an approval is dropped, and
   each credit fact that is sent at once uses its approval up.
+
+``joins`` has the complete rules without order as stream-stream joins; there the
+machine only finds the officers.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leaselake import schemas as S
 from leaselake.operators.projections import ROWS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("payload", T.StringType())])
-#: Steps of a credit: fact, its time, the stash that holds early rows.
+#: Steps of a credit: the cell of its early rows, and the fact.
 STEPS = {"add": "credit_add", "occupy": "credit_occupy", "produced": "contract_produced"}
 #: How long early rows wait, and how long approvals and produced contracts are kept,
 #: in a job that runs on (400 days, longer than a lease takes to start).
 STASH_TTL_MS = 30_000
 KEEP_TTL_MS = 400 * 86_400_000
-#: State of a key in two cells: what is kept, and rows that came early.
-APPLICATION_STATE = {"kept": ("audit_man", "approval", "reply"), "early": tuple(STEPS)}
-CONTRACT_STATE = {"kept": ("produced",), "early": ("signed", "execution")}
 
-Fact = tuple[str, dict]
 
+def _names(table: str) -> list[str]:
+    return [name for name, *_ in ROWS[table]]
+
+
+#: Columns of a change that the machines read, and of the facts they give.
+COLUMNS = list(dict.fromkeys(name for table in ROWS for name in _names(table)))
+REPLIED = ("reply_id", "reply_amount", "reply_time", "irr", "period")
+FACT_COLUMNS = list(dict.fromkeys(c for columns in S.FACTS.values() for c in columns))
+OUT = ", ".join(f"{c} string" for c in ["kind", *FACT_COLUMNS])
+#: An application that was approved, with its officer, before its reply is known.
+APPROVED = "approved"
+KINDS = S.FACTS | {APPROVED: [c for c in S.FACTS["audit_approve"] if c not in REPLIED]}
+#: Cells: whether a list, columns, and whether its rows came early.
+_CREDIT_ROWS = (True, _names("credit"), True)
+APPLICATION_CELLS = {
+    "audit_man": (False, ["employee_id"], False),
+    "approval": (False, [*_names("credit_facility"), "audit_man_id", "approve_time", *REPLIED, "replied"], False),
+    "reply": (False, _names("reply"), False),
+    "add": _CREDIT_ROWS,
+    "occupy": _CREDIT_ROWS,
+    "produced": _CREDIT_ROWS,
+}
+CONTRACT_CELLS = {
+    "produced": (False, ["credit_facility_id", "apply_amount", "reply_amount", "credit_amount"], False),
+    "signed": (False, _names("contract"), True),
+    "execution": (False, _names("contract"), True),
+}
 
-def _renamed(table: str, data: dict) -> dict:
-    return {name: data.get(field) for name, field, _ in ROWS[table]}
+Fact = tuple[str, dict]
 
 
 def _step_of(kind: str, row: dict) -> str | None:
@@ -56,11 +80,11 @@ def _credit_fact(step: str, row: dict, approval: dict) -> Fact:
 
 
 def _filled(approval: dict, reply: dict) -> dict:
-    return approval | {c: reply[c] for c in ("reply_id", "reply_amount", "reply_time", "irr", "period")}
+    return approval | {c: reply[c] for c in REPLIED} | {"replied": "yes"}
 
 
 def _replied(approval: dict, mode: str) -> bool:
-    return "reply_id" in approval and (mode == "complete" or approval["reply_amount"] is not None)
+    return approval.get("replied") is not None and (mode == "complete" or approval["reply_amount"] is not None)
 
 
 def _flush(state: dict, approval: dict) -> Iterator[Fact]:
@@ -69,19 +93,18 @@ def _flush(state: dict, approval: dict) -> Iterator[Fact]:
             yield _credit_fact(step, row, approval)
 
 
-def application_step(state: dict, table: str, kind: str, data: dict, mode: str = "complete") -> Iterator[Fact]:
-    """Facts that one change of an application's tables gives; changes ``state``."""
-    row = _renamed(table, data)
+def application_step(state, table: str, kind: str, row: dict, mode: str = "complete") -> Iterator[Fact]:
+    """Facts that one change of an application's tables gives; changes ``state``, a
+    dictionary of cells or what behaves like one. ``row`` has the names of ``ROWS``."""
     if table == "credit_facility_status":
-        if row["status"] in S.OFFICER_STATUSES:
-            state["audit_man"] = row["employee_id"]
+        officer_step(state, row)
     elif table == "credit_facility" and kind == "update":
         yield from _application(state, row, mode)
     elif table == "reply":
         approval = state.get("approval")
         if approval is None:
             state["reply"] = row
-        elif mode == "strict" or "reply_id" not in approval:
+        elif mode == "strict" or approval.get("replied") is None:
             yield from _approve(state, _filled(approval, row), mode)
     elif table == "credit":
         step, approval = _step_of(kind, row), state.get("approval")
@@ -96,22 +119,35 @@ def application_step(state: dict, table: str, kind: str, data: dict, mode: str =
                 state.pop("approval")
 
 
-def _application(state: dict, row: dict, mode: str) -> Iterator[Fact]:
+def officer_step(state, row: dict) -> None:
+    if row["status"] in S.OFFICER_STATUSES:
+        state["audit_man"] = {"employee_id": row["employee_id"]}
+
+
+def ended(state, row: dict) -> Fact | None:
+    """An application's end with its officer, whom it uses up: ``approved``, or the
+    fact of a rejection or a cancellation."""
     status = row["status"]
     if status not in (S.APPROVED, S.REJECTED, S.CANCELLED):
+        return None
+    fact, time = {S.APPROVED: (APPROVED, "approve_time"), S.REJECTED: ("audit_reject", "reject_time"), S.CANCELLED: ("audit_cancel", "cancel_time")}[status]
+    officer = state.pop("audit_man", None)
+    return fact, row | {"audit_man_id": officer["employee_id"] if officer else None, time: row["update_time"]}
+
+
+def _application(state, row: dict, mode: str) -> Iterator[Fact]:
+    found = ended(state, row)
+    if found is None:
         return
-    full = row | {"audit_man_id": state.pop("audit_man", None)}
-    if status == S.APPROVED:
-        approval = full | {"approve_time": row["update_time"]}
+    fact, full = found
+    if fact == APPROVED:
         reply = state.pop("reply", None)
         if reply is None:
-            state["approval"] = approval
+            state["approval"] = full
         else:
-            yield from _approve(state, _filled(approval, reply), mode)
+            yield from _approve(state, _filled(full, reply), mode)
         return
-    fact, time = ("audit_reject", "reject_time") if status == S.REJECTED else ("audit_cancel", "cancel_time")
     state.pop("approval", None)
-    full[time] = row["update_time"]
     yield fact, {c: full.get(c) for c in S.FACTS[fact]}
 
 
@@ -121,24 +157,23 @@ def _approve(state: dict, approval: dict, mode: str) -> Iterator[Fact]:
     yield from _flush(state, approval)
 
 
-def contract_step(state: dict, table: str, kind: str, data: dict) -> Iterator[Fact]:
-    """Facts from a produced contract (``table`` contract_produced, ``data`` that
+def contract_step(state, table: str, kind: str, row: dict) -> Iterator[Fact]:
+    """Facts from a produced contract (``table`` contract_produced, ``row`` that
     fact) or from a change of a contract."""
     if table == "contract_produced":
-        open_sides = [s for s in ("signed", "execution") if not state.get(s)]
-        if open_sides:
-            state["produced"] = data
+        if any(state.get(s) is None for s in ("signed", "execution")):
+            state["produced"] = {c: row.get(c) for c in CONTRACT_CELLS["produced"][1]}
         for side in ("signed", "execution"):
-            for row in state.pop(side, None) or []:
-                yield _lease_fact(side, row, data)
+            early = state.pop(side, None)
+            if early is not None:
+                yield _lease_fact(side, early, row)
         return
-    row = _renamed("contract", data)
     side = {S.CONTRACT_SIGNED: "signed", S.CONTRACT_STARTED: "execution"}.get(row["status"])
     if kind != "update" or side is None:
         return
     produced = state.get("produced")
     if produced is None:
-        state[side] = [row]
+        state[side] = row
     else:
         yield _lease_fact(side, row, produced)
 
@@ -149,48 +184,89 @@ def _lease_fact(side: str, row: dict, produced: dict) -> Fact:
     return fact, {c: full.get(c) for c in S.FACTS[fact]}
 
 
+class _Cells:
+    """A key's cells as a dictionary: read when asked for, written at the end if
+    they changed. Rows added to a list are appended, so those before them keep
+    their own expiry."""
+
+    def __init__(self, handles: dict, cells: dict):
+        self.handles, self.cells = handles, cells
+        self.now: dict = {}
+        self.stored: dict = {}  # as read; a cell that was never read is not in it
+
+    def get(self, name: str, default=None):
+        if name not in self.now:
+            is_list, columns, _ = self.cells[name]
+            found = self.handles[name].get()
+            if is_list:
+                found = [dict(zip(columns, r, strict=True)) for r in found] or None
+            elif found is not None:
+                found = dict(zip(columns, found, strict=True))
+            self.now[name] = self.stored[name] = found
+        return default if self.now[name] is None else self.now[name]
+
+    def pop(self, name: str, default=None):
+        found = self.get(name, default)
+        self.now[name] = None
+        return found
+
+    def __setitem__(self, name: str, value) -> None:
+        self.now[name] = value
+
+    def save(self) -> None:
+        for name, value in self.now.items():
+            is_list, columns, _ = self.cells[name]
+            before, handle = self.stored.get(name), self.handles[name]
+            if value == before and name in self.stored:
+                continue
+            if not value:
+                handle.clear()
+            elif not is_list:
+                handle.update(tuple(value.get(c) for c in columns))
+            else:
+                rows = [tuple(r.get(c) for c in columns) for r in value]
+                grown = name in self.stored and value[: len(before or [])] == (before or [])
+                handle.appendList(rows[len(before or []) :]) if grown else handle.put(rows)
+
+
 class _Machine(StatefulProcessor):
-    """Runs a step function per key over changes in log order. A key's state is read
-    and written once a batch, in the two cells of ``cells_of``."""
+    """Runs a step function per key over changes in log order. ``ttl_ms``: how long
+    a cell's rows are kept, by cell."""
 
-    cells_of: dict[str, tuple[str, ...]]
+    cells: dict[str, tuple[bool, list[str], bool]]
 
     def __init__(self, ttl_ms: dict[str, int] | None = None):
         self.ttl_ms = ttl_ms or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        text = T.StructType([T.StructField("json", T.StringType())])
-        self.cells = {n: handle.getValueState(n, text, ttlDurationMs=self.ttl_ms.get(n)) for n in self.cells_of}
+        self.handles = {}
+        for name, (is_list, columns, _) in self.cells.items():
+            make = handle.getListState if is_list else handle.getValueState
+            self.handles[name] = make(name, ", ".join(f"{c} string" for c in columns), ttlDurationMs=self.ttl_ms.get(name))
+        self.row = Row("kind", *FACT_COLUMNS)
 
-    def step(self, state: dict, table: str, kind: str, data: dict) -> Iterator[Fact]:
+    def step(self, state, table: str, kind: str, row: dict) -> Iterator[Fact]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before, state = {}, {}
-        for name, cell in self.cells.items():
-            found = cell.get()
-            if found is not None:
-                before[name] = found[0]
-                state |= json.loads(found[0])
-        for r in sorted(rows, key=lambda r: (r["ts"], r["xid"], r["xoffset"])):
-            for kind, fact in self.step(state, r["table"], r["type"], json.loads(r["row"])):
-                yield Row(kind=kind, payload=json.dumps(fact))
-        for name, parts in self.cells_of.items():
-            after = {p: state[p] for p in parts if state.get(p) is not None}
-            text = json.dumps(after) if after else None
-            if text is None and name in before:
-                self.cells[name].clear()
-            elif text is not None and text != before.get(name):
-                self.cells[name].update((text,))
+        state = _Cells(self.handles, self.cells)
+        for r in sorted(rows, key=lambda r: (r[3], r[4], r[5])):
+            given = dict(zip(COLUMNS, r[6:], strict=True))
+            for kind, fact in self.step(state, r[1], r[2], {c: given[c] for c in _OF[r[1]]}):
+                yield self.row(kind, *map(fact.get, FACT_COLUMNS))
+        state.save()
 
     def close(self) -> None:
         pass
 
 
+_OF = {table: _names(table) for table in ROWS} | {"contract_produced": CONTRACT_CELLS["produced"][1]}
+
+
 class ApplicationLifecycle(_Machine):
     """State of an application: officer, approval and reply; early credit rows."""
 
-    cells_of = APPLICATION_STATE
+    cells = APPLICATION_CELLS
 
     def __init__(self, mode: str = "complete", ttl_ms: dict[str, int] | None = None):
         if mode not in ("complete", "strict"):
@@ -198,22 +274,57 @@ class ApplicationLifecycle(_Machine):
         super().__init__(ttl_ms)
         self.mode = mode
 
-    def step(self, state, table, kind, data):
-        return application_step(state, table, kind, data, self.mode)
+    def step(self, state, table, kind, row):
+        return application_step(state, table, kind, row, self.mode)
+
+
+class OfficerLifecycle(_Machine):
+    """State of an application: its officer. Gives its ends."""
+
+    cells = {"audit_man": APPLICATION_CELLS["audit_man"]}
+
+    def step(self, state, table, kind, row):
+        if table == "credit_facility_status":
+            officer_step(state, row)
+        elif kind == "update" and (found := ended(state, row)) is not None:
+            yield found
 
 
 class ContractLifecycle(_Machine):
     """State of a credit: its produced contract, and early contract steps."""
 
-    cells_of = CONTRACT_STATE
+    cells = CONTRACT_CELLS
+
+    def step(self, state, table, kind, row):
+        return contract_step(state, table, kind, row)
+
+
+def expiry(cells: dict, early_ms: int | None, kept_ms: int | None) -> dict[str, int]:
+    """Expiry of each cell: of early rows, and of what is kept; None is for ever."""
+    wanted = {name: early_ms if early else kept_ms for name, (_, _, early) in cells.items()}
+    return {name: ms for name, ms in wanted.items() if ms}
+
 
-    def step(self, state, table, kind, data):
-        return contract_step(state, table, kind, data)
+def change_columns(changes: DataFrame) -> list[Column]:
+    """``COLUMNS`` of a change, as text: the fields of its own table."""
+    out = []
+    for name in COLUMNS:
+        fields = {t: f for t, row in ROWS.items() for n, f, _ in row if n == name}
+        same = len(set(fields.values())) == 1 and len(fields) == len(ROWS)
+        value = F.col("data")[next(iter(fields.values()))] if same else F.coalesce(*[F.when(F.col("table") == t, F.col("data")[f]) for t, f in fields.items()])
+        out.append(value.alias(name))
+    return out
 
 
 def _keyed(changes: DataFrame, key: Column) -> DataFrame:
     place = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in S.POSITION]
-    return changes.select(key.alias("key"), "table", "type", *place, F.to_json("data").alias("row"))
+    return changes.select(key.alias("key"), "table", "type", *place, *change_columns(changes))
+
+
+def with_payload(facts: DataFrame) -> DataFrame:
+    """``kind, payload``: the fact's columns as JSON, as its topic has them."""
+    texts = [F.when(F.col("kind") == k, F.to_json(F.struct(*columns))) for k, columns in KINDS.items() if set(columns) <= set(facts.columns)]
+    return facts.select("kind", F.coalesce(*texts).alias("payload"))
 
 
 def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
@@ -224,14 +335,26 @@ def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
         raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {ROCKSDB}")
     spark.streams.active  # noqa: B018  a batch needs the state store's coordinator too
     mode = "ProcessingTime" if machine.ttl_ms else "None"
-    return keyed.groupBy("key").transformWithState(machine, OUT, "Append", mode)
+    return with_payload(keyed.groupBy("key").transformWithState(machine, OUT, "Append", mode))
+
+
+def _application_key() -> Column:
+    return F.when(F.col("table") == "credit_facility", F.col("data")["id"]).otherwise(F.col("data")["credit_facility_id"])
 
 
 def application_facts(changes: DataFrame, mode: str = "complete", ttl_ms: dict[str, int] | None = None) -> DataFrame:
     """``kind, payload`` of the facts of applications and credits, from the fact
     changes (without contracts) of a stream or a table."""
-    key = F.when(F.col("table") == "credit_facility", F.col("data")["id"]).otherwise(F.col("data")["credit_facility_id"])
-    return _run(_keyed(changes.where(F.col("table") != "contract"), key), ApplicationLifecycle(mode, ttl_ms))
+    return _run(_keyed(changes.where(F.col("table") != "contract"), _application_key()), ApplicationLifecycle(mode, ttl_ms))
+
+
+def application_ends(changes: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
+    """``kind, payload`` of applications that ended, with their officers: ``approved``,
+    ``audit_reject`` and ``audit_cancel``."""
+    two = changes.where(F.col("table").isin("credit_facility", "credit_facility_status"))
+    counts = (F.col("table") == "credit_facility_status") & F.col("data")["status"].isin(*S.OFFICER_STATUSES)
+    ends = (F.col("table") == "credit_facility") & (F.col("type") == "update") & F.col("data")["status"].isin(S.APPROVED, S.REJECTED, S.CANCELLED)
+    return _run(_keyed(two.where(counts | ends), _application_key()), OfficerLifecycle(ttl_ms))
 
 
 def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
@@ -239,15 +362,16 @@ def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, in
     contract_produced facts, in either order."""
     contracts = _keyed(changes.where(F.col("table") == "contract"), F.col("data")["credit_id"])
     first = F.lit(0).cast("long")
-    sides = produced.select(
-        F.get_json_object("payload", "$.credit_id").alias("key"), F.lit("contract_produced").alias("table"), F.lit("insert").alias("type"), *[first.alias(c) for c in S.POSITION], F.col("payload").alias("row")
-    )
+    names = ["credit_id", *CONTRACT_CELLS["produced"][1]]
+    known = produced.select(F.from_json("payload", ", ".join(f"{c} string" for c in names)).alias("p"))
+    cells = [(F.col("p")[c] if c in names else F.lit(None).cast("string")).alias(c) for c in COLUMNS]
+    sides = known.select(F.col("p.credit_id").alias("key"), F.lit("contract_produced").alias("table"), F.lit("insert").alias("type"), *[first.alias(c) for c in S.POSITION], *cells)
     return _run(contracts.unionByName(sides), ContractLifecycle(ttl_ms))
 
 
 def typed_facts(facts: DataFrame, kind: str) -> DataFrame:
     """The facts of one kind as columns; times stay strings as in the source."""
-    columns = S.FACTS[kind]
+    columns = KINDS[kind]
     schema = ", ".join(f"{c} string" for c in columns)
     types = {"irr": S.RATE, "period": "long"} | {c: S.MONEY for c in columns if c.endswith("_amount")}
     parsed = facts.where(F.col("kind") == kind).select(F.from_json("payload", schema).alias("p"))

@@ -12,7 +12,7 @@ from test_lifecycle import ADD, APPLY, OCCUPY, REPLY, STATUS
 from leaselake import schemas as S
 from leaselake.operators.windows import tumbling_summary
 from leaselake.streaming import jobs
-from leaselake.streaming.lifecycle import ApplicationLifecycle
+from leaselake.streaming.lifecycle import APPLICATION_CELLS, ApplicationLifecycle, expiry
 from leaselake.functions import event_time
 from leaselake.streaming.sinks import append_batch, console, exists, text_files
 from leaselake.streaming.tables import dimension_table
@@ -57,7 +57,8 @@ def test_stash_expires(spark, tmp_path):
         assert jobs.facts_of(spark, layer, "credit_add").count() == 0
     finally:
         query.stop()
-    assert set(ApplicationLifecycle.cells_of["early"]) == {"add", "occupy", "produced"}
+    early = {name for name, (_, _, early) in ApplicationLifecycle.cells.items() if early}
+    assert early == {"add", "occupy", "produced"} == {name for name, ms in expiry(ApplicationLifecycle.cells, 5, 9).items() if ms == 5}
 
 
 def test_dimension_job(spark, tmp_path):
@@ -159,5 +160,6 @@ def test_jobs_leave_the_session_alone(spark):
 
 
 def test_expiry_is_on_in_jobs_that_run_on():
-    assert jobs._expiry(True, 30_000, 1) == {} and jobs._expiry(False, 30_000, None) == {"early": 30_000}
+    assert jobs._expiry(APPLICATION_CELLS, True, 30_000, 1) == {}
+    assert jobs._expiry(APPLICATION_CELLS, False, 30_000, None) == dict.fromkeys(("add", "occupy", "produced"), 30_000)
     assert jobs.STASH_TTL_MS == 30_000 and jobs.TRIGGER == "10 seconds"
