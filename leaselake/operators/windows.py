@@ -65,11 +65,13 @@ def tumbling_summary(rows: DataFrame, time: str, keys: tuple[str, ...], sums: tu
 
 
 def summarize(facts: DataFrame, name: str, streaming: bool = False) -> DataFrame:
-    """One of ``SUMMARIES`` over its fact table; a stream gets its watermark."""
+    """One of ``SUMMARIES`` over its fact table. A stream gets its watermark, and a fact
+    that is delivered again (same id and time) counts once while a window that it
+    belongs to may be open."""
     spec = SUMMARIES[name]
-    rows = prepared(facts, spec)
     if streaming:
-        rows = rows.withWatermark(spec.time, spec.delay)
+        facts = facts.withWatermark(spec.time, spec.delay).dropDuplicatesWithinWatermark(["id", spec.time])
+    rows = prepared(facts, spec)
     return tumbling_summary(rows, spec.time, spec.keys, spec.sums)
 
 

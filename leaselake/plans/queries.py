@@ -18,7 +18,7 @@ from leaselake.scratch import file_system, new_path
 from leaselake.sources.changelog import fact_changes, parse_changes, read_values, split_contracts
 from leaselake.sources.lease_views import BASE, lease_view, with_views
 from leaselake.streaming import jobs
-from leaselake.streaming.sinks import exists
+from leaselake.streaming.sinks import exists, read_layer
 from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,6 +474,43 @@ def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("count")
 
 
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which some replies are cut short, some status rows have no table and
+    some applications no type: messages by reason, and those that were parsed."""
+    log, layer = new_path(spark, "broken-log"), new_path(spark, "quarantine")
+    cut = (F.col("table") == "reply") & (F.col("xoffset") % 10 == 3)
+    lines = lease_log(spark, sf_dir)
+    lines = lines.withColumn("type", F.when((F.col("table") != "credit_facility") | (F.col("xoffset") % 10 != 5), F.col("type")))
+    lines = lines.withColumn("table", F.when((F.col("table") != "credit_facility_status") | (F.col("xoffset") % 10 != 4), F.col("table")))
+    value = F.to_json(F.struct(*lines.columns))
+    lines.select(F.when(cut, F.substring(value, 1, 30)).otherwise(value).alias("value")).write.text(log)
+    _finished(jobs.quarantine_job(spark, log, layer, new_path(spark, "quarantine-checkpoint"), available_now=True))
+    bad = read_layer(spark, layer, "value string, reason string, batch string").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    good = parse_changes(read_values(spark, log))[0].agg(F.lit("parsed").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return bad.unionByName(good)
+
+
+_QUARANTINE_SQL = """
+SELECT 'no JSON' AS reason, count(*) AS n FROM reply WHERE id % 10 = 3
+UNION ALL SELECT 'no table', count(*) FROM credit_facility_status WHERE credit_facility_id % 10 = 4
+UNION ALL SELECT 'no type', count(*) FROM credit_facility WHERE id % 10 = 5
+UNION ALL SELECT 'parsed', (SELECT count(*) FROM credit_facility_status WHERE credit_facility_id % 10 <> 4) + (SELECT count(*) FROM credit_facility WHERE id % 10 <> 5)
+  + (SELECT count(*) FROM reply WHERE id % 10 <> 3) + (SELECT count(*) + count(credit_occupy_time) + count(contract_produce_time) FROM credit) + (SELECT count(signed_time) + count(execution_time) FROM contract)"""
+
+
+def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of added credits from a layer whose facts are all delivered twice, the
+    second time in another order and other files."""
+    layer, target = new_path(spark, "twice"), new_path(spark, "dws-twice")
+    facts = _times_as_text(fact_table(spark, sf_dir, "credit_add"))
+    payload = F.to_json(F.struct([F.when(F.lit(c.endswith("_time")), F.concat(F.col(c), F.lit(".000000"))).otherwise(F.col(c).cast("string")).alias(c) for c in facts.columns]))
+    rows = facts.select(F.lit("credit_add").alias("kind"), payload.alias("payload"))
+    rows.unionByName(rows.orderBy(F.xxhash64("payload"))).write.parquet(f"{layer}/credit_add")
+    schema = "stt string, edt string, cur_date string, apply_count long, apply_amount decimal(16,2), reply_amount decimal(16,2), credit_amount decimal(16,2)"
+    _finished(jobs.summary_job(spark, "credit_add", layer, target, new_path(spark, "twice-checkpoint"), available_now=True))
+    return jobs.read_summary(spark, "credit_add", target, schema)
+
+
 _COUNT_SQL = """
 SELECT (SELECT count(*) FROM credit_facility_status) + (SELECT count(*) FROM credit_facility) + (SELECT count(*) FROM reply)
   + (SELECT count(*) + count(credit_occupy_time) + count(contract_produce_time) FROM credit) + (SELECT count(signed_time) + count(execution_time) FROM contract) AS count"""
@@ -541,7 +578,7 @@ def _decimals(name: str) -> dict[str, str]:
     summary = rest.removeprefix("dws_")
     if summary in SUMMARIES:
         return dict.fromkeys(SUMMARIES[summary].sums, money)
-    if name == "dws_json_text":
+    if name in ("dws_json_text", "stream_redelivered"):
         return dict.fromkeys(SUMMARIES["credit_add"].sums, money)
     if "lifecycle" in name or "out_of_order" in name or name == "ads_rollup":
         return dict.fromkeys(("apply_amount", "reply_amount"), "decimal(26,2)" if name == "ads_rollup" else money)
@@ -571,6 +608,8 @@ QUERIES: dict[str, Query] = {
     "stream_dim_config": stream_dim_config,
     "stream_facts_out_of_order": partial(stream_facts_out_of_order, True),
     "stream_facts_out_of_order_keyed": partial(stream_facts_out_of_order, False),
+    "stream_quarantine": stream_quarantine,
+    "stream_redelivered": stream_redelivered,
     "stream_running_count": stream_running_count,
     **{f"stream_dws_{n}": stream_summary(n) for n in SUMMARIES},
     "stream_late_drop": stream_late_drop,
@@ -600,6 +639,8 @@ SQL: dict[str, str] = {
     "stream_dim_config": with_views(_DIM_CONFIG_SQL, DIM_VIEWS),
     "stream_facts_out_of_order": _brief_sql(jobs.APPLICATION_FACTS),
     "stream_facts_out_of_order_keyed": _brief_sql(jobs.APPLICATION_FACTS),
+    "stream_quarantine": with_views(_QUARANTINE_SQL),
+    "stream_redelivered": _closed_sql("credit_add"),
     "stream_running_count": with_views(_COUNT_SQL),
     **{f"stream_dws_{n}": _closed_sql(n) for n in SUMMARIES},
     "stream_late_drop": _LATE_SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaselake import schemas as S
@@ -45,12 +45,24 @@ def with_values(messages: DataFrame) -> DataFrame:
     return value.where(F.length("value") > 0)
 
 
+def about(values: DataFrame, tables: tuple[str, ...]) -> DataFrame:
+    """Messages that hold the name of one of ``tables`` as a JSON text: others are not
+    worth parsing. What is left may be about another table still."""
+    return values.where(reduce(lambda a, b: a | b, [F.col("value").contains(f'"{t}"') for t in tables]))
+
+
 def parse_changes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changes, quarantined): parsed envelopes, and the messages that are not
-    JSON objects with a table, which a job keeps instead of failing."""
+    """(changes, quarantined): parsed envelopes, and the messages that are not JSON
+    objects with a table and a type, with the ``reason``; ``quarantine_job`` keeps
+    these, and the other jobs pass them over instead of failing."""
     parsed = values.withColumn("e", F.from_json("value", S.ENVELOPE))
     good = F.col("e.table").isNotNull() & F.col("e.type").isNotNull()
-    return parsed.where(good).select("e.*"), parsed.where(F.coalesce(~good, F.lit(True))).select("value")
+    return parsed.where(good).select("e.*"), parsed.where(F.coalesce(~good, F.lit(True))).select("value", _reason().alias("reason"))
+
+
+def _reason() -> Column:
+    broken = F.get_json_object("value", "$").isNull()
+    return F.when(broken, "no JSON").when(F.col("e.table").isNull(), "no table").otherwise("no type")
 
 
 def parse_config(values: DataFrame) -> DataFrame:

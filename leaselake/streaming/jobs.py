@@ -13,7 +13,7 @@ from leaselake.functions import event_time
 from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, summarize
 from leaselake.scratch import file_system
-from leaselake.sources.changelog import current_config, fact_changes, parse_changes, parse_config, read_values
+from leaselake.sources.changelog import about, current_config, fact_changes, parse_changes, parse_config, read_values
 from leaselake.streaming.joins import approvals, credit_steps
 from leaselake.streaming.lifecycle import (
     APPLICATION_CELLS,
@@ -138,8 +138,9 @@ def joined_fact_jobs(
     session = job_session(spark)
     started = []
 
-    def run(name: str, kinds: tuple[str, ...], facts: Callable[[DataFrame], DataFrame]) -> None:
-        changes = fact_changes(parse_changes(read_values(session, log, streaming=True, files_per_batch=files_per_batch))[0])
+    def run(name: str, tables: tuple[str, ...], kinds: tuple[str, ...], facts: Callable[[DataFrame], DataFrame]) -> None:
+        values = about(read_values(session, log, streaming=True, files_per_batch=files_per_batch), tables)
+        changes = fact_changes(parse_changes(values)[0])
         started.append(_start(facts(changes), fan_out(kinds, layer), f"{checkpoint}/{name}", available_now))
         if available_now:
             started[-1].awaitTermination()
@@ -150,10 +151,10 @@ def joined_fact_jobs(
         return session.readStream.schema(PAYLOAD).parquet(f"{layer}/{kind}")
 
     wait = None if available_now else patience
-    ttl = {} if available_now or not keep_ttl_ms else {"audit_man": keep_ttl_ms}
-    run("ends", (APPROVED, "audit_cancel", "audit_reject"), lambda changes: application_ends(changes, ttl))
-    run("approvals", ("audit_approve",), lambda changes: approvals(stream(APPROVED), changes, wait))
-    run("credits", ("credit_add", "credit_occupy", "contract_produced"), lambda changes: credit_steps(stream("audit_approve"), changes, wait))
+    ttl = None if available_now else keep_ttl_ms
+    run("ends", ("credit_facility", "credit_facility_status"), (APPROVED, "audit_cancel", "audit_reject"), lambda changes: application_ends(changes, ttl))
+    run("approvals", ("reply",), ("audit_approve",), lambda changes: approvals(stream(APPROVED), changes, wait))
+    run("credits", ("credit",), ("credit_add", "credit_occupy", "contract_produced"), lambda changes: credit_steps(stream("audit_approve"), changes, wait))
     return started
 
 
@@ -209,6 +210,13 @@ def read_summary(spark: SparkSession, name: str, target: str, schema: str) -> Da
     return day_table(spark, target, schema, summary_keys(name)).read()
 
 
+def quarantine_job(spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The messages of a log that no job can use, with the reason, each once, to the
+    table ``layer``; its rows' batch is in the folder's name."""
+    bad = parse_changes(read_values(job_session(spark), log, streaming=True))[1]
+    return _start(bad, lambda batch, batch_id: append_batch(batch, layer, batch_id), checkpoint, available_now)
+
+
 def count_job(spark: SparkSession, log: str, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """The running count of a log's messages, the newest count in ``target``."""
     rows = read_values(job_session(spark), log, streaming=True)

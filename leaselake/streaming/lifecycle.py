@@ -32,17 +32,18 @@ STEPS = {"add": "credit_add", "occupy": "credit_occupy", "produced": "contract_p
 #: in a job that runs on (400 days, longer than a lease takes to start).
 STASH_TTL_MS = 30_000
 KEEP_TTL_MS = 400 * 86_400_000
+#: Buckets of applications whose officers are kept together; a job's state depends on it.
+BUCKETS = 4096
 
 
 def _names(table: str) -> list[str]:
     return [name for name, *_ in ROWS[table]]
 
 
-#: Columns of a change that the machines read, and of the facts they give.
-COLUMNS = list(dict.fromkeys(name for table in ROWS for name in _names(table)))
 REPLIED = ("reply_id", "reply_amount", "reply_time", "irr", "period")
-FACT_COLUMNS = list(dict.fromkeys(c for columns in S.FACTS.values() for c in columns))
-OUT = ", ".join(f"{c} string" for c in ["kind", *FACT_COLUMNS])
+#: Facts leave a machine as their columns' values in order, since what crosses to
+#: Python and back costs by column.
+OUT = "kind string, row array<string>"
 #: An application that was approved, with its officer, before its reply is known.
 APPROVED = "approved"
 KINDS = S.FACTS | {APPROVED: [c for c in S.FACTS["audit_approve"] if c not in REPLIED]}
@@ -243,7 +244,7 @@ class _Machine(StatefulProcessor):
         for name, (is_list, columns, _) in self.cells.items():
             make = handle.getListState if is_list else handle.getValueState
             self.handles[name] = make(name, ", ".join(f"{c} string" for c in columns), ttlDurationMs=self.ttl_ms.get(name))
-        self.row = Row("kind", *FACT_COLUMNS)
+        self.out = Row("kind", "row")
 
     def step(self, state, table: str, kind: str, row: dict) -> Iterator[Fact]:
         raise NotImplementedError
@@ -251,9 +252,8 @@ class _Machine(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = _Cells(self.handles, self.cells)
         for r in sorted(rows, key=lambda r: (r[3], r[4], r[5])):
-            given = dict(zip(COLUMNS, r[6:], strict=True))
-            for kind, fact in self.step(state, r[1], r[2], {c: given[c] for c in _OF[r[1]]}):
-                yield self.row(kind, *map(fact.get, FACT_COLUMNS))
+            for kind, fact in self.step(state, r[1], r[2], dict(zip(_OF[r[1]], r[6], strict=True))):
+                yield self.out(kind, [fact.get(c) for c in KINDS[kind]])
         state.save()
 
     def close(self) -> None:
@@ -278,16 +278,54 @@ class ApplicationLifecycle(_Machine):
         return application_step(state, table, kind, row, self.mode)
 
 
-class OfficerLifecycle(_Machine):
-    """State of an application: its officer. Gives its ends."""
+class OfficerLifecycle(StatefulProcessor):
+    """State of a bucket of applications: a map from application to officer, each with
+    an expiry of its own. Gives the applications' ends. Buckets stand in for
+    applications as keys, since what a key costs outweighs its two or three rows."""
 
-    cells = {"audit_man": APPLICATION_CELLS["audit_man"]}
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
-    def step(self, state, table, kind, row):
-        if table == "credit_facility_status":
-            officer_step(state, row)
-        elif kind == "update" and (found := ended(state, row)) is not None:
-            yield found
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.officers = handle.getMapState("officers", "application string", "employee_id string", ttlDurationMs=self.ttl_ms)
+        self.out = Row("kind", "row")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now: dict[str, dict] = {}
+        for r in sorted(rows, key=lambda r: (r[1], r[4], r[5], r[6])):
+            state = now.setdefault(r[1], _Officer(self.officers, r[1]))
+            row = dict(zip(_OF[r[2]], r[7], strict=True))
+            if r[2] == "credit_facility_status":
+                officer_step(state, row)
+            elif (found := ended(state, row)) is not None:
+                yield self.out(found[0], [found[1].get(c) for c in KINDS[found[0]]])
+        for state in now.values():
+            state.save()
+
+    def close(self) -> None:
+        pass
+
+
+class _Officer(dict):
+    """The one cell of an application, read from the map when it is first asked for."""
+
+    def __init__(self, officers, application: str):
+        super().__init__()
+        self.officers, self.at, self.known, self.held = officers, (application,), False, None
+
+    def pop(self, name: str, default=None):
+        if not self.known and name not in self and self.officers.containsKey(self.at):
+            self.held = {"employee_id": self.officers.getValue(self.at)[0]}
+            self[name] = self.held
+        self.known = True
+        return super().pop(name, default)
+
+    def save(self) -> None:
+        now = self.get("audit_man")
+        if now is not None and now != self.held:
+            self.officers.updateValue(self.at, (now["employee_id"],))
+        elif now is None and (self.held is not None or not self.known):
+            self.officers.removeKey(self.at)
 
 
 class ContractLifecycle(_Machine):
@@ -305,29 +343,26 @@ def expiry(cells: dict, early_ms: int | None, kept_ms: int | None) -> dict[str,
     return {name: ms for name, ms in wanted.items() if ms}
 
 
-def change_columns(changes: DataFrame) -> list[Column]:
-    """``COLUMNS`` of a change, as text: the fields of its own table."""
-    out = []
-    for name in COLUMNS:
-        fields = {t: f for t, row in ROWS.items() for n, f, _ in row if n == name}
-        same = len(set(fields.values())) == 1 and len(fields) == len(ROWS)
-        value = F.col("data")[next(iter(fields.values()))] if same else F.coalesce(*[F.when(F.col("table") == t, F.col("data")[f]) for t, f in fields.items()])
-        out.append(value.alias(name))
-    return out
-
-
 def _keyed(changes: DataFrame, key: Column) -> DataFrame:
+    """Changes as the machines read them: ``row`` has the fields of ``ROWS`` in order."""
     place = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in S.POSITION]
-    return changes.select(key.alias("key"), "table", "type", *place, *change_columns(changes))
+    fields = [F.when(F.col("table") == t, F.array(*[F.col("data")[f] for _, f, _ in row])) for t, row in ROWS.items()]
+    return changes.select(key.alias("key"), "table", "type", *place, F.coalesce(*fields).alias("row"))
 
 
 def with_payload(facts: DataFrame) -> DataFrame:
-    """``kind, payload``: the fact's columns as JSON, as its topic has them."""
-    texts = [F.when(F.col("kind") == k, F.to_json(F.struct(*columns))) for k, columns in KINDS.items() if set(columns) <= set(facts.columns)]
+    """``kind, payload``: the fact's columns as JSON, as its topic has them. The facts
+    have their columns, or ``row`` with the values in order."""
+    listed = "row" in facts.columns
+
+    def text(columns: list[str]) -> Column:
+        return F.to_json(F.struct(*[F.get("row", F.lit(n)).alias(c) if listed else F.col(c) for n, c in enumerate(columns)]))
+
+    texts = [F.when(F.col("kind") == k, text(columns)) for k, columns in KINDS.items() if listed or set(columns) <= set(facts.columns)]
     return facts.select("kind", F.coalesce(*texts).alias("payload"))
 
 
-def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
+def _run(keyed: DataFrame, machine: StatefulProcessor, *key: str) -> DataFrame:
     """The session of ``keyed`` must name RocksDB as its state store: the jobs work in
     a session of their own that does, and no other is changed."""
     spark = keyed.sparkSession
@@ -335,7 +370,7 @@ def _run(keyed: DataFrame, machine: _Machine) -> DataFrame:
         raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {ROCKSDB}")
     spark.streams.active  # noqa: B018  a batch needs the state store's coordinator too
     mode = "ProcessingTime" if machine.ttl_ms else "None"
-    return with_payload(keyed.groupBy("key").transformWithState(machine, OUT, "Append", mode))
+    return with_payload(keyed.groupBy(*key or ("key",)).transformWithState(machine, OUT, "Append", mode))
 
 
 def _application_key() -> Column:
@@ -348,13 +383,14 @@ def application_facts(changes: DataFrame, mode: str = "complete", ttl_ms: dict[s
     return _run(_keyed(changes.where(F.col("table") != "contract"), _application_key()), ApplicationLifecycle(mode, ttl_ms))
 
 
-def application_ends(changes: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
+def application_ends(changes: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``kind, payload`` of applications that ended, with their officers: ``approved``,
     ``audit_reject`` and ``audit_cancel``."""
     two = changes.where(F.col("table").isin("credit_facility", "credit_facility_status"))
     counts = (F.col("table") == "credit_facility_status") & F.col("data")["status"].isin(*S.OFFICER_STATUSES)
     ends = (F.col("table") == "credit_facility") & (F.col("type") == "update") & F.col("data")["status"].isin(S.APPROVED, S.REJECTED, S.CANCELLED)
-    return _run(_keyed(two.where(counts | ends), _application_key()), OfficerLifecycle(ttl_ms))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    return _run(_keyed(two.where(counts | ends), _application_key()).select(bucket, "*"), OfficerLifecycle(ttl_ms), "bucket")
 
 
 def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
@@ -364,8 +400,8 @@ def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, in
     first = F.lit(0).cast("long")
     names = ["credit_id", *CONTRACT_CELLS["produced"][1]]
     known = produced.select(F.from_json("payload", ", ".join(f"{c} string" for c in names)).alias("p"))
-    cells = [(F.col("p")[c] if c in names else F.lit(None).cast("string")).alias(c) for c in COLUMNS]
-    sides = known.select(F.col("p.credit_id").alias("key"), F.lit("contract_produced").alias("table"), F.lit("insert").alias("type"), *[first.alias(c) for c in S.POSITION], *cells)
+    row = F.array(*[F.col("p")[c] for c in CONTRACT_CELLS["produced"][1]]).alias("row")
+    sides = known.select(F.col("p.credit_id").alias("key"), F.lit("contract_produced").alias("table"), F.lit("insert").alias("type"), *[first.alias(c) for c in S.POSITION], row)
     return _run(contracts.unionByName(sides), ContractLifecycle(ttl_ms))
 
 

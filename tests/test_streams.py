@@ -7,7 +7,7 @@ import time
 
 from shared_rows import rows_of
 from pyspark.sql import functions as F
-from test_lifecycle import ADD, APPLY, OCCUPY, REPLY, STATUS
+from test_lifecycle import ADD, APPLY, CREDIT, OCCUPY, REPLY, STATUS
 
 from leaselake import schemas as S
 from leaselake.operators.windows import tumbling_summary
@@ -61,6 +61,68 @@ def test_stash_expires(spark, tmp_path):
     assert early == {"add", "occupy", "produced"} == {name for name, ms in expiry(ApplicationLifecycle.cells, 5, 9).items() if ms == 5}
 
 
+def wait_for(query, batches, seconds=120):
+    """Until a job has run so many batches with rows."""
+    end = time.time() + seconds
+    while time.time() < end and sum(p["numInputRows"] > 0 for p in query.recentProgress) < batches:
+        time.sleep(0.2)
+
+
+def test_early_rows_expire_each_by_themselves(spark, tmp_path):
+    """Batches start every 10 s: an added row at 0 s, an occupied one at 10 s, the reply
+    at 20 s. Rows wait for 15 s, so the first is gone and the second is not: a row
+    that comes later does not keep those before it alive, in its own list or another."""
+    log, layer = tmp_path / "log", str(tmp_path / "layer")
+    again = ("credit", "insert", CREDIT | {"id": "55", "status": "1"})
+    write(log, "0.txt", [APPLY, ADD], 0)
+    query = jobs.fact_job(spark, str(log), layer, str(tmp_path / "checkpoint"), early_ttl_ms=15_000)
+    try:
+        wait_for(query, 1)
+        write(log, "1.txt", [OCCUPY, again], 10)
+        wait_for(query, 2)
+        write(log, "2.txt", [REPLY], 20)
+        wait_for(query, 3)
+    finally:
+        query.stop()
+    found = {k: rows_of(jobs.facts_of(spark, layer, k), "id") for k in ("audit_approve", "credit_add", "credit_occupy")}
+    assert found == {"audit_approve": [("1",)], "credit_add": [("55",)], "credit_occupy": [("5",)]}
+
+
+def test_joined_jobs_that_run_on(spark, tmp_path):
+    """The chained joins with their watermarks: every order, a second reply and a step
+    that comes twice."""
+    at = lambda change, **times: (*change[:2], change[2] | times)
+    time_of = {"create_time": "2024-01-01 00:00:03.000000", "credit_occupy_time": "2024-01-01 00:00:09.000000"}
+    apply, reply = at(APPLY, update_time="2024-01-01 00:00:01.000000"), at(REPLY, create_time="2024-01-01 00:00:02.000000")
+    log, layer = tmp_path / "log", str(tmp_path / "layer")
+    write(log, "0.txt", [at(ADD, **time_of), STATUS, reply], 0)
+    queries = jobs.joined_fact_jobs(spark, str(log), layer, str(tmp_path / "checkpoint"))
+    try:
+        wait_for(queries[0], 1)
+        write(log, "1.txt", [apply, at(ADD, **time_of), at(reply, id="8"), ("reply", "insert", {"credit_facility_id": "2"})], 10)
+        wait_for(queries[2], 2)
+        write(log, "2.txt", [at(OCCUPY, **time_of), STATUS], 20)
+        end = time.time() + 90
+        while time.time() < end and not (exists(spark, f"{layer}/credit_occupy") and jobs.facts_of(spark, layer, "credit_occupy").count()):
+            time.sleep(1)
+    finally:
+        for query in queries:
+            query.stop()
+    found = {k: rows_of(jobs.facts_of(spark, layer, k), "id") for k in jobs.APPLICATION_FACTS}
+    assert found == {"audit_approve": [("1",)], "audit_cancel": [], "audit_reject": [], "credit_add": [("5",)], "credit_occupy": [("5",)], "contract_produced": []}
+    assert rows_of(jobs.facts_of(spark, layer, "audit_approve"), "audit_man_id") == [("9",)]
+
+
+def test_quarantine(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    lines = ["{cut", "[1]", "7", '{"table": null, "type": "insert"}', '{"table": "t"}', "", '{"table": "t", "type": "insert"}', "\x00"]
+    for run in range(2):
+        (tmp_path / f"log/{run}.txt").write_text("\n".join(lines))
+        jobs.quarantine_job(spark, str(tmp_path / "log"), str(tmp_path / "bad"), str(tmp_path / "c"), available_now=True).awaitTermination()
+        found = rows_of(spark.read.parquet(str(tmp_path / "bad")).groupBy("reason").count())
+        assert found == [("no JSON", 2 + 2 * run), ("no table", 3 + 3 * run), ("no type", 1 + run)]
+
+
 def test_dimension_job(spark, tmp_path):
     log = tmp_path / "log"
     config = spark.createDataFrame([("e", "dim_e", "f", "id,name", "id")], S.TABLE_PROCESS)
