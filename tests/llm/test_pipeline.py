@@ -32,7 +32,7 @@ def ids(df):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "mixing", "packing"]
-    assert sum(n.startswith("op") for n in QUERIES) == 10 and SQL.keys() < QUERIES.keys()
+    assert sum(n.startswith("op") for n in QUERIES) == 13 and SQL.keys() < QUERIES.keys()
 
 
 def test_toxicity(spark, kept):
