@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def summarize(facts: DataFrame, name: str, streaming: bool = False) -> DataFrame
     belongs to may be open."""
     spec = SUMMARIES[name]
     if streaming:
-        facts = facts.withWatermark(spec.time, spec.delay).dropDuplicatesWithinWatermark(["id", spec.time])
+        known = [F.col(c).isNotNull() for c in spec.required]  # others do not count, and do not move the watermark
+        facts = reduce(DataFrame.where, known, facts).withWatermark(spec.time, spec.delay).dropDuplicatesWithinWatermark(["id", spec.time])
     rows = prepared(facts, spec)
     return tumbling_summary(rows, spec.time, spec.keys, spec.sums)
 

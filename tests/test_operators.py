@@ -41,7 +41,7 @@ def test_parse_and_quarantine(spark, tmp_path):
     good, bad = parse_changes(read_values(spark, str(tmp_path)))
     row = good.first()
     assert good.count() == 1 and row["data"]["id"] == "1" and row["xoffset"] == 22
-    assert rows_of(bad) == [("[1]",), ("not json",), ('{"type": "insert"}',)]
+    assert rows_of(bad) == [("[1]", "no table"), ("not json", "no JSON"), ('{"type": "insert"}', "no table")]
 
 
 def test_missing_source(spark, tmp_path):
