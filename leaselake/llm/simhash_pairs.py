@@ -19,15 +19,17 @@ are one class from the start. Then, in two steps:
    up, and a pair is pruned once the budget is exceeded, or if all leaves below it
    are in one component already. In each table, each document that is left with
    a larger component in its reach proposes the nearest leaves of such, which are
-   confirmed, and components grow. So proposals are a few a document and table, and
-   a dense group of n documents never gives n² of them. This may be done again
-   (``rounds``); a second round added 8 links to 25,322 in a dense group of 11,000
-   documents, so one is the default.
+   confirmed, and components grow. A round lets a document propose so many leaves a
+   table (``WIDTHS``); the next, wider round is run if any document had more, and
+   the last one proposes all that are left. So a dense group of n documents that
+   do link gives a few proposals a document, and in the end every pair that a
+   table and the budget reach is either in one component or confirmed or refused.
 
 A bucket of more than ``bucket_limit`` rows is dealt out as pairs of parts; a
-component that fills a part by itself is not paired with itself. What this finds
-of all similar pairs is measured (README): a document may be left out where its
-nearest leaves in all tables are just below the threshold.
+component that fills a part by itself is not paired with itself. Pairs are confirmed
+bucket by bucket, so that a text moves once for all its pairs there. What is
+missed are pairs that no table holds in one bucket (``miss``) or whose fingerprints
+differ in more bits than the budget (one in 80 at the threshold, fewer above it).
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -44,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaselake.llm.components import ROWS_PER_KEY, join_spread, name_components
+from leaselake.llm.components import join_spread, name_components
 from leaselake.llm.staging import drop_staged, stage
 
 BITS = 128
@@ -56,10 +59,11 @@ LEAF_PAIRS = 1 << 18
 TABLE_PAIRS = 2048
 #: Leaves before a leaf that the first round looks at.
 NEIGHBOURS = 3
-#: Leaves that a document proposes in one table.
-PROPOSALS = 8
-#: Shingles of sets that a task keeps while it confirms pairs.
+#: Leaves that a document proposes in one table, round by round; at last all.
+WIDTHS = (8, 64, None)
+#: Shingles of the sets, and pairs, that are confirmed together.
 SHINGLES_KEPT = 8_000_000
+PAIRS_TOGETHER = 1_000_000
 SLACK = 1e-9
 
 
@@ -177,7 +181,8 @@ def _trie_order(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _neighbours(threshold: float):
-    """Task: entries to (u, v, distance) of leaves near one another in the order."""
+    """Task: entries to (u, v, distance, group) of leaves near one another in the
+    order; the group is their bucket."""
     names, budget = ["node", "size", "hi", "lo", "t", "key"], error_budget(threshold)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +196,7 @@ def _neighbours(threshold: float):
                 distance = _distance(c, i, j)
                 near = (distance <= budget) & _sizes_fit(c, i, j, threshold)
                 u, v = c["node"][i[near]], c["node"][j[near]]
-                yield pa.record_batch({"u": np.maximum(u, v), "v": np.minimum(u, v), "distance": distance[near]})
+                yield pa.record_batch({"u": np.maximum(u, v), "v": np.minimum(u, v), "distance": distance[near], "group": c["key"][i[near]]})
 
     return found
 
@@ -272,16 +277,17 @@ def _compared(c, al, ah, bl, bh, threshold, budget) -> Iterator[tuple[np.ndarray
         at = stop
 
 
-def _proposals(threshold: float):
-    """Task: entries with their component's label and size to (u, v, distance): of
-    each leaf the nearest ones of larger components (of equal size, larger label)."""
+def _proposals(threshold: float, width: int | None):
+    """Task: entries with their component's label and size to (u, v, group): of each
+    leaf the ``width`` nearest ones of larger components (of equal size, larger label),
+    or all of them, and (u, u, group) for a leaf that had more."""
     names, budget = ["node", "label", "members", "size", "hi", "lo", "t", "key", "p", "q", "own"], error_budget(threshold)
 
     def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray):
         order = np.lexsort((j, far, i))
         own = i[order]
         rank = np.arange(len(own)) - np.searchsorted(own, own)
-        first = order[rank < PROPOSALS]
+        first = order[rank <= width]  # one more tells that some are left out
         return i[first], j[first], far[first]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +303,20 @@ def _proposals(threshold: float):
             held, n = [(none, none, none)], 0
             for i, j in near_leaves(c, lo, hi, threshold, budget):
                 up = (c["members"][i] < c["members"][j]) | ((c["members"][i] == c["members"][j]) & (c["label"][i] < c["label"][j]))
-                held.append(nearest(np.where(up, i, j), np.where(up, j, i), _distance(c, i, j)))
+                i, j = np.where(up, i, j), np.where(up, j, i)
+                if width is None:
+                    yield pa.record_batch({"u": c["node"][i], "v": c["node"][j], "group": c["key"][i]})
+                    continue
+                held.append(nearest(i, j, _distance(c, i, j)))
                 n += len(held[-1][0])
                 if n > PAIRS_AT_ONCE:
                     held = [nearest(*map(np.concatenate, zip(*held, strict=True)))]
                     n = 0
-            i, j, far = nearest(*map(np.concatenate, zip(*held, strict=True)))
-            yield pa.record_batch({"u": c["node"][i], "v": c["node"][j], "distance": far})
+            if width is None:
+                continue
+            i, j, _ = nearest(*map(np.concatenate, zip(*held, strict=True)))
+            more = np.arange(len(i)) - np.searchsorted(i, i) == width
+            yield pa.record_batch({"u": c["node"][i], "v": np.where(more, c["node"][i], c["node"][j]), "group": c["key"][i]})
 
     return found
 
@@ -326,7 +339,7 @@ def _dealt(entries: DataFrame, bucket_limit: int) -> DataFrame:
     flat = F.flatten(F.transform("kinds", lambda k: F.array_repeat(k["kind"], k["parts"])))
     listed = stage(listed.select("key", "kinds", flat.alias("of")), "near-parts")
     owner = kinds.where(F.col("n") > bucket_limit).select("key", "label", F.lit(True).alias("giant"))
-    marked = big.join(F.broadcast(owner), ["key", "label"], "left").join(listed, "key")
+    marked = big.join(owner, ["key", "label"], "left").join(listed, "key")
     mine = F.when(F.col("giant"), F.col("label"))
     before = F.aggregate("kinds", F.lit(0), lambda total, k: total + F.when(F.coalesce(k["kind"] < mine, F.col("giant") & k["kind"].isNull(), F.lit(False)), k["parts"]).otherwise(0))
     count = F.aggregate("kinds", F.lit(0), lambda total, k: total + F.when(k["kind"].eqNullSafe(mine), k["parts"]).otherwise(0))
@@ -338,76 +351,90 @@ def _dealt(entries: DataFrame, bucket_limit: int) -> DataFrame:
     return rest.unionByName(out)
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, wanted: DataFrame, end: str) -> DataFrame:
-    """``pairs`` with the packed text of one end. A text that many pairs want is
-    copied once for each ``ROWS_PER_KEY`` of them; such texts are at most one in
-    that many pairs, and their numbers alone are broadcast."""
-    salts = F.ceil(F.col("n_rows") / ROWS_PER_KEY).cast("int")
-    hot = wanted.where(F.col("n_rows") > ROWS_PER_KEY).select(F.col("node").alias(end), salts.alias("_salts"))
-    copies = texts.select(F.col("node").alias(end), F.col("packed").alias("_" + end), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    salted = pairs.join(F.broadcast(hot), end, "left").withColumn("_salt", F.pmod(F.xxhash64("u", "v"), F.coalesce("_salts", F.lit(1))).cast("int"))
-    return salted.join(copies, [end, "_salt"]).drop("_salts").withColumnRenamed("_salt", f"_{end}_salt")
+def _blocks(pairs: DataFrame, ends: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs(u, v, group)`` and their ``ends(group, node)`` with the ``block`` that
+    confirms them. A group whose sets or pairs are too many for one task is cut by
+    hashes of both ends into blocks, in each of which a text stands once."""
+    weight = ends.join(nodes.select("node", "size"), "node").groupBy("group").agg(F.sum("size").alias("shingles"))
+    many = pairs.groupBy("group").agg(F.count(F.lit(1)).alias("n_pairs"))
+    parts = F.ceil(F.greatest(2 * F.col("shingles") / SHINGLES_KEPT, F.sqrt(F.col("n_pairs") / PAIRS_TOGETHER))).cast("int")
+    heavy = stage(weight.join(many, "group").withColumn("parts", parts).where("parts > 1").select("group", "parts"), "near-heavy")
 
+    def part(node: str):
+        return F.pmod(F.xxhash64(F.lit("part"), node), F.coalesce("parts", F.lit(1))).cast("int")
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, k: int, seed: int, threshold: float) -> DataFrame:
-    """Those written ``pairs(u, v)`` whose whole sets are similar."""
+    if heavy.isEmpty():
+        return pairs.withColumnRenamed("group", "block"), ends.withColumnRenamed("group", "block")
+    cut = pairs.join(heavy, "group", "left").select("u", "v", F.xxhash64("group", part("u"), part("v")).alias("block"))
+    return cut, cut.select("block", F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, seed: int, threshold: float) -> DataFrame:
+    """Those written ``pairs(u, v, group)`` whose whole sets are similar."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
+        block, known = None, {}
         for batch in batches:
-            near = []
-            for u, v, *texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held > SHINGLES_KEPT:
-                    known, held = {}, 0
-                for node, text in zip((u, v), texts, strict=True):
-                    if node not in known:
-                        known[node] = shingle_set(zlib.decompress(text).decode("utf-8", "surrogatepass"), k, seed)
-                        held += len(known[node])
+            near = ([], [])
+            for own, u, v, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if own != block:
+                    block, known = own, {}
+                if v is None:  # the block's texts come first
+                    known[u] = shingle_set(zlib.decompress(text).decode("utf-8", "surrogatepass"), k, seed)
+                    continue
                 x, y = known[u], known[v]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= threshold * (len(x) + len(y) - both) - SLACK)
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-    wanted = stage(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_rows")), "near-wanted")
-    texts = stage(rows.select("node", "packed").join(wanted, "node"), "near-texts")
-    with_u = _with_text(pairs, texts, wanted, "u")
-    with_v = _with_text(with_u, texts, wanted, "v")
-    # pairs of one document together, so that its set is built once for many of them
-    dealt = with_v.repartition("u", "_u_salt").sortWithinPartitions("u", "_u_salt", "v")
-    found = stage(dealt.select("u", "v", "_u", "_v").mapInArrow(compared, "u long, v long"), "near-links")
-    drop_staged(texts)
-    drop_staged(wanted)
+                if both >= threshold * (len(x) + len(y) - both) - SLACK:
+                    near[0].append(u)
+                    near[1].append(v)
+            yield pa.record_batch({"u": pa.array(near[0], pa.int64()), "v": pa.array(near[1], pa.int64())})
+
+    ends = stage(pairs.select("group", F.explode(F.array("u", "v")).alias("node")).distinct(), "near-ends")
+    blocks, wanted = _blocks(pairs, ends, nodes)
+    texts = wanted.join(rows.select("node", "packed"), "node").select("block", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "packed")
+    both = texts.unionByName(blocks.select("block", "u", "v", F.lit(None).cast("binary").alias("packed")))
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("v").isNotNull(), "u")
+    found = stage(dealt.mapInArrow(compared, "u long, v long"), "near-links")
+    drop_staged(ends)
     return found
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, k: int, seed: int, threshold: float, bucket_limit: int = 4096, bucket: int = 512, miss: float = 0.01, rounds: int = 1) -> DataFrame:
+def similar_links(
+    nodes: DataFrame, rows: DataFrame, k: int, seed: int, threshold: float, bucket_limit: int = 4096, bucket: int = 512, miss: float = 0.01, widths: tuple[int | None, ...] = WIDTHS
+) -> DataFrame:
     """Confirmed links ``(u, v)`` between written ``nodes(node, size, hi, lo)``, which
-    connect what all pairs of similar sets connect, but for a small share."""
+    connect what all pairs of similar sets connect that tables and budget reach."""
     tables = table_bits(nodes.count(), threshold, bucket, miss)
     named = nodes.where("size > 0").select("node", "size", "hi", "lo")
     entries = _entries(named, tables).repartition("key").sortWithinPartitions("key")
-    near = entries.mapInArrow(_neighbours(threshold), "u long, v long, distance long")
+    near = entries.mapInArrow(_neighbours(threshold), "u long, v long, distance long, group long")
     # the nearest; of equally near ones any, so that no document is the choice of very many
-    nearest = near.groupBy("u").agg(F.min(F.struct("distance", F.xxhash64("u", "v").alias("h"), "v")).alias("best")).select("u", "best.v")
-    nearest = stage(nearest, "near-first")
-    first = _confirmed(nearest, rows, k, seed, threshold)
-    links, tried = first, nearest
-    for _ in range(rounds):
-        labels = name_components(named.select(F.col("node").alias("class"), F.col("node").alias("least")), links)
-        labels = labels.select(F.col("class").alias("node"), F.col("component_id").alias("label"), F.col("component_size").alias("members"))
-        labelled = stage(named.join(labels, "node"), "near-labelled")
+    nearest = near.groupBy("u").agg(F.min(F.struct("distance", F.xxhash64("u", "v").alias("h"), "v", "group")).alias("best")).select("u", "best.v", "best.group")
+    tried = [stage(nearest, "near-first")]
+    links = [_confirmed(tried[0], rows, nodes, k, seed, threshold)]
+    labelled = None
+    for width in widths:
+        if labelled is None:
+            labels = name_components(named.select(F.col("node").alias("class"), F.col("node").alias("least")), reduce(DataFrame.unionByName, links))
+            labels = labels.select(F.col("class").alias("node"), F.col("component_id").alias("label"), F.col("component_size").alias("members"))
+            labelled = stage(named.join(labels, "node"), "near-labelled")
         dealt = _dealt(_entries(labelled, tables), bucket_limit)
-        proposed = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_proposals(threshold), "u long, v long, distance long")
-        pairs = proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = stage(pairs.join(tried, ["u", "v"], "left_anti"), "near-proposed")
-        more = _confirmed(pairs, rows, k, seed, threshold)
-        drop_staged(labelled)
-        if more.isEmpty():
+        proposed = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_proposals(threshold, width), "u long, v long, group long")
+        pairs = proposed.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("group").alias("group"))
+        known = reduce(DataFrame.unionByName, [t.select("u", "v") for t in tried])
+        found = stage(pairs.join(known, ["u", "v"], "left_anti"), "near-proposed")
+        new = found.where("u != v")
+        if not new.isEmpty():
+            tried.append(new)
+            more = _confirmed(new, rows, nodes, k, seed, threshold)
+            if not more.isEmpty():
+                links.append(more)
+                drop_staged(labelled)
+                labelled = None
+        if found.where("u = v").isEmpty():  # no document had more than it could propose
             break
-        links, tried = stage(links.unionByName(more), "near-all"), tried.unionByName(pairs)
-    return links
+    drop_staged(labelled)
+    return reduce(DataFrame.unionByName, links)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, seed: int = 42, **params) -> DataFrame:

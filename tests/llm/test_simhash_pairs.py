@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_words import sentence
 from shared_rows import rows_of
 
-from leaselake.llm.simhash_pairs import error_budget, keep_one_similar, near_leaves, share_apart, similar_components, table_bits
+from leaselake.llm.simhash_pairs import _proposals, error_budget, keep_one_similar, near_leaves, share_apart, similar_components, table_bits
 
 SCHEMA = "doc_id long, text string"
 
@@ -96,6 +97,52 @@ def test_trie_finds_what_all_pairs_find(rng):
         assert found == wanted and wanted
 
 
+def test_proposals_grow_to_all(rng):
+    """The nearest ones and a mark that there are more; then all of them."""
+    n, base = 12, rng.getrandbits(63)
+    flips = [sum(1 << b for b in rng.sample(range(63), x)) for x in range(n)]
+    cells = {"node": range(n), "label": range(n), "members": [1] * n, "size": [9] * n, "hi": [base ^ f for f in flips], "lo": [7] * n}
+    batch = pa.record_batch({k: pa.array(list(v), pa.int64()) for k, v in (cells | dict.fromkeys(("t", "key", "p", "q", "own"), [0] * n)).items()})
+
+    def found(width):
+        return {(u, v) for b in _proposals(0.8, width)(iter([batch])) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)}
+
+    far = {(i, j): (flips[i] ^ flips[j]).bit_count() for j in range(n) for i in range(j)}
+    assert found(None) == found(n) == {x for x, d in far.items() if d <= error_budget(0.8)}
+    for i in range(n - 1):
+        near = sorted(d for (a, _), d in far.items() if a == i and d <= error_budget(0.8))
+        given = {v for u, v in found(3) if u == i}
+        assert sorted(far[i, v] for v in given - {i}) == near[:3]  # of equally near ones any
+        assert (i in given) == (len(near) > 3)
+
+
+def test_refused_neighbours_do_not_hide_a_link(spark, rng):
+    """A dense group whose pairs are nearly all just below the threshold: one proposal
+    a table fails for most documents, and the last round confirms or refuses the rest.
+    All pairs whose fingerprints are in reach are linked as by a search for all pairs."""
+    base = sentence(rng, 120)
+    texts = [edited(rng, base, 2 + i % 5) for i in range(80)]
+    sets = [shingles(t) for t in texts]
+    wanted = plain_components(texts)
+    linked = sum(len(x & y) >= 0.8 * len(x | y) for j, x in enumerate(sets) for y in sets[:j])
+    assert 0 < linked < 0.9 * 80 * 79 / 2
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    for widths in ((1, None), (None,)):
+        found = dict(rows_of(similar_components(df, miss=1e-6, widths=widths), "doc_id", "component_id"))
+        assert sum(found[i] != w for i, w in enumerate(wanted)) <= 1
+
+
+def test_heavy_groups_are_cut(spark, rng, monkeypatch):
+    """Groups with too many shingles or pairs for a task give the same links."""
+    from leaselake.llm import simhash_pairs
+
+    df = spark.createDataFrame(list(enumerate(corpus(rng))), SCHEMA)
+    whole = rows_of(similar_components(df), "doc_id", "component_id")
+    monkeypatch.setattr(simhash_pairs, "SHINGLES_KEPT", 500)
+    monkeypatch.setattr(simhash_pairs, "PAIRS_TOGETHER", 3)
+    assert rows_of(similar_components(df), "doc_id", "component_id") == whole
+
+
 def test_tables_cover_the_threshold():
     """Tables miss a pair at 0.8 with the wanted probability, at any size."""
     for n in (1000, 10**6, 10**9):
