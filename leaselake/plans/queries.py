@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -541,6 +542,27 @@ SELECT 'dim_employee' AS sink_table, CAST(id AS VARCHAR) AS key, coalesce(name,
 UNION ALL SELECT 'dim_partner', CAST(c_custkey AS VARCHAR), c_name || ' again' FROM customer WHERE c_custkey % 4 = 0"""
 
 
+def stream_snapshot_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employees from a snapshot and a log that no longer has their first rows but
+    holds changes that the snapshot has too; the configuration likewise. Both jobs are
+    started twice, with the same snapshots, and read a part of the log each."""
+    config, layer, log, tables, marks, log_marks = (new_path(spark, f"fence-{x}") for x in ("config", "config-layer", "log", "tables", "config-checkpoint", "checkpoint"))
+    lines = dimension_log(spark, sf_dir).where((F.col("table") == "employee") & (F.col("xid") >= 2))
+    name = F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit(" moved"))).otherwise(F.col("s_name"))
+    snapshot = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), name.alias("name"), (1000 + F.col("s_nationkey")).alias("department_id"))
+    fence = (lines.agg(F.max("ts")).first()[0] or 0, 2, 2**63 - 1)
+    configured = spark.createDataFrame([tuple(json.loads(x)["after"].values()) for x in config_lines(1)], S.TABLE_PROCESS)
+    for run in (1, 2):
+        spark.createDataFrame([(x,) for x in config_lines(run)], "value string").coalesce(1).write.mode("append").text(config)
+        _finished(jobs.config_job(spark, config, layer, tables, marks, available_now=True, snapshot=(configured, 150)))
+        as_json(lines.where(F.col("xid") <= 3 if run == 1 else F.col("xid") > 3)).write.mode("append").text(log)
+        _finished(jobs.dimension_job(spark, log, layer, tables, log_marks, available_now=True, snapshots={"employee": (snapshot, fence)}))
+    return dimension_table(spark, f"{tables}/dim_employee", ["id", "name"]).read().select("key", "name")
+
+
+_FENCE_SQL = "SELECT CAST(id AS VARCHAR) AS key, coalesce(name, '') AS name FROM newest WHERE n = 1 AND change_type <> 'delete'"
+
+
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, stopped and started again from its checkpoint with all
     of them once more: the second time they are late, and closed windows stay."""
@@ -613,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "stream_running_count": stream_running_count,
     **{f"stream_dws_{n}": stream_summary(n) for n in SUMMARIES},
     "stream_late_drop": stream_late_drop,
+    "stream_snapshot_fence": stream_snapshot_fence,
     "stream_fact_lifecycle_complete": stream_fact_lifecycle("complete"),
     "stream_fact_lifecycle_keyed": stream_fact_lifecycle("keyed"),
     "stream_fact_lifecycle_strict": stream_fact_lifecycle("strict"),
@@ -644,6 +667,7 @@ SQL: dict[str, str] = {
     "stream_running_count": with_views(_COUNT_SQL),
     **{f"stream_dws_{n}": _closed_sql(n) for n in SUMMARIES},
     "stream_late_drop": _LATE_SQL,
+    "stream_snapshot_fence": with_views(_FENCE_SQL, DIM_VIEWS),
     "stream_fact_lifecycle_complete": _brief_sql(jobs.APPLICATION_FACTS),
     "stream_fact_lifecycle_keyed": _brief_sql(jobs.APPLICATION_FACTS),
     # in-order changes: the credit's first fact uses its approval up

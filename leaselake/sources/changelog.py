@@ -79,10 +79,38 @@ def current_config(changes: DataFrame) -> DataFrame:
 
 
 def read_config_table(spark: SparkSession, url: str, table: str, properties: dict[str, str]) -> DataFrame:
-    """The configuration table by JDBC, columns by name."""
+    """The configuration table by JDBC, columns by name: the snapshot of ``config_job``."""
     return spark.read.jdbc(url, table, properties=properties).select(*S.TABLE_PROCESS.fieldNames())
 
 
+def read_snapshot(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, properties: dict[str, str]) -> DataFrame:
+    """A source table by JDBC in ``parts`` ranges of its numeric ``key`` between
+    ``bounds``, read side by side; keys outside of the bounds are in the outer parts."""
+    return spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=properties)
+
+
+def config_snapshot(rows: DataFrame, ts_ms: int) -> DataFrame:
+    """Configuration rows as the changes that read them, at ``ts_ms``."""
+    nothing = F.lit(None).cast(S.TABLE_PROCESS)
+    return rows.select(F.lit("r").alias("op"), nothing.alias("before"), F.struct(*S.TABLE_PROCESS.fieldNames()).alias("after"), F.lit(ts_ms).cast("long").alias("ts_ms"))
+
+
+def snapshot_changes(rows: DataFrame, table: str, fence: tuple[int, ...]) -> DataFrame:
+    """A source table's rows as changes at the ``fence``, the position in the log up
+    to which the rows hold every change. Cells are texts, nulls stay null."""
+    data = F.create_map(*[x for c in rows.columns for x in (F.lit(c), F.col(c).cast("string"))])
+    cells = {"table": F.lit(table), "type": F.lit("bootstrap-insert"), "data": data} | {c: F.lit(x) for c, x in zip(S.POSITION, fence, strict=True)}
+    return rows.select([cells.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.ENVELOPE])
+
+
+def after_fences(changes: DataFrame, fences: dict[str, tuple[int, ...]]) -> DataFrame:
+    """Changes that no snapshot holds: those beyond their table's fence, those of
+    tables without one, and those without a time, whose position is not known."""
+    position = F.struct(*S.POSITION)
+    held = [(F.col("table") == t) & F.col("ts").isNotNull() & (position <= F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(S.POSITION, fence, strict=True)])) for t, fence in fences.items()]
+    return changes.where(~F.coalesce(reduce(lambda a, b: a | b, held), F.lit(False))) if held else changes
+
+
 def fact_changes(changes: DataFrame) -> DataFrame:
     """Changes of the fact tables whose key is there; all others are dropped."""
     rules = [(F.col("table") == t) & F.col("data")[k].isNotNull() for t, k in S.FACT_KEYS.items()]

@@ -13,7 +13,7 @@ from leaselake.functions import event_time
 from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, summarize
 from leaselake.scratch import file_system
-from leaselake.sources.changelog import about, current_config, fact_changes, parse_changes, parse_config, read_values
+from leaselake.sources.changelog import about, after_fences, config_snapshot, current_config, fact_changes, parse_changes, parse_config, read_values, snapshot_changes
 from leaselake.streaming.joins import approvals, credit_steps
 from leaselake.streaming.lifecycle import (
     APPLICATION_CELLS,
@@ -28,7 +28,7 @@ from leaselake.streaming.lifecycle import (
     expiry,
     typed_facts,
 )
-from leaselake.streaming.sinks import append_batch, batch_name, fan_out, has_batch, read_layer
+from leaselake.streaming.sinks import append_batch, batch_name, fan_out, has_batch, kept_fence, read_layer
 from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
 
 TRIGGER = "10 seconds"
@@ -59,12 +59,18 @@ def _expiry(cells: dict, available_now: bool, early: int | None, kept: int | Non
     return {} if available_now else expiry(cells, early, kept)
 
 
-def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoint: str, available_now: bool = False, snapshot: tuple[DataFrame, int] | None = None) -> StreamingQuery:
     """Configuration changes to the table ``layer``, creating and dropping the
     dimension tables under ``tables`` as they ask. A batch that runs again after it
-    was marked does nothing; one that died before leaves the tables it made alone."""
+    was marked does nothing; one that died before leaves the tables it made alone.
+    ``snapshot``: the configuration's rows (``read_config_table``) and the time in ms up
+    to which they hold all changes; they come first, and once. Changes up to then are
+    passed over, those without a time are not."""
     session = job_session(spark)
     changes = parse_config(read_values(session, log, streaming=True))
+    if snapshot is not None:
+        (fence,) = kept_fence(session, f"{layer}_fence", (snapshot[1],))
+        changes = changes.where(F.col("ts_ms").isNull() | (F.col("ts_ms") > fence))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if has_batch(session, layer, batch_id):
@@ -80,15 +86,32 @@ def config_job(spark: SparkSession, log: str, layer: str, tables: str, checkpoin
             table.create(made_by if dropped else "")
         append_batch(batch, layer, batch_id)
 
+    if snapshot is not None:
+        write(config_snapshot(snapshot[0], fence), 0)  # a batch of no stream
     return _start(changes, write, checkpoint, available_now)
 
 
-def dimension_job(spark: SparkSession, log: str, config: str | Callable[[], DataFrame], tables: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def dimension_job(
+    spark: SparkSession,
+    log: str,
+    config: str | Callable[[], DataFrame],
+    tables: str,
+    checkpoint: str,
+    available_now: bool = False,
+    snapshots: dict[str, tuple[DataFrame, tuple[int, int, int]]] | None = None,
+) -> StreamingQuery:
     """Keeps the dimension tables under ``tables`` current: a batch appends its newest
     row of each key, and parts with many changes are compacted. The configuration (the
     layer that ``config_job`` writes, or a function that gives it) is read anew for
     each batch, so a change of it holds from the next batch on. Tables that a batch
-    does not touch are not written."""
+    does not touch are not written.
+
+    ``snapshots``: by source table its rows (``read_snapshot``) and the log's position
+    (ts, xid, xoffset) up to which they hold all changes; a position taken before the
+    rows are read is safe. Rows come first, and once; changes up to the position are
+    passed over. A start with a later snapshot keeps the first one's position, and its
+    rows if they were written, so nothing between the two is lost. A source that the
+    configuration doesn't name yet has no table for its rows, so its snapshot is left."""
     session = job_session(spark)
     changes, _ = parse_changes(read_values(session, log, streaming=True))
 
@@ -105,7 +128,15 @@ def dimension_job(spark: SparkSession, log: str, config: str | Callable[[], Data
         finally:
             newest.unpersist()
 
-    return _start(changes, write, checkpoint, available_now)
+    fences = {}
+    if snapshots:
+        configured = current_config(read_layer(session, config, S.CONFIG_ENVELOPE)) if isinstance(config, str) else config()
+        named = {r["source_table"] for r in configured.select("source_table").collect()}  # a few tables
+        for source in snapshots.keys() & named:
+            rows, position = snapshots[source]
+            fences[source] = kept_fence(session, f"{tables}/_fences/{source}", position)
+            write(snapshot_changes(rows, source, fences[source]), 0)  # a batch of no stream
+    return _start(after_fences(changes, fences), write, checkpoint, available_now)
 
 
 def fact_job(

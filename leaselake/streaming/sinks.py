@@ -41,6 +41,15 @@ def append_batch(df: DataFrame, path: str, batch_id: int, **options: str) -> Non
         raise OSError(f"{at} could not be put in place")
 
 
+def kept_fence(spark: SparkSession, path: str, fence: tuple[int, ...]) -> tuple[int, ...]:
+    """The fence that was first written to ``path``: this one, or that of an earlier
+    start. A later snapshot doesn't move it, since what the log holds between the two
+    may not be applied yet."""
+    columns = [f"f{n}" for n in range(len(fence))]
+    append_batch(spark.createDataFrame([tuple(fence)], ", ".join(f"{c} long" for c in columns)), path, 0)
+    return tuple(read_layer(spark, path).select(*columns).first())
+
+
 def read_layer(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.option("basePath", path).parquet(path).drop("batch")

@@ -225,3 +225,41 @@ def test_expiry_is_on_in_jobs_that_run_on():
     assert jobs._expiry(APPLICATION_CELLS, True, 30_000, 1) == {}
     assert jobs._expiry(APPLICATION_CELLS, False, 30_000, None) == dict.fromkeys(("add", "occupy", "produced"), 30_000)
     assert jobs.STASH_TTL_MS == 30_000 and jobs.TRIGGER == "10 seconds"
+
+
+def test_snapshot_then_changes(spark, tmp_path):
+    """Changes up to the fence are passed over, later ones hold; a start with a later
+    snapshot keeps the first fence, so what came in between is not lost."""
+    log, tables = tmp_path / "log", str(tmp_path / "tables")
+    config = lambda: spark.createDataFrame([("person", "dim_person", "info", "id,name", "id")], S.TABLE_PROCESS)
+
+    def person(id, name):
+        return {"id": id, "name": name}
+
+    def run(rows, fence):
+        shot = spark.createDataFrame(rows, "id long, name string, more string")
+        jobs.dimension_job(spark, str(log), config, tables, str(tmp_path / "checkpoint"), True, {"person": (shot, fence), "other": (shot, fence)}).awaitTermination()
+        return rows_of(dimension_table(spark, f"{tables}/dim_person", ["id", "name"]).read(), "id", "name")
+
+    # positions (4, 0, 0), (5, 0, 1), (6, 0, 2): the second is the fence
+    write(log, "0.txt", [("person", "update", person("1", "old")), ("person", "delete", person("2", "b")), ("person", "update", person("3", "late"))], 4)
+    first = run([(1, "new", "x"), (2, "b", "x"), (3, "c", "x"), (4, None, "x")], (5, 0, 1))
+    assert first == [("1", "new"), ("2", "b"), ("3", "late"), ("4", "")]
+    write(log, "1.txt", [("person", "delete", person("2", "b")), ("person", "insert", person("5", "e"))], 8)
+    assert run([(9, "later", "x")], (100, 0, 0)) == [("1", "new"), ("3", "late"), ("4", ""), ("5", "e")]
+
+
+def test_config_snapshot(spark, tmp_path):
+    """Configuration rows come first and once; only later changes of it are applied."""
+    log, layer, tables = tmp_path / "log", str(tmp_path / "layer"), str(tmp_path / "tables")
+    log.mkdir()
+    row = {"source_table": "a", "sink_table": "dim_a", "sink_family": "info", "sink_columns": "id", "sink_row_key": "id"}
+    change = lambda op, before, after, at: json.dumps({"op": op, "before": before, "after": after, "ts_ms": at})
+    (log / "0.txt").write_text("\n".join([change("d", row, None, 10), change("c", None, row | {"source_table": "b", "sink_table": "dim_b"}, 11)]))
+    shot = spark.createDataFrame([tuple(row.values())], S.TABLE_PROCESS)
+    for later in (10, 99):
+        jobs.config_job(spark, str(log), layer, tables, str(tmp_path / "checkpoint"), True, (shot, later)).awaitTermination()
+        assert exists(spark, f"{tables}/dim_a") and exists(spark, f"{tables}/dim_b")
+    (log / "1.txt").write_text(change("d", row, None, 12))
+    jobs.config_job(spark, str(log), layer, tables, str(tmp_path / "checkpoint"), True, (shot, 99)).awaitTermination()
+    assert not exists(spark, f"{tables}/dim_a") and exists(spark, f"{tables}/dim_b")
