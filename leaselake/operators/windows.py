@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,18 +66,39 @@ def tumbling_summary(rows: DataFrame, time: str, keys: tuple[str, ...], sums: tu
     return grouped.select(second_of(F.col("_w.start")).alias("stt"), second_of(F.col("_w.end")).alias("edt"), day_of(F.col("_w.start")).alias("cur_date"), *keys, "apply_count", *sums)
 
 
+def once(facts: DataFrame, spec: Summary) -> DataFrame:
+    """A stream of facts with its watermark, each fact once."""
+    known = [F.col(c).isNotNull() for c in spec.required]  # others do not count, and do not move the watermark
+    return reduce(DataFrame.where, known, facts).withWatermark(spec.time, spec.delay).dropDuplicatesWithinWatermark(["id", spec.time])
+
+
 def summarize(facts: DataFrame, name: str, streaming: bool = False) -> DataFrame:
     """One of ``SUMMARIES`` over its fact table. A stream gets its watermark, and a fact
     that is delivered again (same id and time) counts once while a window that it
     belongs to may be open."""
     spec = SUMMARIES[name]
-    if streaming:
-        known = [F.col(c).isNotNull() for c in spec.required]  # others do not count, and do not move the watermark
-        facts = reduce(DataFrame.where, known, facts).withWatermark(spec.time, spec.delay).dropDuplicatesWithinWatermark(["id", spec.time])
-    rows = prepared(facts, spec)
+    rows = prepared(once(facts, spec) if streaming else facts, spec)
     return tumbling_summary(rows, spec.time, spec.keys, spec.sums)
 
 
+def rolled_up_days(facts: DataFrame, name: str, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The application layer by day, from a stream of facts: the summary's closed
+    windows, enriched, are summed again by the day in which they lie, so a day comes
+    out once, after its last window is closed. ``enrich`` joins tables that stand still."""
+    spec = SUMMARIES[name]
+    rows = prepared(once(facts, spec), spec)
+    total = [F.sum(c).cast(S.MONEY).alias(c) for c in spec.sums]
+    windows = rows.groupBy(F.window(spec.time, WINDOW).alias("_w"), *spec.keys).agg(F.count(F.lit(1)).alias("apply_count"), *total)
+    named = enrich(windows.select(F.window_time("_w").alias("at"), *spec.keys, "apply_count", *spec.sums))
+    levels = [("industry", "industry1_name"), ("department", "department1_name"), ("direction", "lease_organization")]
+    cells = named.withColumn("of", F.explode(F.array([F.struct(F.lit(level).alias("level"), F.col(c).alias("name")) for level, c in levels])))
+    midnight = f"{-int(S.SOURCE_ZONE[:3]) % 24} hours"  # of the sources' zone, after that of UTC
+    day = F.window("at", "1 day", "1 day", midnight).alias("_d")
+    sums = [F.sum(c).cast("decimal(26,2)").alias(c) for c in spec.sums]
+    grouped = cells.groupBy(day, F.col("of.level").alias("level"), F.col("of.name").alias("name")).agg(F.sum("apply_count").alias("apply_count"), *sums)
+    return grouped.select(day_of(F.col("_d.start")).alias("cur_date"), "level", "name", "apply_count", *spec.sums)
+
+
 def rolled_up(summary: DataFrame) -> DataFrame:
     """Application layer: audited sums by top industry, by top department and by
     business direction, in one pass by grouping sets."""

@@ -462,6 +462,35 @@ def stream_summary(name: str) -> Query:
     return query
 
 
+def stream_ads_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application layer's closed days, by chained aggregations in one stream."""
+    layer, target = _fact_layer(spark, sf_dir), new_path(spark, "ads")
+
+    def enrich(windows: DataFrame) -> DataFrame:
+        tables = (lease_view(windows.sparkSession, sf_dir, f"dim_{d}") for d in ("industry", "employee", "department"))
+        industry, employee, department = (t.withColumn("id", F.col("id").cast("string")) if n < 2 else t for n, t in enumerate(tables))
+        tops = dimensions.flattened(industry, "industry_name", "superior_industry_id", "industry").select("industry3_id", "industry1_name")
+        above = dimensions.flattened(department, "department_name", "superior_department_id", "department").select("department3_id", "department1_name")
+        officers = employee.join(above, employee["department_id"] == above["department3_id"], "left").select(F.col("id").alias("salesman_id"), "department1_name")
+        return windows.join(tops, "industry3_id", "left").join(officers, "salesman_id", "left")
+
+    _finished(jobs.rollup_job(spark, layer, target, new_path(spark, "ads-checkpoint"), enrich, available_now=True))
+    schema = "cur_date string, level string, name string, apply_count long, apply_amount decimal(26,2), reply_amount decimal(26,2), batch string"
+    return read_layer(spark, target, schema)
+
+
+def _days_sql() -> str:
+    name = "ind_org_salesman_approval"
+    views = _summary_views(name) | {"named": enriched_sql(name)}
+    latest = f"(SELECT max(approve_time) - INTERVAL '{SUMMARIES[name].delay}' FROM f_audit_approve)"
+    cells = ", ".join(f"CAST(sum({c}) AS DECIMAL(26,2)) AS {c}" for c in ("apply_amount", "reply_amount"))
+    parts = [
+        f"SELECT cur_date, '{level}' AS level, {c} AS name, CAST(sum(apply_count) AS BIGINT) AS apply_count, {cells} FROM named WHERE CAST(cur_date AS DATE) + INTERVAL '1 day' <= {latest} GROUP BY cur_date, {c}"
+        for level, c in (("industry", "industry1_name"), ("department", "department1_name"), ("direction", "lease_organization"))
+    ]
+    return with_views("\nUNION ALL ".join(parts), views)
+
+
 def _closed_sql(name: str) -> str:
     spec = SUMMARIES[name]
     where = " WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in spec.required) if spec.required else ""
@@ -602,8 +631,8 @@ def _decimals(name: str) -> dict[str, str]:
         return dict.fromkeys(SUMMARIES[summary].sums, money)
     if name in ("dws_json_text", "stream_redelivered"):
         return dict.fromkeys(SUMMARIES["credit_add"].sums, money)
-    if "lifecycle" in name or "out_of_order" in name or name == "ads_rollup":
-        return dict.fromkeys(("apply_amount", "reply_amount"), "decimal(26,2)" if name == "ads_rollup" else money)
+    if "lifecycle" in name or "out_of_order" in name or name.endswith("ads_rollup"):
+        return dict.fromkeys(("apply_amount", "reply_amount"), "decimal(26,2)" if name.endswith("ads_rollup") else money)
     return {"value": money} if kind == "events" or name in ("dws_upsert_replace", "stream_late_drop") else {}
 
 
@@ -636,6 +665,7 @@ QUERIES: dict[str, Query] = {
     **{f"stream_dws_{n}": stream_summary(n) for n in SUMMARIES},
     "stream_late_drop": stream_late_drop,
     "stream_snapshot_fence": stream_snapshot_fence,
+    "stream_ads_rollup": stream_ads_rollup,
     "stream_fact_lifecycle_complete": stream_fact_lifecycle("complete"),
     "stream_fact_lifecycle_keyed": stream_fact_lifecycle("keyed"),
     "stream_fact_lifecycle_strict": stream_fact_lifecycle("strict"),
@@ -668,6 +698,7 @@ SQL: dict[str, str] = {
     **{f"stream_dws_{n}": _closed_sql(n) for n in SUMMARIES},
     "stream_late_drop": _LATE_SQL,
     "stream_snapshot_fence": with_views(_FENCE_SQL, DIM_VIEWS),
+    "stream_ads_rollup": _days_sql(),
     "stream_fact_lifecycle_complete": _brief_sql(jobs.APPLICATION_FACTS),
     "stream_fact_lifecycle_keyed": _brief_sql(jobs.APPLICATION_FACTS),
     # in-order changes: the credit's first fact uses its approval up

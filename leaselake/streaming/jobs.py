@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leaselake import schemas as S
 from leaselake.functions import event_time
 from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
-from leaselake.operators.windows import SUMMARIES, summarize
+from leaselake.operators.windows import SUMMARIES, rolled_up_days, summarize
 from leaselake.scratch import file_system
 from leaselake.sources.changelog import about, after_fences, config_snapshot, current_config, fact_changes, parse_changes, parse_config, read_values, snapshot_changes
 from leaselake.streaming.joins import approvals, credit_steps
@@ -233,6 +233,15 @@ def summary_job(
     return _start(summary, write, checkpoint, available_now)
 
 
+def rollup_job(spark: SparkSession, layer: str, target: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame], available_now: bool = False) -> StreamingQuery:
+    """Audited sums by day and top industry, top department and direction to the table
+    ``target``: each day once, after it is closed (``rolled_up_days``)."""
+    name = "ind_org_salesman_approval"
+    spec = SUMMARIES[name]
+    days = rolled_up_days(fact_stream(job_session(spark), layer, spec.fact, spec.time), name, enrich)
+    return _start(days, lambda batch, batch_id: append_batch(batch, target, batch_id), checkpoint, available_now)
+
+
 def summary_keys(name: str) -> list[str]:
     return ["cur_date", "stt", "edt", *SUMMARIES[name].keys]
 
