@@ -55,7 +55,8 @@ def parse_changes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes, quarantined): parsed envelopes, and the messages that are not JSON
     objects with a table and a type, with the ``reason``; ``quarantine_job`` keeps
     these, and the other jobs pass them over instead of failing."""
-    parsed = values.withColumn("e", F.from_json("value", S.ENVELOPE))
+    # inlined, so that no filter is moved below the parser and parses once more
+    parsed = values.select("value", F.inline(F.array(F.from_json("value", S.ENVELOPE)))).select("value", F.struct(*[f.name for f in S.ENVELOPE]).alias("e"))
     good = F.col("e.table").isNotNull() & F.col("e.type").isNotNull()
     return parsed.where(good).select("e.*"), parsed.where(F.coalesce(~good, F.lit(True))).select("value", _reason().alias("reason"))
 

@@ -25,7 +25,7 @@ def _rows(changes: DataFrame, table: str) -> DataFrame:
 
 def _facts(layer: DataFrame, kind: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in KINDS[kind])
-    return layer.select(F.from_json("payload", schema).alias("p")).select("p.*")
+    return layer.select(F.inline(F.array(F.from_json("payload", schema))))
 
 
 def _paired(left: DataFrame, right: DataFrame, key: str, times: tuple[str, str], patience: str | None, once: list[str]) -> DataFrame:

@@ -410,5 +410,6 @@ def typed_facts(facts: DataFrame, kind: str) -> DataFrame:
     columns = KINDS[kind]
     schema = ", ".join(f"{c} string" for c in columns)
     types = {"irr": S.RATE, "period": "long"} | {c: S.MONEY for c in columns if c.endswith("_amount")}
-    parsed = facts.where(F.col("kind") == kind).select(F.from_json("payload", schema).alias("p"))
-    return parsed.select([F.col(f"p.{c}").cast(types.get(c, "string")).alias(c) for c in columns])
+    # inlined, so that no filter is moved below the parser and parses once more
+    parsed = facts.where(F.col("kind") == kind).select(F.inline(F.array(F.from_json("payload", schema))))
+    return parsed.select([F.col(c).cast(types.get(c, "string")).alias(c) for c in columns])

@@ -44,6 +44,13 @@ def test_parse_and_quarantine(spark, tmp_path):
     assert rows_of(bad) == [("[1]", "no table"), ("not json", "no JSON"), ('{"type": "insert"}', "no table")]
 
 
+def test_messages_are_parsed_once(spark):
+    values = spark.createDataFrame([(json.dumps(SAMPLE),), ("{cut",)], "value string")
+    kept = fact_changes(parse_changes(values)[0])
+    assert kept.count() == 1
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_missing_source(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         require_source(spark, path=str(tmp_path / "none"))
