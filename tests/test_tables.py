@@ -103,3 +103,30 @@ def test_days_go(spark, tmp_path):
     assert table.read_parts(["2024-01-08"]).count() == 1
     table.compact(batches=0)
     assert table.read().count() == 8
+
+
+def days(session):
+    """100 rows of each of ten days in each of four partitions."""
+    day = F.concat(F.lit("2024-01-1"), F.col("id") % 10)
+    return session.range(0, 4000, 1, 4).select(day.alias("cur_date"), F.col("id").alias("k"))
+
+
+def test_a_stream_writes_a_file_a_part(spark, tmp_path):
+    """A stream's session plans without adaptive execution, and keeps that."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    table = day_table(session, str(tmp_path / "t"), "cur_date string, k long", ["cur_date", "k"])
+    table.append(days(session), 0)
+    assert len(written(tmp_path / "t")) == 10
+    assert session.conf.get("spark.sql.adaptive.enabled") == "false"
+    assert table.read().count() == 4000
+
+
+def test_parts_of_one_batch_wait(spark, tmp_path):
+    table = day_table(spark, str(tmp_path / "t"), "cur_date string, k long", ["cur_date", "k"])
+    table.append(days(spark), 0)
+    assert table.compact(least=2) == []
+    table.append(days(spark).where("cur_date = '2024-01-13'"), 1)
+    assert table.compact(least=2) == ["2024-01-13"]
+    assert table.read().count() == 4000
+    assert len(table.compact()) == 9
