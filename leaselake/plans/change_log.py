@@ -98,6 +98,11 @@ def as_json(log: DataFrame) -> DataFrame:
     return log.select(F.to_json(F.struct(*log.columns)).alias("value"))
 
 
+def write_log(values: DataFrame, path: str, mode: str = "error") -> None:
+    """Lines of a log as compressed text: names repeat in each of them."""
+    values.write.mode(mode).option("compression", "gzip").text(path)
+
+
 def config_lines(run: int) -> list[str]:
     """Configuration changes before the first and the second part of the dimension
     log: two tables are there and one is made; then one of them gets another target

@@ -14,7 +14,7 @@ from leaselake.functions import camel_case, day_of, json_lines, renamed, second_
 from leaselake.operators import dimensions, facts
 from leaselake.operators.enrich import with_hierarchies, with_officer_name
 from leaselake.operators.windows import SUMMARIES, rolled_up, summarize, tumbling_summary
-from leaselake.plans.change_log import as_json, config_lines, dimension_log, lease_log
+from leaselake.plans.change_log import as_json, config_lines, dimension_log, lease_log, write_log
 from leaselake.scratch import file_system, new_path
 from leaselake.sources.changelog import fact_changes, parse_changes, read_values, split_contracts
 from leaselake.sources.lease_views import BASE, lease_view, with_views
@@ -353,7 +353,7 @@ def dws_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
     path = new_path(spark, "change-log")
-    as_json(lease_log(spark, sf_dir)).write.text(path)
+    write_log(as_json(lease_log(spark, sf_dir)), path)
     return path
 
 
@@ -415,7 +415,7 @@ def stream_facts_out_of_order(joined: bool, spark: SparkSession, sf_dir: str) ->
     first = F.col("table").isin("credit_facility", "credit_facility_status")
     app = F.coalesce(F.col("data")["credit_facility_id"], F.col("data")["id"])
     file = F.when(first, F.pmod(F.xxhash64(app), F.lit(6))).otherwise(F.pmod(F.xxhash64("table", "type", app), F.lit(6)))
-    as_json(lines.repartitionById(6, file.cast("int"))).write.text(log)
+    write_log(as_json(lines.repartitionById(6, file.cast("int"))), log)
     if joined:
         for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True, files_per_batch=2):
             _finished(query)
@@ -513,7 +513,7 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.withColumn("type", F.when((F.col("table") != "credit_facility") | (F.col("xoffset") % 10 != 5), F.col("type")))
     lines = lines.withColumn("table", F.when((F.col("table") != "credit_facility_status") | (F.col("xoffset") % 10 != 4), F.col("table")))
     value = F.to_json(F.struct(*lines.columns))
-    lines.select(F.when(cut, F.substring(value, 1, 30)).otherwise(value).alias("value")).write.text(log)
+    write_log(lines.select(F.when(cut, F.substring(value, 1, 30)).otherwise(value).alias("value")), log)
     _finished(jobs.quarantine_job(spark, log, layer, new_path(spark, "quarantine-checkpoint"), available_now=True))
     bad = read_layer(spark, layer, "value string, reason string, batch string").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     good = parse_changes(read_values(spark, log))[0].agg(F.lit("parsed").alias("reason"), F.count(F.lit(1)).alias("n"))
@@ -554,7 +554,7 @@ def stream_dim_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (1, 2):
         spark.createDataFrame([(x,) for x in config_lines(run)], "value string").coalesce(1).write.mode("append").text(config)
         _finished(jobs.config_job(spark, config, layer, tables, marks, available_now=True))
-        as_json(lines.where(F.col("xid") <= 1 if run == 1 else F.col("xid") > 1)).write.mode("append").text(log)
+        write_log(as_json(lines.where(F.col("xid") <= 1 if run == 1 else F.col("xid") > 1)), log, "append")
         _finished(jobs.dimension_job(spark, log, layer, tables, log_marks, available_now=True))
     # business_partner moved to a new table after its rows had come; partner_note is gone
     found = []
@@ -584,7 +584,7 @@ def stream_snapshot_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (1, 2):
         spark.createDataFrame([(x,) for x in config_lines(run)], "value string").coalesce(1).write.mode("append").text(config)
         _finished(jobs.config_job(spark, config, layer, tables, marks, available_now=True, snapshot=(configured, 150)))
-        as_json(lines.where(F.col("xid") <= 3 if run == 1 else F.col("xid") > 3)).write.mode("append").text(log)
+        write_log(as_json(lines.where(F.col("xid") <= 3 if run == 1 else F.col("xid") > 3)), log, "append")
         _finished(jobs.dimension_job(spark, log, layer, tables, log_marks, available_now=True, snapshots={"employee": (snapshot, fence)}))
     return dimension_table(spark, f"{tables}/dim_employee", ["id", "name"]).read().select("key", "name")
 

@@ -56,16 +56,27 @@ def read_layer(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def fan_out(kinds: tuple[str, ...], path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: tagged rows to one layer table per kind. The batch is
-    kept while it is split, so the work before it is done once."""
+    """For ``foreachBatch``: tagged rows to one layer table per kind, as ``append_batch``
+    does for one. The batch is written once, split by its kinds under a hidden name, so
+    the work before it is done once and nothing is cached."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for kind in kinds:
-                append_batch(batch.where(F.col("kind") == kind), f"{path}/{kind}", batch_id)
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        name = batch_name(spark, batch_id)
+        hidden = f"{path}/_{name}"
+        missing = [k for k in kinds if not exists(spark, f"{path}/{k}/batch={name}")]
+        if not missing:
+            return
+        mine = batch.where(F.col("kind").isin(*missing)).withColumn("_kind", F.col("kind"))
+        mine.write.mode("overwrite").partitionBy("_kind").parquet(hidden)
+        for kind in missing:
+            fs, made = file_system(spark, f"{hidden}/_kind={kind}")
+            _, at = file_system(spark, f"{path}/{kind}/batch={name}")
+            fs.mkdirs(made)  # a batch without a row of the kind has a folder too
+            fs.mkdirs(at.getParent())
+            if not fs.rename(made, at) and not fs.exists(at):
+                raise OSError(f"{at} could not be put in place")
+        fs.delete(file_system(spark, hidden)[1], True)
 
     return write
 

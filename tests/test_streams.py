@@ -14,7 +14,9 @@ from leaselake.operators.windows import tumbling_summary
 from leaselake.streaming import jobs
 from leaselake.streaming.lifecycle import APPLICATION_CELLS, ApplicationLifecycle, expiry
 from leaselake.functions import event_time
-from leaselake.streaming.sinks import append_batch, console, exists, text_files
+from leaselake.plans.change_log import as_json, write_log
+from leaselake.sources.changelog import read_values
+from leaselake.streaming.sinks import append_batch, console, exists, fan_out, read_layer, text_files
 from leaselake.streaming.tables import dimension_table
 
 
@@ -113,6 +115,27 @@ def test_joined_jobs_that_run_on(spark, tmp_path):
     assert rows_of(jobs.facts_of(spark, layer, "audit_approve"), "audit_man_id") == [("9",)]
 
 
+def test_logs_are_compressed(spark, tmp_path):
+    rows = spark.range(20_000).select(F.lit("credit").alias("table"), F.create_map(F.lit("credit_facility_id"), F.col("id").cast("string")).alias("data"))
+    write_log(as_json(rows), str(tmp_path / "log"))
+    plain = as_json(rows).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert sum(p.stat().st_size for p in (tmp_path / "log").iterdir()) < plain / 5
+    assert read_values(spark, str(tmp_path / "log")).count() == 20_000
+
+
+def test_fan_out_once(spark, tmp_path):
+    """Each kind once, also those without rows; a second run of a batch changes nothing,
+    and one that died between two kinds is completed."""
+    batch = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3"), ("c", "4")], "kind string, payload string")
+    layer = str(tmp_path / "layer")
+    append_batch(batch.where("kind = 'b'"), f"{layer}/b", 0)
+    for _ in range(2):
+        fan_out(("a", "b", "none"), layer)(batch, 0)
+    found = {k: rows_of(read_layer(spark, f"{layer}/{k}", jobs.PAYLOAD)) for k in ("a", "b", "none")}
+    assert found == {"a": [("a", "1"), ("a", "3")], "b": [("b", "2")], "none": []}
+    assert sorted(p.name for p in (tmp_path / "layer").iterdir() if not p.name.startswith(".")) == ["a", "b", "none"] and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_quarantine(spark, tmp_path):
     (tmp_path / "log").mkdir()
     lines = ["{cut", "[1]", "7", '{"table": null, "type": "insert"}', '{"table": "t"}', "", '{"table": "t", "type": "insert"}', "\x00"]
