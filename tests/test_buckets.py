@@ -1,12 +1,16 @@
-"""Keys of a bucket share a state and a call."""
+"""Keys of a bucket share a state and a call; a summary runs the fact jobs it reads."""
 
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql.streaming.stateful_processor import TimerValues
+from shared_rows import SF, rows_of
 from test_lifecycle import ADD, APPLY, OCCUPY, REPLY, STATUS, renamed
 
+from leaselake.plans import queries
+from leaselake.streaming import jobs
 from leaselake.streaming.lifecycle import ApplicationLifecycle
 
 
@@ -76,3 +80,13 @@ def test_payloads_leave_nulls_out():
     made, _ = machine()
     ((kind, fact),) = fed(made, [("1", (*APPLY[:2], APPLY[2] | {"status": "20", "salesman_id": 'a "ü"\n'}))])
     assert kind == "audit_reject" and fact["salesman_id"] == 'a "ü"\n' and "audit_man_id" not in fact and None not in fact.values()
+
+
+def test_a_summary_runs_the_jobs_it_reads(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_LAYERS", {})
+    layer = queries._fact_layer(spark, SF, "audit_cancel")
+    kinds = lambda: {p.name for p in Path(layer.removeprefix("file://")).iterdir() if not p.name.startswith(".")}
+    assert kinds() == {"approved", "audit_cancel", "audit_reject"}
+    before = rows_of(jobs.facts_of(spark, layer, "audit_cancel"), "id")
+    assert queries._fact_layer(spark, SF, "audit_approve") == layer and "credit_add" not in kinds() and "audit_approve" in kinds()
+    assert rows_of(jobs.facts_of(spark, layer, "audit_cancel"), "id") == before  # its job ran once
