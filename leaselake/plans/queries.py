@@ -544,10 +544,11 @@ UNION ALL SELECT 'parsed', (SELECT count(*) FROM credit_facility_status WHERE cr
 def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sums of added credits from a layer whose facts are all delivered twice, the
     second time in another order and other files."""
-    layer, target = new_path(spark, "twice"), new_path(spark, "dws-twice")
+    layer, once, target = (new_path(spark, x) for x in ("twice", "once", "dws-twice"))
     facts = _times_as_text(fact_table(spark, sf_dir, "credit_add"))
     payload = F.to_json(F.struct([F.when(F.lit(c.endswith("_time")), F.concat(F.col(c), F.lit(".000000"))).otherwise(F.col(c).cast("string")).alias(c) for c in facts.columns]))
-    rows = facts.select(F.lit("credit_add").alias("kind"), payload.alias("payload"))
+    facts.select(F.lit("credit_add").alias("kind"), payload.alias("payload")).write.parquet(once)
+    rows = spark.read.parquet(once)  # else the facts are joined again for the second time and for its order
     rows.unionByName(rows.orderBy(F.xxhash64("payload"))).write.parquet(f"{layer}/credit_add")
     schema = "stt string, edt string, cur_date string, apply_count long, apply_amount decimal(16,2), reply_amount decimal(16,2), credit_amount decimal(16,2)"
     _finished(jobs.summary_job(spark, "credit_add", layer, target, new_path(spark, "twice-checkpoint"), available_now=True))
