@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leaselake.sources.lease_views import lease_view
 
 _NO_MAP = "map<string,string>"
+_KEYS = {"credit_facility": "id", "credit_facility_status": "credit_facility_id", "reply": "id", "credit": "id", "contract": "id"}
 
 
 def _text(df: DataFrame, column: str) -> Column:
@@ -35,10 +36,12 @@ def envelope(df: DataFrame, table: str, kind: str, at: Column, step: int, column
     )
 
 
-def lease_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every change of applications, status rows, replies, credits and contracts.
-    Numbers and ids become strings in the maps, as the log's parser makes them."""
-    view = {n: lease_view(spark, sf_dir, n) for n in ("credit_facility", "credit_facility_status", "reply", "credit", "contract")}
+def lease_log(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = tuple(_KEYS)) -> DataFrame:
+    """Every change of applications, status rows, replies, credits and contracts, or of
+    those of them that ``tables`` names. Numbers and ids become strings in the maps, as
+    the log's parser makes them."""
+    # dealt by their keys while they are narrow: a table in one row group would be one task's texts
+    view = {n: lease_view(spark, sf_dir, n).repartition(key) for n, key in _KEYS.items()}
     apps, credit, contract = view["credit_facility"], view["credit"], view["contract"]
     times = apps.select(F.col("id").alias("_app"), "update_time")
     status = view["credit_facility_status"].join(times, F.col("credit_facility_id") == F.col("_app"))
@@ -49,16 +52,16 @@ def lease_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.withColumn("status", F.lit(status_code))
 
     parts = [
-        envelope(status, "credit_facility_status", "insert", c("update_time"), 0, ["credit_facility_id", "status", "employee_id"]),
-        envelope(apps, "credit_facility", "update", c("update_time"), 1, apps.columns),
-        envelope(view["reply"], "reply", "insert", c("create_time"), 2, view["reply"].columns),
-        envelope(step(credit, 1), "credit", "insert", c("create_time"), 3, credit_columns),
-        envelope(step(credit.where("credit_occupy_time IS NOT NULL"), 2), "credit", "update", c("credit_occupy_time"), 4, credit_columns),
-        envelope(step(credit.where("contract_produce_time IS NOT NULL"), 3), "credit", "update", c("contract_produce_time"), 5, credit_columns),
-        envelope(step(contract.where("signed_time IS NOT NULL"), 2), "contract", "update", c("signed_time"), 6, contract.columns),
-        envelope(step(contract.where("execution_time IS NOT NULL"), 3), "contract", "update", c("execution_time"), 7, contract.columns),
+        (status, "credit_facility_status", "insert", c("update_time"), 0, ["credit_facility_id", "status", "employee_id"]),
+        (apps, "credit_facility", "update", c("update_time"), 1, apps.columns),
+        (view["reply"], "reply", "insert", c("create_time"), 2, view["reply"].columns),
+        (step(credit, 1), "credit", "insert", c("create_time"), 3, credit_columns),
+        (step(credit.where("credit_occupy_time IS NOT NULL"), 2), "credit", "update", c("credit_occupy_time"), 4, credit_columns),
+        (step(credit.where("contract_produce_time IS NOT NULL"), 3), "credit", "update", c("contract_produce_time"), 5, credit_columns),
+        (step(contract.where("signed_time IS NOT NULL"), 2), "contract", "update", c("signed_time"), 6, contract.columns),
+        (step(contract.where("execution_time IS NOT NULL"), 3), "contract", "update", c("execution_time"), 7, contract.columns),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [envelope(*part) for part in parts if part[1] in tables])
 
 
 def dimension_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +102,9 @@ def as_json(log: DataFrame) -> DataFrame:
 
 
 def write_log(values: DataFrame, path: str, mode: str = "error") -> None:
-    """Lines of a log as compressed text: names repeat in each of them."""
-    values.write.mode(mode).option("compression", "gzip").text(path)
+    """Lines of a log as compressed text: names repeat in each of them, so the fastest
+    level leaves little."""
+    values.write.mode(mode).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def config_lines(run: int) -> list[str]:

@@ -351,9 +351,10 @@ def dws_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------
 
 
-def _log_files(spark: SparkSession, sf_dir: str) -> str:
+def _log_files(spark: SparkSession, sf_dir: str, *tables: str) -> str:
+    """The lease log, or a topic of it: the changes of ``tables``."""
     path = new_path(spark, "change-log")
-    write_log(as_json(lease_log(spark, sf_dir)), path)
+    write_log(as_json(lease_log(spark, sf_dir, tables) if tables else lease_log(spark, sf_dir)), path)
     return path
 
 
@@ -415,7 +416,8 @@ def stream_facts_out_of_order(joined: bool, spark: SparkSession, sf_dir: str) ->
     first = F.col("table").isin("credit_facility", "credit_facility_status")
     app = F.coalesce(F.col("data")["credit_facility_id"], F.col("data")["id"])
     file = F.when(first, F.pmod(F.xxhash64(app), F.lit(6))).otherwise(F.pmod(F.xxhash64("table", "type", app), F.lit(6)))
-    write_log(as_json(lines.repartitionById(6, file.cast("int"))), log)
+    dealt = lines.select(F.to_json(F.struct(*lines.columns)).alias("value"), file.cast("int").alias("file"))  # texts are made before six tasks have them
+    write_log(dealt.repartitionById(6, F.col("file")).select("value"), log)
     if joined:
         for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True, files_per_batch=2):
             _finished(query)
@@ -424,9 +426,11 @@ def stream_facts_out_of_order(joined: bool, spark: SparkSession, sf_dir: str) ->
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.APPLICATION_FACTS])
 
 
-_LAYERS: dict[tuple, tuple[str, str, str, set[str]]] = {}
-#: The job that writes each fact; it reads what those before it write.
-FACT_JOBS = ("ends", "approvals", "credits", "contracts")
+_LAYERS: dict[tuple, tuple[str, str, set[str]]] = {}
+#: The job that writes each fact; it reads what those before it write. A topic of the log for
+#: each: the changes of its tables.
+TOPICS = jobs.JOINED_TABLES | {"contracts": jobs.CONTRACT_TABLES}
+FACT_JOBS = tuple(TOPICS)
 WRITTEN_BY = {"audit_cancel": "ends", "audit_reject": "ends", "audit_approve": "approvals", "lease_sign": "contracts", "lease_execution": "contracts"}
 
 
@@ -442,11 +446,12 @@ def _fact_layer(spark: SparkSession, sf_dir: str, fact: str) -> str:
         files += sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in found)
     key = (spark.sparkContext.applicationId, *files)
     if key not in _LAYERS:
-        _LAYERS[key] = (_log_files(spark, sf_dir), new_path(spark, "facts"), new_path(spark, "facts-checkpoint"), set())
-    log, layer, checkpoint, done = _LAYERS[key]
+        _LAYERS[key] = (new_path(spark, "facts"), new_path(spark, "facts-checkpoint"), set())
+    layer, checkpoint, done = _LAYERS[key]
     for job in FACT_JOBS[: FACT_JOBS.index(WRITTEN_BY.get(fact, "credits")) + 1]:
         if job in done:
             continue
+        log = _log_files(spark, sf_dir, *TOPICS[job])
         if job == "contracts":
             _finished(jobs.contract_job(spark, log, layer, f"{checkpoint}/{job}", available_now=True))
         else:

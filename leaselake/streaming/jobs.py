@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from leaselake.operators.dimensions import column_names, config_actions, dimensi
 from leaselake.operators.windows import SUMMARIES, rolled_up_days, summarize
 from leaselake.scratch import file_system
 from leaselake.sources.changelog import about, after_fences, config_snapshot, current_config, fact_changes, parse_changes, parse_config, read_values, snapshot_changes
-from leaselake.streaming.joins import approvals, credit_steps
+from leaselake.streaming.joins import OFFICER, WAITING, application_ends, approvals, credit_steps
 from leaselake.streaming.lifecycle import (
     APPLICATION_CELLS,
     APPROVED,
@@ -22,22 +23,24 @@ from leaselake.streaming.lifecycle import (
     KEEP_TTL_MS,
     ROCKSDB,
     STASH_TTL_MS,
-    application_ends,
     application_facts,
     contract_facts,
     expiry,
     typed_facts,
 )
 from leaselake.streaming.sinks import append_batch, batch_name, fan_out, has_batch, kept_fence, read_layer
-from leaselake.streaming.tables import day_table, ddl, dimension_table, drop_old_days
+from leaselake.streaming.tables import LogTable, day_table, ddl, dimension_table, drop_old_days, hash_part
 
 TRIGGER = "10 seconds"
 #: How far apart in event time the sides of a stream-stream join may be.
 PATIENCE = "400 days"
 APPLICATION_FACTS = ("audit_approve", "audit_cancel", "audit_reject", "credit_add", "credit_occupy", "contract_produced")
 CONTRACT_FACTS = ("lease_sign", "lease_execution")
-#: The jobs of ``joined_fact_jobs`` in order, each of which reads those before it.
-JOINED_JOBS = ("ends", "approvals", "credits")
+#: The jobs of ``joined_fact_jobs`` in order, each of which reads those before it, and the
+#: tables whose changes each of them takes; those of ``contract_job``.
+JOINED_TABLES = {"ends": ("credit_facility", "credit_facility_status"), "approvals": ("reply",), "credits": ("credit",)}
+JOINED_JOBS = tuple(JOINED_TABLES)
+CONTRACT_TABLES = ("contract",)
 PAYLOAD = "kind string, payload string, batch string"
 #: Most partitions of a job's state, if the cluster has not over half as many cores: each
 #: opens stores and, for a machine, starts a Python worker in every batch, and a
@@ -171,7 +174,7 @@ def joined_fact_jobs(
     spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False, files_per_batch: int | None = None, patience: str | None = PATIENCE, keep_ttl_ms: int | None = KEEP_TTL_MS, only: tuple[str, ...] = JOINED_JOBS
 ) -> list[StreamingQuery]:
     """The six fact tables under ``layer`` by the complete rules, in three chained
-    jobs: ends of applications with their officers, by a small state machine; their
+    jobs: ends of applications with their officers, batch by batch; their
     approvals with replies; steps of credits with approvals. The last two are joins of
     streams that wait for ``patience`` of event time. Bounded runs wait for ever, and
     run one after the other. ``only``: the jobs to start; each reads what those before
@@ -179,12 +182,14 @@ def joined_fact_jobs(
     session = job_session(spark)
     started = []
 
-    def run(name: str, tables: tuple[str, ...], kinds: tuple[str, ...], facts: Callable[[DataFrame], DataFrame]) -> None:
+    def run(name: str, facts: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> None:
         if name not in only:
             return
-        values = about(read_values(session, log, streaming=True, files_per_batch=files_per_batch), tables)
+        values = about(read_values(session, log, streaming=True, files_per_batch=files_per_batch), JOINED_TABLES[name])
+        if files_per_batch:  # a file is one task's; its messages are parsed by all
+            values = values.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "value")
         changes = fact_changes(parse_changes(values)[0])
-        started.append(_start(facts(changes), fan_out(kinds, layer), f"{checkpoint}/{name}", available_now))
+        started.append(_start(facts(changes), write, f"{checkpoint}/{name}", available_now))
         if available_now:
             started[-1].awaitTermination()
 
@@ -195,16 +200,36 @@ def joined_fact_jobs(
 
     wait = None if available_now else patience
     ttl = None if available_now else keep_ttl_ms
-    run("ends", ("credit_facility", "credit_facility_status"), (APPROVED, "audit_cancel", "audit_reject"), lambda changes: application_ends(changes, ttl))
-    run("approvals", ("reply",), ("audit_approve",), lambda changes: approvals(stream(APPROVED), changes, wait))
-    run("credits", ("credit",), ("credit_add", "credit_occupy", "contract_produced"), lambda changes: credit_steps(stream("audit_approve"), changes, wait))
+    run("ends", lambda changes: changes, _write_ends(session, layer, f"{checkpoint}/officers", ttl))
+    run("approvals", lambda changes: approvals(stream(APPROVED), changes, wait), fan_out(("audit_approve",), layer))
+    run("credits", lambda changes: credit_steps(stream("audit_approve"), changes, wait), fan_out(("credit_add", "credit_occupy", "contract_produced"), layer))
     return started
 
 
+def _write_ends(session: SparkSession, layer: str, officers: str, ttl_ms: int | None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: ends of applications to ``layer``, and the officers that wait
+    for one to a table in ``officers``. Its changes are kept by batch until the table
+    has them, so a batch that runs again finds the officers as it found them before."""
+    out = fan_out((APPROVED, "audit_cancel", "audit_reject"), layer, {OFFICER: f"{officers}/changes"})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = LogTable(batch.sparkSession, f"{officers}/table", WAITING, ["id"], hash_part("id"))
+        out(application_ends(batch, table.read(), int(time.time() * 1000), ttl_ms), batch_id)
+        made = batch.sparkSession.read.schema(PAYLOAD).parquet(f"{officers}/changes/batch={batch_name(session, batch_id)}")
+        changes = made.select(F.inline(F.array(F.from_json("payload", f"{WAITING}, deleted boolean"))))
+        if not changes.isEmpty():
+            table.append(changes, batch_id)
+            table.compact()
+        fs, before = file_system(session, f"{officers}/changes/batch={batch_name(session, batch_id - 1)}")
+        fs.delete(before, True)
+
+    return write
+
+
 def contract_job(spark: SparkSession, log: str, layer: str, checkpoint: str, available_now: bool = False, early_ttl_ms: int | None = None, keep_ttl_ms: int | None = KEEP_TTL_MS) -> StreamingQuery:
     """Contract changes and produced contracts of ``layer`` to the lease facts."""
     session = job_session(spark)
-    changes, _ = parse_changes(about(read_values(session, log, streaming=True), ("contract",)))
+    changes, _ = parse_changes(about(read_values(session, log, streaming=True), CONTRACT_TABLES))
     produced = session.readStream.schema(PAYLOAD).parquet(f"{layer}/contract_produced")
     facts = contract_facts(fact_changes(changes), produced.select("payload"), _expiry(CONTRACT_CELLS, available_now, early_ttl_ms, keep_ttl_ms))
     return _start(facts, fan_out(CONTRACT_FACTS, layer), checkpoint, available_now)

@@ -5,17 +5,25 @@ a join, in the JVM. With ``patience`` both sides have a watermark and rows pair
 that far apart in event time, after which the state lets them go; without, as in
 bounded runs, everything waits. Of several replies to one approval, and of a step
 that is delivered twice, one counts: the first that comes.
+
+Ends of applications do depend on the order: each takes the officer who came last. A
+batch is put in order by application, with the officers left over from those before it
+in a keyed table, which stands for state; it is read whole by each batch, and takes only what changed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaselake import schemas as S
 from leaselake.functions import event_time
 from leaselake.operators.projections import ROWS
-from leaselake.streaming.lifecycle import KINDS, STEPS, with_payload
+from leaselake.streaming.lifecycle import APPROVED, KINDS, STEPS, with_payload
+
+#: Changes to the officers that wait for their application's end.
+OFFICER = "officer"
+WAITING = "id string, employee_id string, since long"
 
 
 def _rows(changes: DataFrame, table: str) -> DataFrame:
@@ -41,6 +49,48 @@ def _paired(left: DataFrame, right: DataFrame, key: str, times: tuple[str, str],
     return both.dropDuplicatesWithinWatermark(once)
 
 
+def application_ends(changes: DataFrame, waiting: DataFrame, now_ms: int, ttl_ms: int | None = None) -> DataFrame:
+    """``kind, payload`` of a batch's ends of applications with their officers, as the
+    lifecycle gives them, and of kind ``OFFICER`` the changes to ``waiting(id,
+    employee_id, since)``, the officers that no end has used up: those that came, went,
+    or are older than ``ttl_ms`` at ``now_ms``. One shuffle by application."""
+    c = F.col
+    status, end = c("table") == "credit_facility_status", c("table") == "credit_facility"
+    counts = status & c("data")["status"].isin(*S.OFFICER_STATUSES)
+    ends = end & (c("type") == "update") & c("data")["status"].isin(S.APPROVED, S.REJECTED, S.CANCELLED)
+    image = F.struct(*[c("data")[field].alias(name) for name, field, _ in ROWS["credit_facility"]])
+    came = changes.where(counts | ends).select(
+        F.when(end, c("data")["id"]).otherwise(c("data")["credit_facility_id"]).alias("key"),
+        F.struct(F.lit(1).alias("new"), *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in S.POSITION]).alias("pos"),
+        end.alias("end"),
+        F.when(status, F.struct(c("data")["employee_id"].alias("employee_id"))).alias("officer"),
+        F.when(end, image).alias("row"),
+    )
+    fresh = F.lit(True) if ttl_ms is None else c("since") > now_ms - ttl_ms
+    first = F.struct(F.lit(0).alias("new"), *[F.lit(0).cast("long").alias(x) for x in S.POSITION]).alias("pos")
+    held = waiting.select(c("id").alias("key"), first, F.lit(False).alias("end"), F.when(fresh, F.struct("employee_id")).alias("officer"), F.lit(None).cast(came.schema["row"].dataType).alias("row"))
+    along = Window.partitionBy("key").orderBy("pos", "end")
+    before, so_far = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(c("officer").isNotNull(), F.struct("pos", "officer")), ignorenulls=True).over(so_far)
+    events = came.unionByName(held).select(
+        "*",
+        seen.alias("seen"),
+        F.last(F.when(c("end"), c("pos")), ignorenulls=True).over(before).alias("used"),
+        (F.first("pos").over(so_far)["new"] == 0).alias("known"),
+        F.lead("pos").over(along).isNull().alias("last"),
+    )
+    man = F.when(c("used").isNull() | (c("seen.pos") > c("used")), c("seen.officer.employee_id"))
+    kind = F.when(c("row.status") == S.APPROVED, APPROVED).when(c("row.status") == S.REJECTED, "audit_reject").otherwise("audit_cancel")
+    at = c("row.update_time")
+    full = events.withColumns({x: c("row")[x] for x in came.schema["row"].dataType.names} | {"audit_man_id": man, "approve_time": at, "reject_time": at, "cancel_time": at})
+    payload = F.coalesce(*[F.when(kind == k, F.to_json(F.struct(*KINDS[k]))) for k in (APPROVED, "audit_reject", "audit_cancel")])
+    gone = c("end") | c("officer").isNull()
+    stays = F.to_json(F.struct(c("key").alias("id"), c("officer.employee_id").alias("employee_id"), F.lit(now_ms).cast("long").alias("since"), gone.alias("deleted")))
+    changed = c("last") & F.when(gone, c("known")).otherwise(c("pos.new") == 1)
+    out = [F.when(c("end"), F.struct(kind.alias("kind"), payload.alias("payload"))), F.when(changed, F.struct(F.lit(OFFICER).alias("kind"), stays.alias("payload")))]
+    return full.select(F.inline(F.array_compact(F.array(*out))))
+
+
 def approvals(approved: DataFrame, changes: DataFrame, patience: str | None = None) -> DataFrame:
     """``kind, payload`` of audit_approve, from the layer of approved applications and
     the replies among fact changes."""

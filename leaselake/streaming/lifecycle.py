@@ -10,8 +10,7 @@ list for the early rows of each step, where every row expires by itself. Two mod
 * ``strict``: the narrower rules. A credit row without an approval is dropped, and
   each credit fact that is sent at once uses its approval up.
 
-``joins`` has the complete rules without order as stream-stream joins; there the
-machine only finds the officers.
+``joins`` has the complete rules as joins, without a machine.
 """
 
 from __future__ import annotations
@@ -355,21 +354,6 @@ class ApplicationLifecycle(_Machine):
         return application_step(state, table, kind, row, self.mode)
 
 
-class OfficerLifecycle(_Machine):
-    """State of an application: its officer. Gives the applications' ends."""
-
-    cells = {"audit_man": APPLICATION_CELLS["audit_man"]}
-
-    def __init__(self, ttl_ms: int | None = None):
-        super().__init__({"audit_man": ttl_ms} if ttl_ms else None)
-
-    def step(self, state, table, kind, row):
-        if table == "credit_facility_status":
-            officer_step(state, row)
-        elif (found := ended(state, row)) is not None:
-            yield found
-
-
 class ContractLifecycle(_Machine):
     """State of a credit: its produced contract, and early contract steps."""
 
@@ -422,15 +406,6 @@ def application_facts(changes: DataFrame, mode: str = "complete", ttl_ms: dict[s
     return _run(_keyed(changes.where(F.col("table") != "contract"), _application_key()), ApplicationLifecycle(mode, ttl_ms))
 
 
-def application_ends(changes: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """``kind, payload`` of applications that ended, with their officers: ``approved``,
-    ``audit_reject`` and ``audit_cancel``."""
-    two = changes.where(F.col("table").isin("credit_facility", "credit_facility_status"))
-    counts = (F.col("table") == "credit_facility_status") & F.col("data")["status"].isin(*S.OFFICER_STATUSES)
-    ends = (F.col("table") == "credit_facility") & (F.col("type") == "update") & F.col("data")["status"].isin(S.APPROVED, S.REJECTED, S.CANCELLED)
-    return _run(_keyed(two.where(counts | ends), _application_key()), OfficerLifecycle(ttl_ms), buckets)
-
-
 def contract_facts(changes: DataFrame, produced: DataFrame, ttl_ms: dict[str, int] | None = None) -> DataFrame:
     """``kind, payload`` of lease facts from contract changes and the payloads of
     contract_produced facts, in either order."""

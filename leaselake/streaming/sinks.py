@@ -55,23 +55,25 @@ def read_layer(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.option("basePath", path).parquet(path).drop("batch")
 
 
-def fan_out(kinds: tuple[str, ...], path: str) -> Callable[[DataFrame, int], None]:
+def fan_out(kinds: tuple[str, ...], path: str, elsewhere: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: tagged rows to one layer table per kind, as ``append_batch``
     does for one. The batch is written once, split by its kinds under a hidden name, so
-    the work before it is done once and nothing is cached."""
+    the work before it is done once and nothing is cached. ``elsewhere``: more kinds, by
+    the folder that each goes to."""
+    folders = {k: f"{path}/{k}" for k in kinds} | (elsewhere or {})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         name = batch_name(spark, batch_id)
         hidden = f"{path}/_{name}"
-        missing = [k for k in kinds if not exists(spark, f"{path}/{k}/batch={name}")]
+        missing = [k for k, folder in folders.items() if not exists(spark, f"{folder}/batch={name}")]
         if not missing:
             return
         mine = batch.where(F.col("kind").isin(*missing)).withColumn("_kind", F.col("kind"))
         mine.write.mode("overwrite").partitionBy("_kind").parquet(hidden)
         for kind in missing:
             fs, made = file_system(spark, f"{hidden}/_kind={kind}")
-            _, at = file_system(spark, f"{path}/{kind}/batch={name}")
+            _, at = file_system(spark, f"{folders[kind]}/batch={name}")
             fs.mkdirs(made)  # a batch without a row of the kind has a folder too
             fs.mkdirs(at.getParent())
             if not fs.rename(made, at) and not fs.exists(at):
