@@ -159,3 +159,38 @@ def test_giant_texts_cost_no_label(spark):
         only = labels.where(f"toxic <> {giant} OR doc_id % 4 = 0")
         rows = training_sample(docs, only, bounds=TrainingBounds(100, 100, 4000)).toPandas()
         assert rows[rows.label == giant].text.tolist() == ["l" * 4000]
+
+
+def test_all_labelled_rows_are_learned_from(spark, rng, monkeypatch):
+    """With more rows than one task is given, no row is left out of the fit, and the
+    mean of four tasks' networks still tells apart."""
+    from leaselake.llm import toxicity as module
+
+    rows = [(i, t, g, int(i % 5 == 0)) for i, t, g, _ in corpus(rng, 1500)]
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, x) for i, *_, x in rows], "doc_id long, toxic int")
+    seen = []
+    calibrate = module._calibrate
+    monkeypatch.setattr(module, "_calibrate", lambda model, z, y, langs, n: seen.append((n.sum(), (y * n).sum())) or calibrate(model, z, y, langs, n))
+    monkeypatch.setattr(module.TrainingBounds, "__init__", None)  # no sample is taken
+    model = fit_toxicity(docs, labels, rows_per_shard=250)
+    training = labels.where(module.in_training(labels["doc_id"]))
+    assert seen == [(training.count(), training.where("toxic = 1").count())]
+    scorer = Scorer(model)
+    score = lambda t: float(model.calibrated(np.array(scorer.logit(t))))
+    assert score(sentence(rng, 60)) < THRESHOLD <= score(sentence(rng, 60) + " insultax")
+
+
+def test_pieces_of_long_texts(rng, monkeypatch):
+    """Gradients of a text cut into pieces are those of the whole."""
+    from leaselake.llm import toxicity as module
+
+    texts = [sentence(rng, n) for n in (1, 2, 30, 31, 32, 33, 90)]
+    model, rows = small_model(rng), np.arange(7)
+    corpus_ = _Corpus(texts, len(model.embeddings))
+    given = (corpus_, rows, np.array([1.0, 0, 1, 0, 1, 0, 1]), np.ones(7))
+    whole = gradients(model, *given)
+    monkeypatch.setattr(module, "WORDS_AT_ONCE", 10)
+    parts = gradients(model, *given)
+    for a, b in zip([*whole[0], *whole[1:4], *whole[4]], [*parts[0], *parts[1:4], *parts[4]], strict=True):
+        assert np.allclose(a, b)
