@@ -21,8 +21,10 @@ import pickle
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -34,15 +36,19 @@ from leaselake.llm.staging import drop_staged, stage
 
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.7
-#: Words whose filter responses a task keeps at a time.
-WORDS_KEPT = 200_000
-#: Words of one text that are convolved at a time.
-WORDS_AT_ONCE = 1 << 15
+#: Words whose filter responses or feature buckets a task keeps at a time.
+WORDS_KEPT = 1 << 16
+#: Words that are convolved at a time: of one text, and of several short ones.
+WORDS_AT_ONCE, WORDS_TOGETHER = 1 << 15, 1 << 13
 #: Rows a task is fitted on, if there are no more than fill so many tasks; row visits of a
 #: network below which rows are passed more than twice.
 ROWS_PER_SHARD, SHARDS, VISITS = 8000, 16, 32_000
 #: Buckets whose embeddings are averaged together, and steps of a logit in the calibration.
 BLOCK, STEPS = 4096, 256
+#: Bits that labelled ids share: 4 MB.
+MARKS = 1 << 25
+#: Odd factors of a sum of feature buckets.
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -77,44 +83,135 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def features(word: str, buckets: int) -> list[int]:
-    """Buckets of a word and of its beginnings (bucket 0 is never used)."""
-    parts = [word, *("^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n or n == 3)]
-    return [1 + zlib.crc32(p.encode("utf-8", "surrogatepass")) % (buckets - 1) for p in parts]
-
-
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+class _Numbers:
+    """Numbers of the words met so far, in the order in which they came."""
+
+    def __init__(self):
+        self.number = defaultdict(count().__next__)
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's number, and the words that were not met before."""
+        base = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return found, [*islice(reversed(self.number), len(self.number) - base)][::-1]
+
+
+def _crc_table() -> np.ndarray:
+    """The CRC-32 of each byte, without the inversions before and after."""
+    crc = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        crc = (crc >> 1) ^ np.where(crc & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return crc
+
+
+CRC, ONES = _crc_table(), np.uint32(0xFFFFFFFF)
+
+
+def features(words: list[str], buckets: int) -> np.ndarray:
+    """Five numbers a word: the bucket of its CRC-32, of ``^`` and its first three letters, and of
+    ``^`` and four to six if it has more; 0, which is no bucket, in place of missing ones."""
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    whole = np.fromiter(map(zlib.crc32, coded), np.int64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer(b"".join(coded) + b"\0", np.uint8)
+    letters = np.flatnonzero((text & 0xC0) != 0x80)  # where a letter begins; the last is the end
+    first = np.cumsum(size) - size
+    out = np.zeros((len(words), 5), np.int64)
+    out[:, 0] = 1 + whole % (buckets - 1)
+    at, crc = letters[first], np.full(len(words), np.uint32(zlib.crc32(b"^")) ^ ONES)
+    for n in range(1, 7):
+        end = letters[first + np.minimum(n, size)]
+        while (on := at < end).any():  # one step, or as many as the longest letter has bytes
+            crc = np.where(on, CRC[(crc ^ text[at]) & 0xFF] ^ (crc >> 8), crc)
+            at = at + on
+        if n > 2:
+            out[:, n - 2] = np.where((size > n) | (n == 3), 1 + (crc ^ ONES).astype(np.int64) % (buckets - 1), 0)
+    return out
+
+
 class _Corpus:
     """Training texts as word numbers, with each word's feature buckets."""
 
     def __init__(self, texts: list[str | None], buckets: int):
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)] or [number.setdefault("", len(number))]) for t in texts]
-        self.feats = np.zeros((len(number), 5), np.int64)
-        for w, i in number.items():
-            f = features(w, buckets)
-            self.feats[i, : len(f)] = f
+        self.feats = features(list(number), buckets)
         self.counts = (self.feats > 0).sum(axis=1, keepdims=True)
 
     @classmethod
     def of(cls, words: list[bytes], feats: list[bytes]) -> _Corpus:
-        """Of texts as ``encoded`` writes them."""
+        """Of texts as ``Encoder`` writes them."""
         self = cls.__new__(cls)
         own = [_ints(f).reshape(-1, 5) for f in feats]
-        self.feats, at = np.unique(np.concatenate(own), axis=0, return_inverse=True)
-        at, ends = at.ravel(), np.cumsum([len(f) for f in own])
+        self.feats, at = _distinct_rows(np.concatenate(own))
+        ends = np.cumsum([len(f) for f in own])
         self.docs = [at[end - len(f) :][_ints(w)] for w, f, end in zip(words, own, ends.tolist(), strict=True)]
         self.counts = (self.feats > 0).sum(axis=1, keepdims=True)
         return self
 
 
-def encoded(text: str | None, buckets: int) -> tuple[bytes, bytes]:
-    """A text's words as numbers, and the feature buckets of each number."""
-    one = _Corpus([text], buckets)
-    return _packed(one.docs[0]), _packed(one.feats)
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers, and each row's place among them."""
+    _, at = np.unique(rows.astype(np.uint64) @ MIX[: rows.shape[1]], return_inverse=True)
+    place = np.empty(int(at.max()) + 1 if len(at) else 0, np.int64)
+    place[at] = np.arange(len(at))
+    if (rows[place][at] != rows).any():  # two rows with one sum
+        found, at = np.unique(rows, axis=0, return_inverse=True)
+        return found, at.ravel()
+    return rows[place], at
+
+
+def _distinct(numbers: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique`` with the inverse, for numbers under ``below``, without a sort."""
+    met = np.zeros(below, bool)
+    met[numbers] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[numbers]
+
+
+class Encoder:
+    """Writes a text's words as numbers, and the feature buckets of each number; keeps
+    the buckets of the words it has met."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.feats = _Numbers(), np.zeros((1024, 5), np.int32)
+
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text, in order; words of several short texts are looked up together."""
+        flat: list[str] = []
+        sizes: list[int] = []
+        for text in texts:
+            words = words_of(text) or [""]
+            if flat and len(flat) + len(words) > WORDS_TOGETHER:
+                yield from self._written(flat, sizes)
+                flat, sizes = [], []
+            flat += words
+            sizes.append(len(words))
+        if flat:
+            yield from self._written(flat, sizes)
+
+    def _written(self, flat: list[str], sizes: list[int]) -> Iterator[tuple[bytes, bytes]]:
+        if len(self.known) > WORDS_KEPT:
+            self._forget()
+        base = len(self.known)
+        found, new = self.known.of(flat)
+        while base + len(new) > len(self.feats):
+            self.feats = np.vstack([self.feats, np.zeros_like(self.feats)])
+        if new:
+            self.feats[base : base + len(new)] = features(new, self.buckets)
+        for own in np.split(found, np.cumsum(sizes)[:-1]):
+            own, words = np.unique(own, return_inverse=True)
+            yield _packed(words), _packed(self.feats[own])
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -244,40 +341,54 @@ def _word_vectors(model: Model, feats: np.ndarray, counts: np.ndarray) -> np.nda
     return words
 
 
+def _table(model: Model) -> np.ndarray:
+    """All filters, offset by offset: a column for each response of one word."""
+    return np.hstack([f[j] for f in model.filters for j in range(len(f))])
+
+
 def _responses(model: Model, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each width: (first filter, largest response and its place per text). A
-    text shorter than the filter is filled up with the zeros behind it."""
-    first = 0
+    """``_largest`` for texts that are laid out as word vectors."""
+    return _largest(model, _table(model).T @ words.T, starts, ends)
+
+
+def _largest(model: Model, by_word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each width: (first filter, largest response and its place per text).
+    ``by_word`` has a row for each column of ``_table`` and a column for each word, with
+    zeros behind each text, which fill up a text shorter than the filter."""
+    first, row, m = 0, 0, int(ends[-1])
     for filt in model.filters:
         k, n = len(filt), filt.shape[2]
-        padded = np.vstack([words, np.zeros((k - 1, words.shape[1]))])
-        z = sum(padded[j : j + len(words)] @ filt[j] for j in range(k))
-        best, place = np.empty((len(ends), n)), np.empty((len(ends), n), np.int64)
+        z = by_word[row : row + n, :m]
+        for j in range(1, k):
+            z = z + by_word[row + j * n : row + (j + 1) * n, j : m + j]
+        row += k * n
+        place = np.empty((len(ends), n), np.int64)
         for d, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            stop = max(start + 1, end - k + 1)
-            place[d] = start + z[start:stop].argmax(axis=0)
-            best[d] = z[place[d], np.arange(n)]
-        yield first, best, place
+            place[d] = start + z[:, start : max(start + 1, end - k + 1)].argmax(axis=1)
+        yield first, z[np.arange(n), place], place
         first += n
 
 
 def _top(model: Model, corpus: _Corpus, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Largest response of each filter in each text, and its word's place there. Long
     texts are cut into pieces that overlap, so memory does not grow with a text's
-    responses; a word's vector is made once for all its places in a group of pieces."""
+    responses; a word's own responses are made once for all its places in a group of pieces."""
     longest, n = max(model.widths), len(model.bias)
     pieces = [(d, a, doc[a : a + WORDS_AT_ONCE + longest - 1]) for d, doc in enumerate(docs) for a in range(0, max(1, len(doc) - longest + 1), WORDS_AT_ONCE)]
     best, place = np.full((len(docs), n), -np.inf), np.zeros((len(docs), n), np.int64)
     group = np.cumsum([len(p) for *_, p in pieces]) // (4 * WORDS_AT_ONCE)
+    table = _table(model).T
     for g in np.unique(group).tolist():
         mine = [pieces[i] for i in np.flatnonzero(group == g)]
         sizes = np.array([len(p) for *_, p in mine], np.int64)
         ends = np.cumsum(sizes + longest - 1) - (longest - 1)
         starts = ends - sizes
-        known, at = np.unique(np.concatenate([p for *_, p in mine]), return_inverse=True)
-        words = np.zeros((int(ends[-1]) + longest - 1, model.embeddings.shape[1]))
-        words[np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())] = _word_vectors(model, corpus.feats[known], corpus.counts[known])[at]
-        for first, top, where in _responses(model, words, starts, ends):
+        known, at = _distinct(np.concatenate([p for *_, p in mine]), len(corpus.feats))
+        own = np.zeros((len(table), len(known) + 1))  # the last for no word
+        own[:, :-1] = table @ _word_vectors(model, corpus.feats[known], corpus.counts[known]).T
+        laid = np.full(int(ends[-1]) + longest - 1, len(known))
+        laid[np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())] = at
+        for first, top, where in _largest(model, own.take(laid, axis=1), starts, ends):
             cells = slice(first, first + top.shape[1])
             for (d, a, _), t, w, start in zip(mine, top, where, starts.tolist(), strict=True):
                 up = t > best[d, cells]
@@ -427,57 +538,72 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.buckets = len(model.embeddings)
-        self.table = np.hstack([f[j] for f in model.filters for j in range(len(f))])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.table.shape[1]), np.float32)
+        self.table = _table(model).astype(np.float32)
+        self.longest = max(model.widths)
+        # the last row is no word's; pages of rows that are not reached are never touched
+        self.rows = np.zeros((WORDS_KEPT + max(WORDS_AT_ONCE, WORDS_TOGETHER) + self.longest, self.table.shape[1]), np.float32)
+        self.known = _Numbers()
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > WORDS_KEPT:
-            self._forget()
-        known = self.number
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        """Rows of at most so many words as are convolved at a time."""
+        if len(self.known) > WORDS_KEPT:
+            self.known = _Numbers()
+        base = len(self.known)
+        found, new = self.known.of(words)
         if new:
-            base = len(known)
-            known.update(zip(new, range(base, base + len(new)), strict=True))
-            feats = [features(w, self.buckets) for w in new]
-            sizes = np.array([len(f) for f in feats])
-            flat = self.model.embeddings[np.concatenate(feats)]
-            mean = np.add.reduceat(flat, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / sizes[:, None]
-            while base + len(new) > len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[base : base + len(new)] = mean @ self.table
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            feats = features(new, self.buckets)
+            mean = _word_vectors(self.model, feats, (feats > 0).sum(axis=1, keepdims=True))
+            self.rows[base : base + len(new)] = mean.astype(np.float32) @ self.table
+        return found
 
     def logit(self, text: str | None) -> float:
-        words = words_of(text) or [""]
-        model, best = self.model, None
-        longest = max(model.widths)
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = words[at : at + WORDS_AT_ONCE + longest - 1]
-            rows = self.rows_of(part)
-            found, column = [], 0
-            for filt in model.filters:
-                k, n = len(filt), filt.shape[2]
-                size = len(part) - k + 1
-                if size < 1:  # shorter than the filter: the missing words are zeros
-                    z = sum(rows[j, column + j * n : column + (j + 1) * n] for j in range(len(part)))
-                    found.append(z)
-                else:
-                    z = rows[:size, column : column + n]
-                    for j in range(1, k):
-                        z = z + rows[j : j + size, column + j * n : column + (j + 1) * n]
-                    found.append(z.max(axis=0))
-                column += k * n
-            top = np.concatenate(found)
-            best = top if best is None else np.maximum(best, top)
-        return float(np.maximum(best + model.bias, 0) @ model.out + model.out_bias)
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        numbers = self._numbers(words)
-        return self.rows[numbers]
+        return float(self.logits([text])[0])
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Short texts are convolved together, long ones in pieces that overlap."""
+        best = np.full((len(texts), len(self.model.bias)), -np.inf, np.float32)
+        flat: list[str] = []
+        rows, sizes = [], []
+        for d, text in enumerate(texts):
+            words = words_of(text) or [""]
+            for at in range(0, max(1, len(words) - self.longest + 1), WORDS_AT_ONCE):
+                part = words[at : at + WORDS_AT_ONCE + self.longest - 1] if len(words) > WORDS_AT_ONCE else words
+                if flat and len(flat) + len(part) > WORDS_TOGETHER:
+                    self._pool(best, flat, rows, sizes)
+                    flat, rows, sizes = [], [], []
+                flat += part
+                rows.append(d)
+                sizes.append(len(part))
+        if flat:
+            self._pool(best, flat, rows, sizes)
+        model = self.model
+        return np.maximum(best + model.bias, 0) @ model.out + model.out_bias
+
+    def _pool(self, best: np.ndarray, flat: list[str], rows: list[int], sizes: list[int]) -> None:
+        """Raises ``best`` to the largest responses of texts, or pieces, that stand one
+        behind the other in ``flat``."""
+        own = self.rows[self._numbers(flat)]
+        size = np.array(sizes, np.int64)
+        ends = np.cumsum(size)
+        starts, at = ends - size, np.array(rows, np.int64)
+        first = column = 0
+        for filt in self.model.filters:
+            k, n = len(filt), filt.shape[2]
+            m = max(0, len(own) - k + 1)
+            z = own[:m, column : column + n]
+            for j in range(1, k):
+                z = z + own[j : m + j, column + j * n : column + (j + 1) * n]
+            full = size >= k
+            top = np.zeros((len(size), n), np.float32)
+            if full.any():
+                # places from a text's last whole window on belong to no text
+                cuts = np.column_stack([starts[full], ends[full] - k + 1]).ravel()
+                top[full] = np.maximum.reduceat(z, cuts[cuts < m], axis=0)[::2]
+            for d in np.flatnonzero(~full).tolist():  # shorter than the filter: the missing words are zeros
+                top[d] = sum(own[starts[d] + j, column + j * n : column + (j + 1) * n] for j in range(sizes[d]))
+            cells = slice(first, first + n)
+            np.maximum.at(best[:, cells], at, top)
+            first, column = first + n, column + k * n
 
 
 def in_training(id_col: Column, parts: int = 3, held_out: int = 1) -> Column:
@@ -494,6 +620,18 @@ def _texts(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
 
 
+def _labelled(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The texts that have a label, with it. Hashes of the labelled ids go to all tasks as bits, 64 a
+    row and never more than ``MARKS`` of them; only texts whose id finds its bit set are shuffled to
+    the join that decides. The plan is the same whatever the size: no join broadcasts the labels."""
+    if texts.schema["_id"].dataType == kinds.schema["_id"].dataType:  # else equal ids need not have one hash
+        place, at = F.pmod(F.xxhash64("_id"), F.lit(MARKS)), F.col("_at")
+        bits = kinds.select(place.alias("_at")).groupBy(F.shiftright(at, 6).alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 AS int)))").alias("_bits"))
+        near = texts.where(in_training(F.col("_id"))).withColumn("_at", place).withColumn("_slot", F.shiftright(at, 6))
+        texts = near.join(F.broadcast(bits), "_slot").where(F.getbit("_bits", (at % 64).cast("int")) == 1).select(*texts.columns)
+    return texts.join(kinds.hint("shuffle_hash"), "_id")
+
+
 def training_sample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", bounds: TrainingBounds | None = None
 ) -> DataFrame:
@@ -514,7 +652,7 @@ def fit_toxicity(
     counts, networks and responses are made by tasks that stream them, and only what
     does not grow with them comes to the driver."""
     texts = _texts(docs, id_col, text, lang)
-    rows = texts.join(_kinds(labels, id_col, label), "_id") if bounds is None else training_sample(docs, labels, id_col, text, lang, label, bounds)
+    rows = _labelled(texts, _kinds(labels, id_col, label)) if bounds is None else training_sample(docs, labels, id_col, text, lang, label, bounds)
     return _fitted(rows, n_folds, rows_per_shard, **params)
 
 
@@ -522,9 +660,12 @@ def _fitted(
     rows: DataFrame, n_folds: int, rows_per_shard: int, buckets: int = 1 << 15, dim: int = 12, per_width: int = 4, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 4, batch: int = 64, seed: int = 3
 ) -> Model:
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(buckets)
         for frame in frames:
-            cells = [encoded(t, buckets) for t in frame["text"]]
-            yield frame.drop(columns="text").assign(words=[w for w, _ in cells], feats=[f for _, f in cells])
+            for at in range(0, len(frame), 1000):
+                part = frame.iloc[at : at + 1000]
+                cells = [*encoder.encoded(part["text"].tolist())]
+                yield part.drop(columns="text").assign(words=[w for w, _ in cells], feats=[f for _, f in cells])
 
     fold = (F.crc32(F.concat(F.lit("v"), F.col("_id").cast("string"))) % n_folds).cast("int").alias("fold")
     coded = rows.select(fold, F.col("label").cast("int").alias("label"), "lang", "text")
@@ -657,7 +798,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", to: str =
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            yield pd.Series(sent.value.calibrated(np.array([scorer.logit(t) for t in batch], np.float64)))
+            yield pd.Series(sent.value.calibrated(scorer.logits(batch.tolist())), dtype="float64")
 
     return docs.withColumn(to, scored(F.col(text).cast("string")))
 

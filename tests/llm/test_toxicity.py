@@ -194,3 +194,54 @@ def test_pieces_of_long_texts(rng, monkeypatch):
     parts = gradients(model, *given)
     for a, b in zip([*whole[0], *whole[1:4], *whole[4]], [*parts[0], *parts[1:4], *parts[4]], strict=True):
         assert np.allclose(a, b)
+
+
+def test_buckets_of_words():
+    """Made for many words at once, they are those of the words' checksums one by one."""
+    import zlib
+
+    from leaselake.llm.toxicity import features
+
+    words = ["", "a", "abc", "abcd", "abcde", "abcdef", "abcdefg", "éàüöß", "ééééééééé", "\ud800bcdefg", "日本語テキストです", "a日b語cテdキ"]
+    for word, row in zip(words, features(words, 1000).tolist(), strict=True):
+        parts = [word, *("^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n or n == 3)]
+        assert row == ([1 + zlib.crc32(p.encode("utf-8", "surrogatepass")) % 999 for p in parts] + [0] * 4)[:5]
+
+
+def test_scorer_forgets_words(rng, monkeypatch):
+    """What a task keeps is bounded, and forgetting changes no score."""
+    from leaselake.llm import toxicity as module
+
+    model = small_model(rng)
+    texts = ["", *(f"w{i} " * (i % 5) + sentence(rng, i % 50) + f" x{i} y{i}" for i in range(300)), None, "one"]
+    whole = Scorer(model).logits(texts)
+    monkeypatch.setattr(module, "WORDS_KEPT", 50)
+    monkeypatch.setattr(module, "WORDS_AT_ONCE", 16)
+    monkeypatch.setattr(module, "WORDS_TOGETHER", 30)
+    scorer = Scorer(model)
+    assert np.allclose(scorer.logits(texts), whole, atol=1e-6) and np.allclose([scorer.logit(t) for t in texts], whole, atol=1e-6)
+    assert len(scorer.known) <= len(scorer.rows) <= 90
+    coded = [*module.Encoder(200).encoded(texts)]
+    again = _Corpus.of(*map(list, zip(*coded, strict=True)))
+    plain = _Corpus(texts, 200)
+    assert all((again.feats[a] == plain.feats[b]).all() for a, b in zip(again.docs, plain.docs, strict=True))
+    monkeypatch.undo()
+    assert Scorer(side := module.side_by_side([module._drawn(np.random.default_rng(0), 1 << 15, 12, 4, (1, 2, 3))] * 4)).rows.nbytes < 40e6 and side.filters[0].shape == (1, 48, 16)
+
+
+def test_labels_find_their_texts_by_one_plan(spark, monkeypatch):
+    """Small labels are not broadcast, so that what is shuffled grows as the input; texts without a
+    label mostly stay behind, and none with one does, however many ids share a bit."""
+    from leaselake.llm import toxicity as module
+
+    docs = spark.createDataFrame([(i, f"t{i}", None) for i in [*range(3000), -7, None]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(0, 3000, 30), -7, 9999]] + [(None, 1)], "doc_id long, toxic int")
+    texts = module._texts(docs, "doc_id", "text", "lang")
+    for marks in (module.MARKS, 64, 1):
+        monkeypatch.setattr(module, "MARKS", marks)
+        for kind in ("long", "int", "string"):
+            kinds = module._kinds(labels.withColumn("doc_id", labels["doc_id"].cast(kind)), "doc_id", "toxic")
+            joined = module._labelled(texts, kinds)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and ("getbit" in plan) == (kind == "long")
+            assert sorted(map(tuple, joined.select("_id", "text", "label").collect())) == sorted(map(tuple, texts.join(kinds, "_id").select("_id", "text", "label").collect()))
