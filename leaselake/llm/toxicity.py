@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from itertools import count, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -656,20 +656,43 @@ def fit_toxicity(
     return _fitted(rows, n_folds, rows_per_shard, **params)
 
 
+#: Columns of what tasks give back.
+ROWS = {"fold": pa.int32(), "label": pa.int32(), "lang": pa.string(), "words": pa.binary(), "feats": pa.binary()}
+COUNTS = {"fold": pa.int32(), "label": pa.int32(), "bucket": pa.int32(), "n": pa.int64()}
+BLOCKS = {"fold": pa.int32(), "block": pa.int32(), "data": pa.binary()}
+SAID = {"lang": pa.string(), "label": pa.int32(), "z": pa.int64()}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{c} {names[kind]}" for c, kind in columns.items())
+
+
+def _batch(columns: dict[str, pa.DataType], **values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(values[c], kind) for c, kind in columns.items()], names=list(columns))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int, rng: np.random.Generator | None = None) -> Iterator[dict[str, list]]:
+    """Batches as lists by column, so many rows at a time, since Python's copy of a whole batch would
+    be the largest thing in a task; with ``rng`` in random order within a batch."""
+    for batch in batches:
+        order = np.arange(batch.num_rows) if rng is None else rng.permutation(batch.num_rows)
+        for at in range(0, len(order), rows):
+            yield (batch.slice(at, rows) if rng is None else batch.take(pa.array(order[at : at + rows]))).to_pydict()
+
+
 def _fitted(
     rows: DataFrame, n_folds: int, rows_per_shard: int, buckets: int = 1 << 15, dim: int = 12, per_width: int = 4, widths: tuple[int, ...] = (1, 2, 3), epochs: int = 4, batch: int = 64, seed: int = 3
 ) -> Model:
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(buckets)
-        for frame in frames:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at : at + 1000]
-                cells = [*encoder.encoded(part["text"].tolist())]
-                yield part.drop(columns="text").assign(words=[w for w, _ in cells], feats=[f for _, f in cells])
+        for part in _parts(batches, 1000):
+            words, feats = zip(*encoder.encoded(part.pop("text")), strict=True)
+            yield _batch(ROWS, **part, words=words, feats=feats)
 
     fold = (F.crc32(F.concat(F.lit("v"), F.col("_id").cast("string"))) % n_folds).cast("int").alias("fold")
     coded = rows.select(fold, F.col("label").cast("int").alias("label"), "lang", "text")
-    coded = stage(coded.mapInPandas(encode, "fold int, label int, lang string, words binary, feats binary"), "toxicity-rows")
+    coded = stage(coded.mapInArrow(encode, _schema(ROWS)), "toxicity-rows")
     sizes = {(r["fold"], r["label"]): r["n"] for r in coded.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two a fold
     total = sum(sizes.values())
     n1, n0 = ({k: sum(n for (own, kind), n in sizes.items() if own != k and kind == label) for k in range(n_folds)} for label in (1, 0))
@@ -698,15 +721,15 @@ def _fitted(
 def _counted(coded: DataFrame, n_folds: int, buckets: int) -> dict[tuple[int, int], np.ndarray]:
     """Of how many texts of each fold and label each bucket is a feature."""
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((n_folds, 2, buckets), np.int64)
-        for frame in frames:
-            for k, label, feats in zip(frame["fold"], frame["label"], frame["feats"], strict=True):
+        for part in _parts(batches, 1000):
+            for k, label, feats in zip(part["fold"], part["label"], part["feats"], strict=True):
                 found[k, int(label > 0), np.unique(_ints(feats))] += 1
         k, label, at = np.nonzero(found)
-        yield pd.DataFrame({"fold": k, "label": label, "bucket": at, "n": found[k, label, at]})
+        yield _batch(COUNTS, fold=k, label=label, bucket=at, n=found[k, label, at])
 
-    sums = coded.select("fold", "label", "feats").mapInPandas(counted, "fold int, label int, bucket int, n long").groupBy("fold", "label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = coded.select("fold", "label", "feats").mapInArrow(counted, _schema(COUNTS)).groupBy("fold", "label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = {(k, label): np.zeros(buckets) for k in range(n_folds) for label in (0, 1)}
     for (k, label), own in sums.groupby(["fold", "label"]):
         out[k, label][own["bucket"]] = own["n"]
@@ -719,35 +742,34 @@ def _round(dealt: DataFrame, fitters: dict[int, _Fitter], weight: dict[int, tupl
     spark = dealt.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps(fitters))
 
-    def passed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, _Fitter] = pickle.loads(sent.value)
         done = dict.fromkeys(mine, 0)
         for fitter in mine.values():
             fitter.touched[:] = 0
-        rng = np.random.default_rng(turn)
-        for frame in frames:
-            frame = frame.iloc[rng.permutation(len(frame))]
-            for at in range(0, len(frame), at_once):
-                part = frame.iloc[at : at + at_once]
-                corpus, labels, own = _Corpus.of(part["words"].tolist(), part["feats"].tolist()), part["label"].to_numpy(np.float64), part["fold"].to_numpy()
-                for k, fitter in mine.items():
-                    fit = np.flatnonzero(own != k)
-                    if len(fit):
-                        fitter.step(corpus, fit, labels, weight[k])
-                        done[k] += len(fit)
+        for part in _parts(batches, at_once, np.random.default_rng(turn)):
+            corpus, labels, own = _Corpus.of(part["words"], part["feats"]), np.array(part["label"], np.float64), np.array(part["fold"])
+            for k, fitter in mine.items():
+                fit = np.flatnonzero(own != k)
+                if len(fit):
+                    fitter.step(corpus, fit, labels, weight[k])
+                    done[k] += len(fit)
         for k, fitter in mine.items():
             if done[k]:
                 table = np.column_stack([fitter.model.embeddings, fitter.squares]) * fitter.touched[:, None]
                 table = np.column_stack([table, fitter.touched]).astype(np.float32)
-                blocks = [(k, at, table[at : at + BLOCK].tobytes()) for at in range(0, len(table), BLOCK)]
-                yield pd.DataFrame([*blocks, (k, -1, np.append(fitter.flat() * done[k], done[k]).tobytes())], columns=["fold", "block", "data"])
-
-    def added(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float64 if key[1] < 0 else np.float32
-        return pd.DataFrame({"fold": [key[0]], "block": [key[1]], "data": [sum(np.frombuffer(x, kind).astype(np.float64) for x in sorted(frame["data"])).tobytes()]})
-
-    schema = "fold int, block int, data binary"
-    for r in dealt.select("fold", "label", "words", "feats").mapInPandas(passed, schema).groupBy("fold", "block").applyInPandas(added, schema).collect():
+                at = range(0, len(table), BLOCK)
+                data = [*(table[a : a + BLOCK].tobytes() for a in at), np.append(fitter.flat() * done[k], done[k]).tobytes()]
+                yield _batch(BLOCKS, fold=[k] * len(data), block=[*at, -1], data=data)
+
+    def added(table: pa.Table) -> pa.Table:
+        k, block = table["fold"][0].as_py(), table["block"][0].as_py()
+        kind = np.float64 if block < 0 else np.float32
+        total = sum(np.frombuffer(x, kind).astype(np.float64) for x in sorted(table["data"].to_pylist()))
+        return pa.Table.from_batches([_batch(BLOCKS, fold=[k], block=[block], data=[total.tobytes()])])
+
+    schema = _schema(BLOCKS)
+    for r in dealt.select("fold", "label", "words", "feats").mapInArrow(passed, schema).groupBy("fold", "block").applyInArrow(added, schema).collect():
         fitter, data = fitters[r["fold"]], np.frombuffer(r["data"], np.float64)
         if r["block"] < 0:
             fitter.take(data[:-1] / data[-1])
@@ -766,22 +788,20 @@ def _unseen(coded: DataFrame, model: Model, members: dict[int, Model]) -> None:
     spark = coded.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps(members))
 
-    def said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_fold = pickle.loads(sent.value)
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                corpus = _Corpus.of(part["words"].tolist(), part["feats"].tolist())
-                z = np.full(len(part), np.nan)
-                for k, member in by_fold.items():
-                    own = np.flatnonzero(part["fold"].to_numpy() == k)
-                    if len(own):
-                        best, _ = _top(member, corpus, [corpus.docs[i] for i in own])
-                        z[own] = np.maximum(best + member.bias, 0) @ member.out + member.out_bias
-                known = ~np.isnan(z)
-                yield pd.DataFrame({"lang": part["lang"][known], "label": part["label"][known], "z": np.rint(z[known] * STEPS).astype(np.int64)})
-
-    found = coded.select("fold", "label", "lang", "words", "feats").mapInPandas(said, "lang string, label int, z long").groupBy("lang", "label", "z").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        for part in _parts(batches, 256):
+            corpus, fold = _Corpus.of(part["words"], part["feats"]), np.array(part["fold"])
+            z = np.full(len(fold), np.nan)
+            for k, member in by_fold.items():
+                own = np.flatnonzero(fold == k)
+                if len(own):
+                    best, _ = _top(member, corpus, [corpus.docs[i] for i in own])
+                    z[own] = np.maximum(best + member.bias, 0) @ member.out + member.out_bias
+            known = np.flatnonzero(~np.isnan(z))
+            yield _batch(SAID, lang=[part["lang"][i] for i in known], label=[part["label"][i] for i in known], z=np.rint(z[known] * STEPS).astype(np.int64))
+
+    found = coded.select("fold", "label", "lang", "words", "feats").mapInArrow(said, _schema(SAID)).groupBy("lang", "label", "z").agg(F.count(F.lit(1)).alias("n")).toPandas()
     sent.destroy()
     found = found.sort_values(["z", "label", "lang"])
     langs = [x if isinstance(x, str) else None for x in found["lang"]]
@@ -794,11 +814,13 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", to: str =
     its place and its columns, and an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            yield pd.Series(sent.value.calibrated(scorer.logits(batch.tolist())), dtype="float64")
+            # a part at a time becomes Python's strings
+            parts = [scorer.logits(batch.slice(at, 1000).to_pylist()) for at in range(0, len(batch), 1000)]
+            yield pa.array(sent.value.calibrated(np.concatenate([np.zeros(0), *parts])), pa.float64())
 
     return docs.withColumn(to, scored(F.col(text).cast("string")))
 
