@@ -623,13 +623,14 @@ def _texts(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
 def _labelled(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     """The texts that have a label, with it. Hashes of the labelled ids go to all tasks as bits, 64 a
     row and never more than ``MARKS`` of them; only texts whose id finds its bit set are shuffled to
-    the join that decides. The plan is the same whatever the size: no join broadcasts the labels."""
+    the join that decides. The plan is the same whatever the size: no join broadcasts the labels,
+    and the rows of a partition, which are fitted in their order, come sorted by id."""
     if texts.schema["_id"].dataType == kinds.schema["_id"].dataType:  # else equal ids need not have one hash
         place, at = F.pmod(F.xxhash64("_id"), F.lit(MARKS)), F.col("_at")
         bits = kinds.select(place.alias("_at")).groupBy(F.shiftright(at, 6).alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 AS int)))").alias("_bits"))
         near = texts.where(in_training(F.col("_id"))).withColumn("_at", place).withColumn("_slot", F.shiftright(at, 6))
         texts = near.join(F.broadcast(bits), "_slot").where(F.getbit("_bits", (at % 64).cast("int")) == 1).select(*texts.columns)
-    return texts.join(kinds.hint("shuffle_hash"), "_id")
+    return texts.join(kinds.hint("merge"), "_id")
 
 
 def training_sample(
