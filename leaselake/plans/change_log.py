@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaselake.scratch import NO_LEFTOVERS, with_conf
 from leaselake.sources.lease_views import lease_view
 
 _NO_MAP = "map<string,string>"
@@ -104,7 +105,8 @@ def as_json(log: DataFrame) -> DataFrame:
 def write_log(values: DataFrame, path: str, mode: str = "error") -> None:
     """Lines of a log as compressed text: names repeat in each of them, so the fastest
     level leaves little."""
-    values.write.mode(mode).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    with with_conf(values.sparkSession, NO_LEFTOVERS):
+        values.write.mode(mode).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def config_lines(run: int) -> list[str]:

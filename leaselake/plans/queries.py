@@ -15,7 +15,7 @@ from leaselake.operators import dimensions, facts
 from leaselake.operators.enrich import with_hierarchies, with_officer_name
 from leaselake.operators.windows import SUMMARIES, rolled_up, summarize, tumbling_summary
 from leaselake.plans.change_log import as_json, config_lines, dimension_log, lease_log, write_log
-from leaselake.scratch import file_system, new_path
+from leaselake.scratch import drop_path, file_system, new_path
 from leaselake.sources.changelog import fact_changes, parse_changes, read_values, split_contracts
 from leaselake.sources.lease_views import BASE, lease_view, with_views
 from leaselake.streaming import jobs
@@ -365,20 +365,40 @@ def _finished(query) -> None:
         query.stop()
 
 
-def _facts_by_stream(spark: SparkSession, sf_dir: str, mode: str) -> tuple[str, str]:
-    """``complete`` by joins of streams; ``keyed`` and ``strict`` by the state machine."""
-    log, layer, checkpoint = _log_files(spark, sf_dir), new_path(spark, "facts"), new_path(spark, "facts-checkpoint")
-    if mode == "complete":
-        for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True):
+#: The jobs that write the facts, in order, and a topic of the log for each: the changes of
+#: its tables.
+TOPICS = jobs.JOINED_TABLES | {"contracts": jobs.CONTRACT_TABLES}
+FACT_JOBS = tuple(TOPICS)
+
+
+def _run_fact_job(spark: SparkSession, sf_dir: str, job: str, layer: str, checkpoint: str) -> None:
+    """One of ``FACT_JOBS`` on its topic, which goes with the job's checkpoint when all of
+    it has been read: what is on disk is one topic at a time, and the layer."""
+    log = _log_files(spark, sf_dir, *TOPICS[job])
+    if job == "contracts":
+        _finished(jobs.contract_job(spark, log, layer, f"{checkpoint}/{job}", available_now=True))
+    else:
+        for query in jobs.joined_fact_jobs(spark, log, layer, f"{checkpoint}/{job}", available_now=True, only=(job,)):
             _finished(query)
+    drop_path(spark, log)
+    drop_path(spark, f"{checkpoint}/{job}")
+
+
+def _facts_by_stream(spark: SparkSession, sf_dir: str, mode: str) -> str:
+    """``complete`` by the chained jobs; ``keyed`` and ``strict`` by the state machine."""
+    layer, checkpoint = new_path(spark, "facts"), new_path(spark, "facts-checkpoint")
+    if mode == "complete":
+        for job in jobs.JOINED_JOBS:
+            _run_fact_job(spark, sf_dir, job, layer, checkpoint)
     else:
+        log = _log_files(spark, sf_dir)
         _finished(jobs.fact_job(spark, log, layer, checkpoint, {"keyed": "complete"}.get(mode, mode), available_now=True))
-    return log, layer
+    return layer
 
 
 def stream_fact_lifecycle(mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, layer = _facts_by_stream(spark, sf_dir, mode)
+        layer = _facts_by_stream(spark, sf_dir, mode)
         return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.APPLICATION_FACTS])
 
     return query
@@ -403,8 +423,8 @@ def _brief_sql(kinds: tuple[str, ...]) -> str:
 
 
 def stream_contract_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, layer = _facts_by_stream(spark, sf_dir, "complete")
-    _finished(jobs.contract_job(spark, log, layer, new_path(spark, "contract-checkpoint"), available_now=True))
+    layer = _facts_by_stream(spark, sf_dir, "complete")
+    _run_fact_job(spark, sf_dir, "contracts", layer, new_path(spark, "contract-checkpoint"))
     return reduce(DataFrame.unionByName, [_brief(jobs.facts_of(spark, layer, k), k) for k in jobs.CONTRACT_FACTS])
 
 
@@ -427,10 +447,7 @@ def stream_facts_out_of_order(joined: bool, spark: SparkSession, sf_dir: str) ->
 
 
 _LAYERS: dict[tuple, tuple[str, str, set[str]]] = {}
-#: The job that writes each fact; it reads what those before it write. A topic of the log for
-#: each: the changes of its tables.
-TOPICS = jobs.JOINED_TABLES | {"contracts": jobs.CONTRACT_TABLES}
-FACT_JOBS = tuple(TOPICS)
+#: The job that writes each fact; it reads what those before it write.
 WRITTEN_BY = {"audit_cancel": "ends", "audit_reject": "ends", "audit_approve": "approvals", "lease_sign": "contracts", "lease_execution": "contracts"}
 
 
@@ -451,12 +468,7 @@ def _fact_layer(spark: SparkSession, sf_dir: str, fact: str) -> str:
     for job in FACT_JOBS[: FACT_JOBS.index(WRITTEN_BY.get(fact, "credits")) + 1]:
         if job in done:
             continue
-        log = _log_files(spark, sf_dir, *TOPICS[job])
-        if job == "contracts":
-            _finished(jobs.contract_job(spark, log, layer, f"{checkpoint}/{job}", available_now=True))
-        else:
-            for query in jobs.joined_fact_jobs(spark, log, layer, checkpoint, available_now=True, only=(job,)):
-                _finished(query)
+        _run_fact_job(spark, sf_dir, job, layer, checkpoint)
         done.add(job)
     return layer
 

@@ -13,9 +13,24 @@ from leaselake import schemas as S
 from leaselake.functions import event_time
 from leaselake.operators.dimensions import column_names, config_actions, dimension_changes, dimension_rows, newest_per_key
 from leaselake.operators.windows import SUMMARIES, rolled_up_days, summarize
-from leaselake.scratch import file_system
+from leaselake.scratch import NO_LEFTOVERS, drop_path, file_system, with_conf
 from leaselake.sources.changelog import about, after_fences, config_snapshot, current_config, fact_changes, parse_changes, parse_config, read_values, snapshot_changes
-from leaselake.streaming.joins import OFFICER, WAITING, application_ends, approvals, credit_steps
+from leaselake.streaming.joins import (
+    EARLY_APPROVAL,
+    EARLY_CREDIT,
+    EARLY_REPLY,
+    OFFICER,
+    WAITING,
+    application_ends,
+    approval_sides,
+    approval_sides_before,
+    approvals,
+    approvals_met,
+    credit_sides,
+    credit_sides_before,
+    credit_steps,
+    credits_met,
+)
 from leaselake.streaming.lifecycle import (
     APPLICATION_CELLS,
     APPROVED,
@@ -40,6 +55,7 @@ CONTRACT_FACTS = ("lease_sign", "lease_execution")
 #: tables whose changes each of them takes; those of ``contract_job``.
 JOINED_TABLES = {"ends": ("credit_facility", "credit_facility_status"), "approvals": ("reply",), "credits": ("credit",)}
 JOINED_JOBS = tuple(JOINED_TABLES)
+CREDIT_FACTS = ("credit_add", "credit_occupy", "contract_produced")
 CONTRACT_TABLES = ("contract",)
 PAYLOAD = "kind string, payload string, batch string"
 #: Most partitions of a job's state, if the cluster has not over half as many cores: each
@@ -58,6 +74,8 @@ def job_session(spark: SparkSession) -> SparkSession:
     session.conf.set("spark.sql.shuffle.partitions", min(wanted, max(STATE_PARTS, 2 * spark.sparkContext.defaultParallelism)))
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch stores its changes, not its stores
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")  # no lookup before each write
+    for k, v in NO_LEFTOVERS.items():
+        session.conf.set(k, v)
     return session
 
 
@@ -176,10 +194,12 @@ def joined_fact_jobs(
     """The six fact tables under ``layer`` by the complete rules, in three chained
     jobs: ends of applications with their officers, batch by batch; their
     approvals with replies; steps of credits with approvals. The last two are joins of
-    streams that wait for ``patience`` of event time. Bounded runs wait for ever, and
-    run one after the other. ``only``: the jobs to start; each reads what those before
-    it write."""
+    streams that wait for ``patience`` of event time. Bounded runs wait for ever, run one
+    after the other, and pair each batch with the layer instead of a state; a job's
+    checkpoint is of the one kind or the other. ``only``: the jobs to start; each reads
+    what those before it write."""
     session = job_session(spark)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     started = []
 
     def run(name: str, facts: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> None:
@@ -198,15 +218,58 @@ def joined_fact_jobs(
         fs.mkdirs(at)  # its job may not have written yet
         return session.readStream.schema(PAYLOAD).parquet(f"{layer}/{kind}")
 
-    wait = None if available_now else patience
     ttl = None if available_now else keep_ttl_ms
-    run("ends", lambda changes: changes, _write_ends(session, layer, f"{checkpoint}/officers", ttl))
-    run("approvals", lambda changes: approvals(stream(APPROVED), changes, wait), fan_out(("audit_approve",), layer))
-    run("credits", lambda changes: credit_steps(stream("audit_approve"), changes, wait), fan_out(("credit_add", "credit_occupy", "contract_produced"), layer))
+    run("ends", lambda changes: changes, _write_ends(session, layer, f"{checkpoint}/officers", ttl, parts))
+    if available_now:
+        met = _write_met(session, layer, f"{checkpoint}/unmet", (EARLY_REPLY, EARLY_APPROVAL), ("audit_approve",), approval_sides_before, approvals_met, parts)
+        run("approvals", lambda changes: approval_sides(stream(APPROVED), changes), met)
+        before = lambda early, approved, *made: credit_sides_before(early, approved, dict(zip(CREDIT_FACTS, made, strict=True)))
+        met = _write_met(session, layer, f"{checkpoint}/unmet", (EARLY_CREDIT,), CREDIT_FACTS, before, credits_met, parts, ("audit_approve",))
+        run("credits", lambda changes: credit_sides(stream("audit_approve"), changes), met)
+    else:
+        run("approvals", lambda changes: approvals(stream(APPROVED), changes, patience), fan_out(("audit_approve",), layer))
+        run("credits", lambda changes: credit_steps(stream("audit_approve"), changes, patience), fan_out(CREDIT_FACTS, layer))
     return started
 
 
-def _write_ends(session: SparkSession, layer: str, officers: str, ttl_ms: int | None) -> Callable[[DataFrame, int], None]:
+def _planned(spark: SparkSession, parts: str):
+    """A batch's own shuffles: as many partitions as the caller's session has, since no
+    state is bound to their number, or fewer if the rows are few."""
+    return with_conf(spark, {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": parts} | NO_LEFTOVERS)
+
+
+def _write_met(
+    session: SparkSession,
+    layer: str,
+    unmet: str,
+    waits: tuple[str, ...],
+    kinds: tuple[str, ...],
+    before: Callable[..., DataFrame],
+    outcome: Callable[[DataFrame], DataFrame],
+    parts: str,
+    more: tuple[str, ...] = (),
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a batch's sides and those from ``before`` (of what waits since
+    the last batch, ``more`` layers, and the facts made so far) to the facts ``kinds`` of
+    ``layer`` and to what waits now, in the folder ``unmet``. The first batch of a job
+    has nothing before it."""
+    out = fan_out(kinds, layer, {k: f"{unmet}/{k}" for k in waits})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            last = batch_name(session, batch_id - 1)
+            held = [spark.read.schema(PAYLOAD).parquet(f"{unmet}/{k}/batch={last}") for k in waits]
+            batch = batch.unionByName(before(*held, *[read_layer(spark, f"{layer}/{k}", PAYLOAD) for k in (*more, *kinds)]))
+        with _planned(spark, parts):
+            out(outcome(batch), batch_id)
+        for k in waits:  # the last batch's stays until this one's is surely used
+            drop_path(session, f"{unmet}/{k}/batch={batch_name(session, batch_id - 2)}")
+
+    return write
+
+
+def _write_ends(session: SparkSession, layer: str, officers: str, ttl_ms: int | None, parts: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: ends of applications to ``layer``, and the officers that wait
     for one to a table in ``officers``. Its changes are kept by batch until the table
     has them, so a batch that runs again finds the officers as it found them before."""
@@ -214,7 +277,8 @@ def _write_ends(session: SparkSession, layer: str, officers: str, ttl_ms: int |
 
     def write(batch: DataFrame, batch_id: int) -> None:
         table = LogTable(batch.sparkSession, f"{officers}/table", WAITING, ["id"], hash_part("id"))
-        out(application_ends(batch, table.read(), int(time.time() * 1000), ttl_ms), batch_id)
+        with _planned(batch.sparkSession, parts):
+            out(application_ends(batch, table.read(), int(time.time() * 1000), ttl_ms), batch_id)
         made = batch.sparkSession.read.schema(PAYLOAD).parquet(f"{officers}/changes/batch={batch_name(session, batch_id)}")
         changes = made.select(F.inline(F.array(F.from_json("payload", f"{WAITING}, deleted boolean"))))
         if not changes.isEmpty():

@@ -58,8 +58,9 @@ def read_layer(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def fan_out(kinds: tuple[str, ...], path: str, elsewhere: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: tagged rows to one layer table per kind, as ``append_batch``
     does for one. The batch is written once, split by its kinds under a hidden name, so
-    the work before it is done once and nothing is cached. ``elsewhere``: more kinds, by
-    the folder that each goes to."""
+    the work before it is done once and nothing is cached; a batch that died after that
+    is completed from there, so all its kinds come from one run. ``elsewhere``: more
+    kinds, by the folder that each goes to."""
     folders = {k: f"{path}/{k}" for k in kinds} | (elsewhere or {})
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -69,8 +70,9 @@ def fan_out(kinds: tuple[str, ...], path: str, elsewhere: dict[str, str] | None
         missing = [k for k, folder in folders.items() if not exists(spark, f"{folder}/batch={name}")]
         if not missing:
             return
-        mine = batch.where(F.col("kind").isin(*missing)).withColumn("_kind", F.col("kind"))
-        mine.write.mode("overwrite").partitionBy("_kind").parquet(hidden)
+        if not exists(spark, f"{hidden}/_SUCCESS"):
+            mine = batch.where(F.col("kind").isin(*missing)).withColumn("_kind", F.col("kind"))
+            mine.write.mode("overwrite").option("compression", "zstd").partitionBy("_kind").parquet(hidden)
         for kind in missing:
             fs, made = file_system(spark, f"{hidden}/_kind={kind}")
             _, at = file_system(spark, f"{folders[kind]}/batch={name}")

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaselake.scratch import file_system
+from leaselake.scratch import file_system, with_conf
 
 #: Changes of a part, as a share of its rows, and batches of a table, from which it
 #: is compacted.
@@ -47,15 +47,8 @@ def dealt_out(spark: SparkSession) -> Iterator[None]:
     large ones: a stream's session plans without adaptive execution and would leave
     them where they are, each task with a file of every part; merged partitions would
     leave all parts' files to one task."""
-    wanted = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
+    with with_conf(spark, {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
 
 
 def hash_part(key: str, parts: int = PARTS) -> Column:
