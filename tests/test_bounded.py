@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 from shared_rows import SF, rows_of
 from test_lifecycle import ADD, APPLY, CREDIT, OCCUPY, REPLY, STATUS
@@ -104,3 +105,19 @@ def test_a_job_leaves_its_facts_only(spark, monkeypatch):
     assert not [p for p in logs + checkpoints if Path(p.removeprefix("file://")).exists()]
     session = jobs.job_session(spark)
     assert all(session.conf.get(k) == v for k, v in NO_LEFTOVERS.items())
+
+
+@pytest.mark.parametrize("joined", [True, False])
+def test_all_cores_read_a_batch(spark, monkeypatch, joined):
+    """A compressed file is one task's: a batch has as many files as there are cores, or
+    more, and its messages aren't shuffled before they are parsed."""
+    seen = []
+    name = "joined_fact_jobs" if joined else "fact_job"
+    job = getattr(jobs, name)
+    monkeypatch.setattr(jobs, name, lambda spark, log, *a, files_per_batch, **k: seen.append((log, files_per_batch, len(list(Path(log.removeprefix("file://")).glob("part-*"))))) or job(spark, log, *a, files_per_batch=files_per_batch, **k))
+    queries.stream_facts_out_of_order(joined, spark, SF)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen and all(cores <= each and 2 * each < files <= 3 * each for _, each, files in seen)
+    values = spark.range(8).select(F.col("id").cast("string").alias("value"))
+    assert jobs._spread(values, cores) is values is jobs._spread(values, None)
+    assert jobs._spread(values, 1).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
